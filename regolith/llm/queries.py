@@ -5,19 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media_avi
+from . import media_avi, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_avi.features(media_avi.to_media(_table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_counts": op3_token_counts,
     "op10_media_columns": op10_media_columns,
 }
 
