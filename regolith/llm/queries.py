@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, media_avi, quality, token_counts, url_filters, warc
+from . import chat_format, decontaminate, media_avi, quality, token_counts, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(warc.write_archive(_table(spark, sf_dir, "pages")))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.scores(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
@@ -45,12 +49,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_token_counts": op3_token_counts,
     "op5_warc": op5_warc,
+    "op6_decontamination": op6_decontamination,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_url_filters": op9_url_filters,
     "op10_media_columns": op10_media_columns,
 }
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES: dict[str, str] = {
+    "op6_decontamination": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(%s, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+     i AS (SELECT item_id, regexp_extract_all(%s, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+     iw AS (SELECT item_id, least(13, len(w)) AS n, w, unnest(range(0, len(w) - least(13, len(w)) + 1)) AS s FROM i WHERE len(w) > 0),
+     ik AS (SELECT DISTINCT item_id, n, array_to_string(w[s + 1 : s + n], ' ') AS k FROM iw),
+     dw AS (SELECT r, n, w, unnest(range(0, len(w) - n + 1)) AS s FROM d, (SELECT DISTINCT n FROM ik) WHERE len(w) >= n),
+     h AS (SELECT r, s, n, item_id FROM (SELECT r, n, s, array_to_string(w[s + 1 : s + n], ' ') AS k FROM dw) JOIN ik USING (n, k)),
+     p AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS pos FROM h) GROUP BY r),
+     t AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM h) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN p USING (r) LEFT JOIN t USING (r)
+""" % (_LOWER.format("text"), _LOWER.format("text")),
     "op2_chat_format": """
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
