@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, media_avi, quality, token_counts, url_filters, warc
+from . import chat_format, decontaminate, media_avi, near_dedup, quality, token_counts, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), size=2)
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     formatted = chat_format.format_chats(chat_format.with_probe(_table(spark, sf_dir, "conversations")))
     return chat_format.digests(chat_format.parse_chats(formatted))
@@ -46,6 +50,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_chat_format": op2_chat_format,
     "op3_token_counts": op3_token_counts,
     "op5_warc": op5_warc,
