@@ -59,7 +59,7 @@ def canonical_json(semantic: dict) -> str:
     return _compact(canonical_of(semantic))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical(semantic_json: pd.Series) -> pd.Series:
     """Canonical JSON of a semantic block given as JSON; null stays null."""
     return semantic_json.map(lambda s: None if s is None else canonical_json(json.loads(s)))
@@ -71,7 +71,7 @@ def canonical_flat(fields: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*kept))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _identity(semantic_json: pd.Series, uri: pd.Series, cls: pd.Series, name: pd.Series, description: pd.Series) -> pd.Series:
     def one(s, u, c, n, d):
         semantic = json.loads(s) if s else {}

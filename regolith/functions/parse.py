@@ -40,7 +40,7 @@ def choices(raw: Column) -> Column:
     """Labels of a choice list: `code, label | …`, else split at `;`, else at `,`, else the one value."""
 
     def parts(sep):
-        return F.filter(F.transform(F.split(raw, sep), F.trim), lambda p: p != "")
+        return F.filter(F.transform(F.split(raw, sep), lambda p: F.trim(p)), lambda p: p != "")
 
     piped = F.transform(F.split(raw, r"\|"), lambda p: F.when(p.contains(","), F.trim(F.regexp_replace(F.trim(p), r"(?s)^[^,]*,", ""))).otherwise(F.trim(p)))
     one = F.when(F.trim(raw) != "", F.array(F.trim(raw))).otherwise(F.array().cast("array<string>"))
@@ -57,7 +57,7 @@ def value_range(raw: Column) -> tuple[Column, Column]:
 def notes(raw: Column) -> Column:
     """array<struct<value, label>> of `code=label; …`; entries of another form are left out."""
     form = r"^\s*([^=]+?)\s*=\s*(.+?)\s*$"
-    entries = F.filter(F.transform(F.split(raw, ";"), F.trim), lambda e: e.rlike(form))
+    entries = F.filter(F.transform(F.split(raw, ";"), lambda e: F.trim(e)), lambda e: e.rlike(form))
     got = F.transform(entries, lambda e: F.struct(F.trim(F.regexp_extract(e, form, 1)).alias("value"), F.trim(F.regexp_extract(e, form, 2)).alias("label")))
     return F.coalesce(got, F.array().cast("array<struct<value:string,label:string>>"))
 

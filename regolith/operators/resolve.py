@@ -33,15 +33,15 @@ def properties(schemas: DataFrame, elements: DataFrame) -> DataFrame:
     low = F.lower("property")
     out = each
     for tag, table, on in (
-        ("a", within, ["class", F.col("property")]),
-        ("b", within, ["class", low]),
-        ("c", across, [F.col("property")]),
-        ("d", across, [low]),
+        ("a", within, F.col("property")),
+        ("b", within, low),
+        ("c", across, F.col("property")),
+        ("d", across, low),
     ):
-        by_class = on[0] == "class"
-        t = table.select(*([F.col("class").alias("_c")] if by_class else []), F.col("name").alias("_n"), F.col("sha256").alias(f"_{tag}"))
-        match = (on[-1] == F.col("_n")) & ((F.col("class") == F.col("_c")) if by_class else F.lit(True))
-        out = out.join(t, match, "left").drop("_c", "_n")
+        by_class = table is within
+        t = table.select(*([F.col("class").alias("_k")] if by_class else []), F.col("name").alias("_n"), F.col("sha256").alias(f"_{tag}"))
+        match = (on == F.col("_n")) & ((F.col("class") == F.col("_k")) if by_class else F.lit(True))
+        out = out.join(t, match, "left").drop("_k", "_n")
     done = F.when(F.col("property").rlike(IS_HASH), F.col("property")).otherwise(F.coalesce("_a", "_b", "_c", "_d", "property"))
     again = out.select("schema_id", "at", done.alias("ref")).groupBy("schema_id").agg(F.array_sort(F.collect_list(F.struct("at", "ref"))).alias("refs"))
     return again.select("schema_id", F.filter(F.transform("refs", lambda r: r["ref"]), lambda r: r.isNotNull()).alias("properties"))

@@ -32,14 +32,14 @@ def candidate_pairs(elements: DataFrame, similar: DataFrame | None = None) -> Da
 
 
 def _iso(a: str) -> Column:
-    text = F.concat_ws(" ", F.col(f"{a}_unit"), F.col(f"{a}_pattern"))
-    return F.lower(text).contains("iso8601") | F.lower(text).contains("iso 8601") | F.coalesce(F.col(f"{a}_pattern").startswith("^P("), F.lit(False))
+    """Whether the unit or the value domain speaks of ISO 8601."""
+    return F.contains(F.lower(F.concat_ws(" ", F.col(f"{a}_unit"), F.col(f"{a}_value_domain"))), F.lit("iso"))
 
 
 def detect(pairs: DataFrame) -> DataFrame:
     """pairs with `function`: how a value of a becomes one of b, or null for none.
 
-    Columns a_ and b_ of data_type, unit, pattern, choices. In order: value mapping, identity, unit conversion, type
+    Columns a_ and b_ of data_type, unit, value_domain, choices. In order: value mapping, identity, unit conversion, type
     conversion, structural, unknown.
     """
     ta, tb, ua, ub = (F.col(c) for c in ("a_data_type", "b_data_type", "a_unit", "b_unit"))
@@ -82,12 +82,12 @@ def reverse(function: Column) -> Column:
 def generate(elements: DataFrame, similar: DataFrame | None = None) -> DataFrame:
     """(a_id, b_id, strategy, function, sha256): transforms between elements.
 
-    elements: (id, source, term_uri, name, sha256, data_type, unit, pattern, choices, structural_type). Pairs of equal
+    elements: (id, source, term_uri, name, sha256, data_type, unit, value_domain, choices, structural_type). Pairs of equal
     content are skipped, and arrays without a structural type.
     """
     pairs = candidate_pairs(elements, similar)
     use = elements.filter((F.col("data_type") != "array") | F.col("structural_type").isNotNull())
-    keep = ("id", "sha256", "data_type", "unit", "pattern", "choices")
+    keep = ("id", "sha256", "data_type", "unit", "value_domain", "choices")
     a, b = (use.select(*(F.col(c).alias(f"{s}_{c}") for c in keep)) for s in "ab")
     full = pairs.join(a, "a_id").join(b, "b_id").filter("a_sha256 <> b_sha256")
     done = detect(full).filter("function is not null")

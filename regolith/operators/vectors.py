@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regolith.functions.similarity import cosine, score_relation
 
@@ -94,7 +95,7 @@ def species_over_genus(annotations: Column) -> Column:
     return F.filter(annotations, lambda a: ~genus(a))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def hashed_vector(text: pd.Series) -> pd.Series:
     """A deterministic encoder for use without a model: character trigrams hashed into 384 signed places."""
     import zlib
