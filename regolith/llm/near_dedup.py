@@ -9,13 +9,16 @@ that distance.
 
 Documents with equal shingle sets are one class from the start. Buckets of keys never emit all their pairs:
 
-1. Star rounds: each bucket links its members to one hub, pairs too far in signature or size are put aside, the rest is
-   confirmed on full sets, and connected classes become one component. Buckets within one component are done.
-2. What is left are buckets that touch several components. Star rounds go on with other hubs while they pay; then all
-   pairs of different components that share a bucket are compared by signature inside the join, and confirmed.
+1. Each bucket links its members to one hub; pairs too far in signature or size are put aside, the rest is confirmed on
+   full sets, and connected classes become one component. Buckets within one component are done; most are.
+2. In light buckets that touch several components (at most HEAVY rows) all pairs of different components are compared by
+   signature inside a join, each pair in the first bucket that it shares, and confirmed on full sets: at most HEAVY rows
+   for each bucket row.
+3. Heavy buckets that touch several components are joined to families; their classes meet in blocks, where full sets are
+   compared by matrix products and only links between components come out.
 
-Step 2 is exhaustive, so star rounds only save work and lose no link between components. Components are found by
-min-label rounds on confirmed links, cut by written tables. Nothing grows on the driver: it sees counts.
+Steps 2 and 3 are exhaustive over what shares a key, so no link between components is lost. Components are found by
+alternating stars on confirmed links, cut by written tables. Nothing grows on the driver: it sees counts.
 
 Cases: null and empty texts, or texts without words, have no shingles and are linked with nothing; with fewer words than
 a shingle the whole sequence is the one shingle; repeated rows are in one class and give equal rows; a null doc_id is never
@@ -36,10 +39,9 @@ from .common import byte_words, in_batches, written
 
 CHUNKS, SLOTS = 12, 6
 PLACES = CHUNKS * SLOTS
-WORDS = PLACES // 8
 SIMILAR = 80
-#: Star rounds end when the pairs left are fewer than so many for each bucket row, or after MOST_STARS rounds.
-WORTH, MOST_STARS = 4, 6
+#: Larger buckets are compared in blocks of so many classes, smaller ones by a join.
+HEAVY, BLOCK = 64, 192
 #: Ids are broadcast only when counted to be so few; beyond, the join is by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -104,7 +106,7 @@ def features(docs: DataFrame, size: int) -> DataFrame:
         if not len(s):
             return doc_id, 0, None, None, None
         sig = signature(s)
-        return doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), sig.view(np.int64), keys(sig).view(np.int64)
+        return doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), packed(sig), keys(sig).view(np.int64)
 
     def run(batches):
         for b in batches:
@@ -131,16 +133,35 @@ def _shingled(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "set_id binary, shingles array<bigint>")
 
 
-def distance(a: str, b: str) -> Column:
-    """Places in which two signatures (columns of longs) differ."""
-    total = F.lit(0)
-    for i in range(WORDS):
-        x = F.col(f"{a}.sig")[i].bitwiseXOR(F.col(f"{b}.sig")[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 4))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-    return total
+def packed(sig: np.ndarray) -> np.ndarray:
+    """A signature as CHUNKS longs, a chunk's values in the low bytes of one."""
+    full = np.zeros((CHUNKS, 8), np.uint8)
+    full[:, :SLOTS] = sig.reshape(CHUNKS, SLOTS)
+    return full.view("<i8").ravel()
+
+
+_LOW, _HIGH = 0x7F7F7F7F7F7F, 0x808080808080
+
+
+def _differences(a: str, b: str) -> Column:
+    """Of two packed signatures, the number of places that differ, for each chunk."""
+
+    def places(x, y):
+        z = x.bitwiseXOR(y)
+        return F.bit_count((z.bitwiseAND(F.lit(_LOW)) + F.lit(_LOW)).bitwiseOR(z).bitwiseAND(F.lit(_HIGH)))
+
+    return F.zip_with(f"{a}.sig", f"{b}.sig", places)
+
+
+def _first_met(a: str, b: str, at: Column) -> Column:
+    """Whether key number `at` is the first that two signatures share.
+
+    A chunk with one difference shares the key that leaves it out, one without shares all of its keys, the first of
+    which counts.
+    """
+    d = _differences(a, b)
+    chunk = F.array_position(F.transform(d, lambda v: v <= 1), F.lit(True)) - 1
+    return (chunk == F.floor(at / SLOTS)) & ((at % SLOTS == 0) | (F.get(d, chunk.cast("int")) == 1))
 
 
 def most_distance(similar: int) -> int:
@@ -156,7 +177,7 @@ def most_distance(similar: int) -> int:
 def _close(a: str, b: str, similar: int) -> Column:
     """Whether sizes and signatures allow the similarity. Two sizes do if the smaller has that share of the larger."""
     small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return (100 * small >= similar * large) & (distance(a, b) <= most_distance(similar))
+    return (100 * small >= similar * large) & (F.aggregate(_differences(a, b), F.lit(0), lambda t, v: t + v) <= most_distance(similar))
 
 
 def _if_small(df: DataFrame) -> DataFrame:
@@ -171,12 +192,16 @@ def _near(pairs: DataFrame, info: DataFrame, similar: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").filter(_close("x", "y", similar)).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, picked: DataFrame, size: int, similar: int) -> DataFrame:
-    """The pairs (a, b) of set_ids whose full sets are similar enough. picked: (set_id, doc_id), a document of each class."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    ids = written(picked.join(wanted, "set_id").select(F.col("doc_id").alias("id")).distinct(), "wanted")
+def full_sets(docs: DataFrame, picked: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(set_id, shingles) of wanted classes, from their whole texts. picked: (set_id, doc_id), a document of each class."""
+    ids = written(picked.join(_if_small(wanted), "set_id").select(F.col("doc_id").alias("id")).distinct(), "wanted")
     texts = docs.join(_if_small(ids), docs["doc_id"].eqNullSafe(ids["id"]), "left_semi").select("text")
-    sets = written(_shingled(texts, size), "sets").dropDuplicates(["set_id"])  # rows may share a doc_id
+    found = _shingled(texts, size).join(_if_small(wanted), "set_id", "left_semi")
+    return written(found.dropDuplicates(["set_id"]), "sets")  # rows may share a doc_id
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """The pairs (a, b) of set_ids whose full sets are similar enough."""
     one = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = one.join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -193,15 +218,18 @@ def components(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
     if before is not None:
         edges = edges.unionByName(before.filter("set_id <> comp").select(F.col("set_id").alias("a"), F.col("comp").alias("b")))
     edges = written(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u <> v").distinct(), "edges")
+    size = edges.count()
     while True:
+        light = F.broadcast if size <= BROADCAST_ROWS else lambda df: df
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("v"), F.col("m").alias("u")).filter("u <> v").distinct()
+        large = both.join(light(low), "u").filter("v > u").select(F.col("v").alias("v"), F.col("m").alias("u")).filter("u <> v").distinct()
         large = written(large, "edges")  # v > u in each row
         low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select(F.explode(F.array("u", "v")).alias("v"), F.col("m").alias("u")).filter("u <> v").distinct()
+        small = large.join(light(low), "v").select(F.explode(F.array("u", "v")).alias("v"), F.col("m").alias("u")).filter("u <> v").distinct()
         small = written(small, "edges")
-        if small.count() == edges.count() and small.exceptAll(edges).isEmpty():
+        before_size, size = size, small.count()
+        if size == before_size and small.join(light(edges), ["u", "v"], "left_anti").isEmpty():
             break
         edges = small
     found = small.groupBy("v").agg(F.min("u").alias("comp")).select(F.col("v").alias("set_id"), "comp")
@@ -213,56 +241,118 @@ def _labelled(buckets: DataFrame, comps: DataFrame | None) -> DataFrame:
     """(key, set_id, comp) of buckets that touch several components."""
     if comps is None:
         return buckets.withColumn("comp", F.col("set_id"))
-    own = buckets.join(comps, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
+    own = buckets.join(_if_small(comps), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
     each = Window.partitionBy("key")
     several = own.withColumn("lo", F.min("comp").over(each)).withColumn("hi", F.max("comp").over(each)).filter("lo <> hi")
-    return several.select("key", "set_id", "comp")
+    return several.select("key", "at", "set_id", "comp")
 
 
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def _star(open_rows: DataFrame, round_no: int) -> DataFrame:
-    """Distinct pairs (a, b) of each bucket's members with its hub of this round, of different components."""
-    me = F.struct(F.xxhash64("set_id", F.lit(round_no)).alias("order"), "set_id", "comp")
+def _star(open_rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of each bucket's members with its hub, of different components."""
+    me = F.struct(F.xxhash64("set_id").alias("order"), "set_id", "comp")
     with_hub = open_rows.select("set_id", "comp", F.min(me).over(Window.partitionBy("key")).alias("hub"))
     return _ordered(with_hub.filter("comp <> hub.comp"), "set_id", "hub.set_id")
 
 
 def _all_across(open_rows: DataFrame, info: DataFrame, similar: int) -> DataFrame:
-    """Distinct pairs (a, b) of different components that share a bucket and are near, compared inside the join."""
-    full = open_rows.join(info, "set_id").select("key", F.struct("set_id", "comp", "n", "sig").alias("x"))
-    other = full.withColumnRenamed("x", "y")
-    met = full.join(other, "key").filter((F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.comp") != F.col("y.comp")) & _close("x", "y", similar))
-    return _ordered(met, "x.set_id", "y.set_id")
+    """Pairs (a, b) of different components that share a bucket and are near, compared inside the join.
+
+    A pair comes out of the first bucket that it shares and of no other, so nothing is emitted twice.
+    """
+    full = open_rows.join(_if_small(info), "set_id").select("key", "at", F.struct("set_id", "comp", "n", "sig").alias("x"))
+    other = full.select("key", F.col("at").alias("at_y"), F.col("x").alias("y"))
+    met = full.join(other, "key").filter((F.col("at") == F.col("at_y")) & (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.comp") != F.col("y.comp")) & _close("x", "y", similar) & _first_met("x", "y", F.col("at")))
+    return met.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
 
 
 def bucket_rows(classes: DataFrame) -> DataFrame:
-    """(key, set_id) of keys that several classes have. Keys travel with eight bytes of the set_id, all of it comes back by a join."""
+    """(key, at, set_id) of keys that several classes have; at is the key's number. Keys travel with eight bytes of the set_id, all of it comes back by a join."""
     short = F.xxhash64("set_id")
-    rows = classes.select(F.explode("keys").alias("key"), short.alias("c"))
-    shared = rows.withColumn("of", F.count("*").over(Window.partitionBy("key"))).filter("of > 1").select("key", "c")
-    return shared.join(classes.select(short.alias("c"), "set_id"), "c").select("key", "set_id")
+    rows = classes.select(F.posexplode("keys").alias("at", "key"), short.alias("c")).select(F.col("at").cast("tinyint").alias("at"), "key", "c")
+    shared = rows.withColumn("of", F.count("*").over(Window.partitionBy("key"))).filter("of > 1").select("key", "at", "c")
+    return shared.join(classes.select(short.alias("c"), "set_id"), "c").select("key", "at", "set_id")
+
+
+def _heavy(open_rows: DataFrame) -> DataFrame:
+    """open_rows with `heavy`: whether their bucket has more than HEAVY rows."""
+    return open_rows.withColumn("heavy", F.count("*").over(Window.partitionBy("key")) > HEAVY)
+
+
+def _within(group: pa.Table, similar: int) -> pa.Table:
+    """Of the classes (set_id, comp, shingles) of two blocks, links that join what is joined by any similar pair between components."""
+    ids, comps = group.column("set_id").to_pylist(), group.column("comp").to_pylist()
+    lists = group.column("shingles").combine_chunks()
+    n = np.diff(lists.offsets.to_numpy())
+    rows = np.repeat(np.arange(len(n)), n)
+    _, columns, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    shared = times[columns] > 1  # what one class has alone is in no intersection
+    rows, columns = rows[shared], np.unique(columns[shared], return_inverse=True)[1]
+    both = np.zeros((len(n), len(n)), np.float32)
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    for at in range(0, int(columns[-1]) + 1 if len(columns) else 0, 4096):
+        lo, hi = np.searchsorted(columns, [at, at + 4096])
+        part = np.zeros((len(n), 4096), np.float32)
+        part[rows[lo:hi], columns[lo:hi] - at] = 1
+        both += part @ part.T
+    near = 100 * both >= similar * (n[:, None] + n[None, :] - both)
+    root = {c: c for c in comps}
+
+    def top(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    links = []
+    for i, j in zip(*np.nonzero(np.triu(near, 1))):
+        x, y = top(comps[i]), top(comps[j])
+        if x != y:
+            root[x] = y
+            links.append((ids[i], ids[j]))
+    return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
+
+
+def _in_blocks(heavy_rows: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Links (a, b) that join all components which similar pairs in heavy buckets join.
+
+    Buckets that share a class are one family; a family's classes are dealt to blocks of BLOCK, and every two blocks meet
+    in a task of their own, where intersections of the full sets are a matrix product. So memory is bounded by a block,
+    work is dealt out whatever a family's size, and no pair is a row: only links between components come out.
+    """
+    star = heavy_rows.select(F.col("set_id").alias("a"), F.min("set_id").over(Window.partitionBy("key")).alias("b")).filter("a <> b").distinct()
+    families = components(star).withColumnRenamed("comp", "family")
+    members = heavy_rows.select("set_id", "comp").distinct().join(families, "set_id")
+    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    full = placed.join(sets, "set_id")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = full.withColumn("other", other).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_id", "comp", "shingles")
+    return dealt.groupBy("family", "i", "j").applyInArrow(lambda t: _within(t, similar), "a binary, b binary")
 
 
 def link_classes(classes: DataFrame, docs: DataFrame, picked: DataFrame, size: int, similar: int) -> DataFrame | None:
     """(set_id, comp) of the classes with a link, or None. classes: (set_id, n, sig, keys)."""
-    info = classes.select("set_id", "n", "sig")
     buckets = written(bucket_rows(classes), "buckets")
-    total = buckets.count()
-    comps, tried, last = None, 0, not total
-    while not last:
-        open_rows = written(_labelled(buckets, comps), "open")
-        sizes = open_rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        left = sizes.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-        last = tried >= MOST_STARS or left <= WORTH * total
-        pairs = _all_across(open_rows, info, similar) if last else _near(_star(open_rows, tried), info, similar)
-        links = written(_confirmed(written(pairs, "pairs"), docs, picked, size, similar), "links")
-        if not links.isEmpty():
-            comps = components(links, comps)
-        tried += 1
-    return comps
+    if buckets.isEmpty():
+        return None
+    wanted = written(buckets.select("set_id").distinct(), "members")
+    sets = full_sets(docs, picked, wanted, size)
+    info = written(classes.select("set_id", "n", "sig").join(_if_small(wanted), "set_id", "left_semi"), "info")
+    near = written(_near(_star(_labelled(buckets, None)), info, similar), "pairs")
+    links = written(_confirmed(near, sets, similar), "links")
+    comps = None if links.isEmpty() else components(links)
+    open_rows = written(_heavy(_labelled(buckets, comps)), "open")
+    heavy_rows = open_rows.filter("heavy")
+    near = written(_all_across(open_rows.filter("not heavy"), info, similar), "pairs")
+    more = _confirmed(near, sets, similar)
+    if not heavy_rows.isEmpty():
+        more = more.unionByName(_in_blocks(heavy_rows, sets, similar))
+    more = written(more, "links")
+    return comps if more.isEmpty() else components(more, comps)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similar: int = SIMILAR) -> DataFrame:
