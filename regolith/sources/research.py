@@ -48,17 +48,22 @@ def bids(spark: SparkSession, path: str) -> DataFrame:
     return union([*attributes, values, sets, classes])
 
 
-def nwb(spark: SparkSession, path: str, depth: int = 8) -> DataFrame:
+def _inner(rows: DataFrame, column: str) -> DataFrame:
+    """file, v: the groups and datasets inside a variant, as rows."""
+    nothing = F.array().cast("array<variant>")
+    both = F.concat(*(F.coalesce(F.try_variant_get(column, f"$.{k}", "array<variant>"), nothing) for k in ("groups", "datasets")))
+    return rows.select("file", F.explode(both).alias("v")).filter("v is not null")
+
+
+def nwb(spark: SparkSession, path: str, depth: int = 4) -> DataFrame:
     """Namespaces in YAML: types as classes; attributes, datasets, links and groups as slots; nested types down to depth."""
     by_dtype = {name: kind for kind, names in NWB_DTYPES.items() for name in names.split()}
     docs = yaml_files(spark, path)
-    parts = [each(docs, _variant("doc", f"$.{k}"), "i", "v").select("file", "v") for k in ("groups", "datasets")]
-    level = union(parts).filter("v is not null")
+    level = _inner(docs, "doc")
     found = level
     for _ in range(depth):
-        inner = union([each(level, _variant("v", f"$.{k}"), "i", "w").select("file", F.col("w").alias("v")) for k in ("groups", "datasets")]).filter("v is not null")
-        level = inner
-        found = found.unionByName(inner)
+        level = _inner(level, "v")
+        found = found.unionByName(level)
     types = found.withColumn("type_name", text("v", "$.neurodata_type_def")).filter("type_name is not null")
     classes = entities(types, entity_type="class", source="nwb", **{"class": F.col("type_name")}, name=F.col("type_name"), description=text("v", "$.doc"), type_ref=text("v", "$.neurodata_type_inc"), confidence=0.95, file=F.col("file"))
     slots = []
