@@ -29,10 +29,12 @@ def committed(elements: DataFrame, known_sources: list[str] | None = None) -> Da
     """sha256, provenance, n_rows of elements, with their semantic block; rows of unknown sources are left out."""
     if known_sources is not None:
         elements = elements.filter(F.col("source").isin(known_sources))
-    semantic = F.to_json(F.struct("data_type", "unit", "unit_uri", "pattern", "min_value", "max_value", "type_ref", F.transform("options", lambda o: F.struct(o.alias("value"), o.alias("label"))).alias("response_options")))
+    elements = elements.select("*", F.arrays_zip("options", "options").cast("array<struct<value:string,label:string>>").alias("response_options"))
+    semantic = F.to_json(F.struct("data_type", "unit", "unit_uri", "pattern", "min_value", "max_value", "type_ref", "response_options"))
     provenance = F.array(F.struct("source", "class", "name", "description"))
     nothing = F.lit(None).cast("array<struct<term_uri:string,mapping_relation:string,match_level:string,primary:boolean>>")
-    rows = elements.withColumn("provenance", provenance).withColumn("sha256", identity.sha256(identity.identity_json(semantic, F.col("provenance"), nothing)))
+    own = elements.withColumn("provenance", provenance).withColumn("annotations", nothing).select("*", semantic.alias("semantic"))
+    rows = own.withColumn("sha256", identity.sha256(identity.identity_json(F.col("semantic"), F.col("provenance"), F.col("annotations"))))
     one = rows.groupBy("sha256").agg(F.first("data_type").alias("data_type"), F.first("unit").alias("unit"), F.first("value_domain").alias("value_domain"), F.first("options").alias("choices"), F.first("min_value").alias("min_value"), F.first("max_value").alias("max_value"))
     return merge.merge_by_hash(rows.withColumn("ord", F.xxhash64("file", "class", "name"))).join(one, "sha256")
 
