@@ -14,7 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BASE_URI = "https://schema.undata.live"
+#: Where entities live; deployments pass their own.
+BASE_URI = "https://registry.example.org"
 SHORT_KEY = 12
 # Fields outside identity, at every depth, and the constraints that top-level bounds replace.
 NOT_IDENTITY = frozenset({"question_text", "value_domain", "ontology_annotations", "description", "unit_uri"})
@@ -94,9 +95,9 @@ def short_key(sha: Column) -> Column:
     return F.substring(sha, 1, SHORT_KEY)
 
 
-def entity_uri(kind: str, name: Column, sha: Column) -> Column:
+def entity_uri(kind: str, name: Column, sha: Column, base: str = BASE_URI) -> Column:
     """URI of an entity; kind is elements, schemas, values, valuesets or transforms."""
-    return F.concat(F.lit(f"{BASE_URI}/{kind}/"), F.lower(name), F.lit("_"), short_key(sha))
+    return F.concat(F.lit(f"{base}/{kind}/"), F.lower(name), F.lit("_"), short_key(sha))
 
 
 def primary_annotation(annotations: Column) -> Column:
