@@ -43,7 +43,7 @@ SIMILAR = 80
 #: Larger buckets are compared in blocks of so many classes, smaller ones by a join.
 HEAVY, BLOCK = 64, 192
 #: Ids are broadcast only when counted to be so few; beyond, the join is by shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, FEW = 1_000_000, 8
 
 _RNG = np.random.Generator(np.random.PCG64(20))
 _MUL = _RNG.integers(1, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -220,21 +220,24 @@ def components(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
     edges = written(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u <> v").distinct(), "edges")
     size = edges.count()
     while True:
-        light = F.broadcast if size <= BROADCAST_ROWS else lambda df: df
+        # tables counted to be small are joined by broadcast and worked on in FEW tasks
+        small_now = size <= BROADCAST_ROWS
+        light = (lambda df: F.broadcast(df.coalesce(FEW))) if small_now else (lambda df: df)
+        few = (lambda df: df.coalesce(FEW)) if small_now else (lambda df: df)
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(light(low), "u").filter("v > u").select(F.col("v").alias("v"), F.col("m").alias("u")).filter("u <> v").distinct()
-        large = written(large, "edges")  # v > u in each row
+        large = both.join(light(low), "u").filter("v > u").select(F.col("v").alias("v"), F.col("m").alias("u")).filter("u <> v")
+        large = written(few(large), "edges")  # v > u in each row; repeated rows do no harm
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(light(low), "v").select(F.explode(F.array("u", "v")).alias("v"), F.col("m").alias("u")).filter("u <> v").distinct()
-        small = written(small, "edges")
+        small = written(few(small), "edges")
         before_size, size = size, small.count()
         if size == before_size and small.join(light(edges), ["u", "v"], "left_anti").isEmpty():
             break
         edges = small
     found = small.groupBy("v").agg(F.min("u").alias("comp")).select(F.col("v").alias("set_id"), "comp")
     roots = small.select(F.col("u").alias("set_id")).distinct().select("set_id", F.col("set_id").alias("comp"))
-    return written(found.unionByName(roots).groupBy("set_id").agg(F.min("comp").alias("comp")), "comps")
+    return written(few(found.unionByName(roots).groupBy("set_id").agg(F.min("comp").alias("comp"))), "comps")
 
 
 def _labelled(buckets: DataFrame, comps: DataFrame | None) -> DataFrame:
