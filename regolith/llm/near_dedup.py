@@ -386,16 +386,14 @@ def keep_one(docs: DataFrame, size: int = 5, similar: int = SIMILAR) -> DataFram
 
     Of rows that repeat an id one stays; rows without an id all stay, as they cannot be told apart.
     """
-    judged = near_duplicates(docs, size, similar).filter("kept").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows"))
-    kept = written(judged, "kept")
+    judged = near_duplicates(docs, size, similar).groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows"), F.bool_or("kept").alias("kept"))
+    judged = written(judged.filter("id is not null and (rows > 1 or not kept)"), "judged")
     rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
-    same = F.col("row.doc_id").eqNullSafe(F.col("id"))
-    once = rows.join(kept.filter("rows = 1").select("id"), same, "left_semi")
-    again = kept.filter("rows > 1 and id is not null").select("id")
+    same = F.col("row.doc_id") == F.col("id")
+    # ids that go, or repeat, are fewer than those that stay, so texts are seldom shuffled
+    once = rows.join(_if_small(judged.select("id")), same, "left_anti")
+    again = judged.filter("kept").select("id")
     if not again.isEmpty():
         doubled = rows.join(_if_small(again), same, "left_semi").withColumn("no", F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text")))
         once = once.unionByName(doubled.filter("no = 1").drop("no"))
-    nameless = kept.filter("rows > 1 and id is null")
-    if not nameless.isEmpty():
-        once = once.unionByName(rows.filter("row.doc_id is null"))
     return once.select("row.*")
