@@ -4,12 +4,16 @@ Rules: a rule names a host with all its subdomains, and how a path must start; t
 table is small and given by the caller, so it becomes one literal expression: no join.
 
 Link graph: hosts are nodes; an absolute hyperlink of a page from one host to another is an edge, weighted by the share of
-the host's links. Trust starts at hosts by the share of their pages that rules allow, and flows along links; distrust
-starts by the share that rules block, and flows against them (who links to blocked hosts is suspect). Both are
-personalised PageRank, x = (1 - DAMPING) * seed + DAMPING * flow, for ROUNDS rounds; a host without links in that
-direction keeps its own mass, so that an isolated host has just its seed. A page that no rule fits is blocked if its
+the host's links. Distrust goes against links (who links to blocked hosts is suspect), trust goes along them. Each is a
+share of the host itself, from 0 to 1: x = seed + (1 - seed) * DAMPING * (mean of x over the hosts it links to; for trust,
+over the hosts that link to it), for ROUNDS rounds, the seeds being the shares of its pages that rules block and allow.
+This is the damped chance that a walk from the host ends at a blocked page, so that it depends on where the host's links
+lead, and neither on how many others link there nor on the size of the graph. A page that no rule fits is blocked if its
 host's distrust is at least BLOCK_AT and above its trust, else allowed.
 
+host_verdicts() has the masses of personalised PageRank from the same seeds. They are shared out over all hosts that link
+to a blocked one, so that they rank hosts of one graph, and no page is judged by them.
+
 Every round is two joins by host over aggregated host edges, written to the shared folder every few rounds. A host with a
 third of all pages or links is aggregated map-side first, and rounds work on one row for each pair of hosts.
 
@@ -93,28 +97,57 @@ def propagate(seed: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
     return state.select("node", "mass")
 
 
+def _weighted(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(src, dst, weight): edges from a to b by their share of a's links."""
+    total = edges.groupBy(a).agg(F.sum("links").alias("total"))
+    return written(edges.join(total, a).select(F.col(a).alias("src"), F.col(b).alias("dst"), (F.col("links") / F.col("total")).alias("weight")), "weights")
+
+
+def _verdict(block_at: float) -> Column:
+    return F.when((F.col("distrust") >= block_at) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
+
+
 def host_verdicts(pages_judged: DataFrame, edges: DataFrame, rounds: int = ROUNDS, block_at: float = BLOCK_AT) -> DataFrame:
-    """(host, trust, distrust, verdict) of each host that has a page or a link."""
+    """(host, trust, distrust, verdict) of each host that has a page or a link, by PageRank masses."""
     found = seeds(pages_judged)
     edges = written(edges, "edges")
     if edges.isEmpty():
         spread = found
     else:
-        def weighted(a, b):
-            total = edges.groupBy(a).agg(F.sum("links").alias("total"))
-            return written(edges.join(total, a).select(F.col(a).alias("src"), F.col(b).alias("dst"), (F.col("links") / F.col("total")).alias("weight")), "weights")
-
         found = written(found, "seeds")
-        trust = propagate(found.select(F.col("host").alias("node"), F.col("trust").alias("seed")), weighted("src", "dst"), rounds)
-        distrust = propagate(found.select(F.col("host").alias("node"), F.col("distrust").alias("seed")), weighted("dst", "src"), rounds)
+        trust = propagate(found.select(F.col("host").alias("node"), F.col("trust").alias("seed")), _weighted(edges, "src", "dst"), rounds)
+        distrust = propagate(found.select(F.col("host").alias("node"), F.col("distrust").alias("seed")), _weighted(edges, "dst", "src"), rounds)
         spread = trust.select(F.col("node").alias("host"), F.col("mass").alias("trust")).join(distrust.select(F.col("node").alias("host"), F.col("mass").alias("distrust")), "host")
-    verdict = F.when((F.col("distrust") >= block_at) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
-    return spread.withColumn("verdict", verdict)
+    return spread.withColumn("verdict", _verdict(block_at))
+
+
+def shares(seed: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+    """(node, share): seed is (node, seed), edges is (src, dst, weight) with the weights of a src adding up to 1; src takes from dst."""
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(seed, "node", "full_outer")
+    state = written(nodes.select("node", F.coalesce("seed", F.lit(0.0)).alias("seed")).withColumn("share", F.col("seed")), "shares")
+    for i in range(1, rounds + 1):
+        mean = edges.join(state.select(F.col("node").alias("dst"), "share"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("share") * F.col("weight")).alias("mean"))
+        state = state.join(mean, "node", "left").select("node", "seed", (F.col("seed") + (1 - F.col("seed")) * damping * F.coalesce("mean", F.lit(0.0))).alias("share"))
+        if i % CUT == 0 and i < rounds:
+            state = written(state, "shares")
+    return state.select("node", "share")
+
+
+def host_shares(pages_judged: DataFrame, edges: DataFrame, rounds: int = ROUNDS, block_at: float = BLOCK_AT) -> DataFrame:
+    """(host, trust, distrust, verdict) of each host that has a page or a link, by which pages are judged."""
+    found = seeds(pages_judged)
+    edges = written(edges, "edges")
+    if not edges.isEmpty():
+        found = written(found, "seeds")
+        trust = shares(found.select(F.col("host").alias("node"), F.col("trust").alias("seed")), _weighted(edges, "dst", "src"), rounds)
+        distrust = shares(found.select(F.col("host").alias("node"), F.col("distrust").alias("seed")), _weighted(edges, "src", "dst"), rounds)
+        found = trust.select(F.col("node").alias("host"), F.col("share").alias("trust")).join(distrust.select(F.col("node").alias("host"), F.col("share").alias("distrust")), "host")
+    return found.withColumn("verdict", _verdict(block_at))
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, rounds: int = ROUNDS, block_at: float = BLOCK_AT) -> DataFrame:
     """page_id, host, path, rule, verdict of each page."""
     own = judged(pages, rules)
-    hosts = host_verdicts(own, host_edges(pages), rounds, block_at).select(F.col("host").alias("of"), F.col("verdict").alias("host_verdict"))
+    hosts = host_shares(own, host_edges(pages), rounds, block_at).select(F.col("host").alias("of"), F.col("verdict").alias("host_verdict"))
     both = own.join(hosts, own["host"] == hosts["of"], "left")
     return both.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "host_verdict", F.lit("allow")).alias("verdict"))

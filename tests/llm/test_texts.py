@@ -182,6 +182,22 @@ def test_links_carry_trust_and_distrust(spark):
         assert got[h].verdict == ("block" if distrust[h] >= url_filters.BLOCK_AT and distrust[h] > trust[h] else "allow")
 
 
+def test_link_farms_are_blocked_whatever_their_size(spark):
+    def verdicts(n):
+        to_bad = '<a href="http://bad.net/x">'
+        rows = [("http://bad.net/", '<a href="http://big.com/">')] + [(f"http://farm{i}.com/", to_bad) for i in range(n)]
+        rows += [("http://behind.com/", '<a href="http://farm0.com/">'), ("http://linked.com/", "")]
+        rows += [("http://half.com/", to_bad + '<a href="http://big.com/">'), ("http://good.org/fr/", '<a href="http://vouched.com/">'), ("http://vouched.com/", to_bad), ("http://worse.net", ""), ("http://worse.net/", "")]
+        df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+        return {r.host + r.path: r.verdict for r in url_filters.filter_urls(df).collect()}
+
+    for n in (1, 10):
+        got = verdicts(n)
+        assert [got[f"farm{i}.com/"] for i in range(n)] == ["block"] * n  # n hosts that link to one blocked host only
+        assert got["behind.com/"] == got["worse.net"] == "block"
+        assert got["half.com/"] == got["linked.com/"] == got["vouched.com/"] == got["good.org/fr/"] == "allow"
+
+
 def brute_hits(docs, bench):
     import re
 
