@@ -1,19 +1,21 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding without loss.
 
 Encoding merges adjacent symbols from an agenda ordered by piece score, leftmost first. A candidate taken from the
-agenda is skipped if a keyed hash of seed, variant, chunk, place and piece falls under the dropout rate; a skipped candidate
-comes back only with a new neighbour. With rate 0 the result is the library's. With the same seed it is the same on any
+agenda is skipped if a keyed hash of seed, document id, number of the chunk in its text, place in the chunk and piece falls
+under the dropout rate; a skipped candidate comes back only with a new neighbour. So each occurrence of a word is dealt
+its own dropout, within a text as between texts. With rate 0 the result is the library's. With the same seed it is the same on any
 executor and at any retry, and another seed gives another segmentation.
 
 Texts are encoded in chunks between which no piece can reach: a run of blanks with what follows up to the next blank, and
-characters such as line feeds that are in no piece. Each document has one of VARIANTS variants by the hash of its id, so
-that a chunk is encoded once for a group of texts; the agendas of a group's chunks run side by side in NumPy.
+characters such as line feeds that are in no piece. The agenda of a chunk that repeats in a group of texts is run once
+without dropout; an occurrence whose own hashes skip none of its candidates has that result, which is the one it would
+get by itself, and every other occurrence runs its own agenda. The agendas of a group run side by side in NumPy.
 
 Decoding: pieces are concatenated as bytes and the blank put before the text is taken off. The blank mark itself
 (U+2581) is written as bytes, so that it does not come back as a blank; so every text decodes to itself.
 
 Cases: a null text has no pieces and decodes to the empty text; an empty text likewise; rows are independent; a null id
-has variant 0; characters outside the vocabulary become byte pieces.
+has variant 0, as has a text encoded without one; characters outside the vocabulary become byte pieces.
 """
 
 from __future__ import annotations
@@ -30,13 +32,15 @@ from pyspark.sql import DataFrame
 
 from .common import in_batches
 
-RATE, SEED, VARIANTS = 0.1, 1, 2
+RATE, SEED = 0.1, 1
 #: Chunks of more letters are encoded one by one; of others STEP at a time. Texts are encoded in groups of GROUP characters.
 LONG, STEP, GROUP = 40, 1 << 15, 4 << 20
+#: Occurrences that are held against their chunks' candidates at a time.
+CHECKED = 1 << 17
 NEVER = np.float32(np.inf)
 BLANK = "▁"
 _M = (1 << 64) - 1
-_PLACE, _PIECE, _MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
+_PLACE, _PIECE, _MUL, _LAST = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -125,12 +129,12 @@ class Vocabulary:
 class Encoder:
     """Encodes and decodes with one vocabulary, rate and seed."""
 
-    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS):
-        self.vocabulary, self.seed, self.variants = Vocabulary(path), seed, variants
+    def __init__(self, path: str, rate: float = RATE, seed: int = SEED):
+        self.vocabulary, self.seed = Vocabulary(path), seed
         self.bar = int(rate * (1 << 32))
 
     def merged(self, chunk: str, key: int) -> list[str]:
-        """The pieces of a chunk. key: hash of seed, variant and chunk."""
+        """The pieces of a chunk. key: hash of seed and occurrence."""
         rank, ids, bar = self.vocabulary.rank, self.vocabulary.ids, self.bar
         # the blank mark itself gets two letters, which no piece has
         symbols = [BLANK if c == " " else c if c != BLANK else "\0" + BLANK for c in chunk]
@@ -166,37 +170,96 @@ class Encoder:
                     heappush(agenda, (rank[piece], k, i, piece))
         return [s for s in symbols if s]
 
-    def _key(self, chunk: str, variant: int) -> int:
-        return xxhash.xxh3_64_intdigest(chunk.encode("utf-8", "surrogatepass"), self.seed * self.variants + variant)
+    def _keys(self, variants: np.ndarray) -> np.ndarray:
+        """Keys of occurrences: seed and variant, mixed."""
+        x = variants + np.uint64(xxhash.xxh3_64_intdigest(b"", self.seed))
+        x = (x ^ (x >> np.uint64(30))) * _MUL
+        x = (x ^ (x >> np.uint64(27))) * _LAST
+        return x ^ (x >> np.uint64(31))
 
     def chunk_ids(self, chunk: str, variant: int) -> bytes:
-        """Ids (bytes of int32) of one chunk."""
+        """Ids (bytes of int32) of one occurrence of a chunk."""
+        return self._alone(chunk, int(self._keys(np.array([variant], np.uint64))[0]))
+
+    def _alone(self, chunk: str, key: int) -> bytes:
         ids, out = self.vocabulary.ids, []
-        for s in self.merged(chunk, self._key(chunk, variant)):
+        for s in self.merged(chunk, key):
             if s in ids:
                 out.append(ids[s])
             else:
                 out.extend(self.vocabulary.byte_ids[b] for b in (BLANK if s[0] == "\0" and len(s) == 2 else s).encode("utf-8", "surrogatepass"))
         return np.array(out, "<i4").tobytes()
 
-    def many_ids(self, chunks: list[str], variant: int) -> list[bytes]:
-        """chunk_ids of each chunk. Short ones go through the agenda together, a step of each at a time."""
+    def many_ids(self, chunks: list[str], variant) -> list[bytes]:
+        """chunk_ids of each chunk; variant is one number, or an array with one for each."""
+        keys = self._keys(np.broadcast_to(np.asarray(variant, np.uint64), len(chunks)))
+        table = dict.fromkeys(chunks)
+        distinct = list(table)
+        table.update(zip(distinct, range(len(distinct))))
+        which = np.fromiter(map(table.__getitem__, chunks), np.int64, len(chunks))
+        lengths = np.fromiter(map(len, distinct), np.int64, len(distinct))
+        # what occurs once, or is long, is encoded by itself
+        shared = (lengths <= LONG) & (np.bincount(which, minlength=len(distinct)) > 1) if self.bar else lengths > 0
+        at = np.flatnonzero(shared)
+        plain: list[bytes] = [b""] * len(distinct)
+        trail: list[tuple[np.ndarray, np.ndarray]] = []
+        for i, ids in zip(at.tolist(), self._in_steps([distinct[i] for i in at.tolist()], None, trail)):
+            plain[i] = ids
+        own = ~shared[which]
+        if trail and self.bar:
+            own |= self._skipping(keys, np.where(own, -1, (np.cumsum(shared) - 1)[which]), len(at), trail)
+        out = list(map(plain.__getitem__, which.tolist()))
+        some = np.flatnonzero(own)
+        for i, ids in zip(some.tolist(), self._in_steps([chunks[i] for i in some.tolist()], keys[some])):
+            out[i] = ids
+        return out
+
+    def _skipping(self, keys: np.ndarray, which: np.ndarray, n: int, trail: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of occurrences of the chunks `which` (-1 for none): does a key skip any candidate of the chunk's trail?"""
+        rows = np.concatenate([r for r, _ in trail])
+        marks = np.concatenate([m for _, m in trail])[np.argsort(rows, kind="stable")]
+        counts = np.bincount(rows, minlength=n)
+        starts = np.cumsum(counts) - counts
+        out = np.zeros(len(keys), bool)
+        known = np.flatnonzero(which >= 0)
+        for k in range(0, len(known), CHECKED):
+            some = known[k : k + CHECKED]
+            chunk = which[some]
+            many = counts[chunk]
+            each = np.repeat(np.arange(len(some)), many)
+            at = np.arange(len(each)) + np.repeat(starts[chunk] - (np.cumsum(many) - many), many)
+            out[some[each[self._skips(keys[some][each], marks[at])]]] = True
+        return out
+
+    def _skips(self, keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Whether keys skip candidates, a mark being made of a candidate's place and piece."""
+        h = keys ^ marks
+        return ((h ^ (h >> np.uint64(29))) * _MUL) >> np.uint64(32) < np.uint64(self.bar)
+
+    def _in_steps(self, chunks: list[str], keys: np.ndarray | None, trail: list | None = None) -> list[bytes]:
+        """Ids of each chunk by its key, or without dropout. Short ones go through the agenda together, a step of each at a time."""
         out: list[bytes] = [b""] * len(chunks)
         lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
         for low, high in ((0, 6), (6, 10), (10, 16), (16, LONG)):
             at = np.flatnonzero((lengths > low) & (lengths <= high))
             for k in range(0, len(at), STEP):
-                some = at[k : k + STEP].tolist()
-                for i, ids in zip(some, self._together([chunks[i] for i in some], lengths[some], variant)):
+                some = at[k : k + STEP]
+                steps: list[tuple[np.ndarray, np.ndarray]] = []
+                found = self._together([chunks[i] for i in some.tolist()], lengths[some], None if keys is None else keys[some], steps if trail is not None else None)
+                for i, ids in zip(some.tolist(), found):
                     out[i] = ids
+                if trail is not None:
+                    trail.extend((some[row], marks) for row, marks in steps)
         for i in np.flatnonzero(lengths > LONG).tolist():
-            out[i] = self.chunk_ids(chunks[i], variant)
+            out[i] = self._alone(chunks[i], 0 if keys is None else int(keys[i]))
         return out
 
-    def _together(self, chunks: list[str], lengths: np.ndarray, variant: int) -> list[bytes]:
+    def _together(self, chunks: list[str], lengths: np.ndarray, keys: np.ndarray | None, steps: list | None) -> list[bytes]:
+        """Ids of short chunks. steps, if any, gets the rows and marks of the candidates taken."""
         v = self.vocabulary
         n, width = len(chunks), int(lengths.max())
-        keys = np.fromiter((self._key(c, variant) for c in chunks), np.uint64, n)
+        drops = keys is not None and self.bar > 0
+        keys = keys if drops else np.zeros(n, np.uint64)
         inside = np.arange(width) < lengths[:, None]
         symbols = np.full((n, width), -1, np.int32)
         symbols[inside] = v.letters(np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4"))
@@ -218,10 +281,13 @@ class Encoder:
                     break
             piece = pieces[every, best]
             skip = np.zeros(len(row), bool)
-            if self.bar:
-                h = keys ^ (place[every, best].astype(np.uint64) * _PLACE + piece.astype(np.uint64) * _PIECE)
-                skip = ((h ^ (h >> np.uint64(29))) * _MUL) >> np.uint64(32) < np.uint64(self.bar)
-                ranks[every[skip], best[skip]] = NEVER
+            if drops or steps is not None:
+                marks = place[every, best].astype(np.uint64) * _PLACE + piece.astype(np.uint64) * _PIECE
+                if steps is not None:
+                    steps.append((row, marks))
+                if drops:
+                    skip = self._skips(keys, marks)
+                    ranks[every[skip], best[skip]] = NEVER
             go = every[~skip]
             if not len(go):
                 continue
@@ -254,21 +320,21 @@ class Encoder:
         return next(self.encode_many([(text, variant)]))
 
     def encode_many(self, texts: list[tuple[str | None, int]]) -> Iterator[np.ndarray]:
-        """Ids of each (text, variant); each distinct chunk of a variant is encoded once."""
+        """Ids of each (text, variant); the chunks of a text have the variants from the text's on."""
         cut = [self.vocabulary.chunks(" " + t) if t else [] for t, _ in texts]
-        tables: dict[int, dict[str, bytes]] = {}
-        for (_, variant), chunks in zip(texts, cut):
-            tables.setdefault(variant, {}).update(dict.fromkeys(chunks, b""))
-        for variant, table in tables.items():
-            table.update(zip(table, self.many_ids(list(table), variant)))
-        for (_, variant), chunks in zip(texts, cut):
-            yield np.frombuffer(b"".join(map(tables[variant].__getitem__, chunks)), "<i4")
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        ends = np.cumsum(sizes)
+        first = np.array([v & _M for _, v in texts], np.uint64)
+        number = np.arange(sizes.sum()) - np.repeat(ends - sizes, sizes)
+        ids = self.many_ids([c for chunks in cut for c in chunks], np.repeat(first, sizes) + number.astype(np.uint64))
+        for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+            yield np.frombuffer(b"".join(ids[a:b]), "<i4")
 
     def decode(self, ids) -> str:
         return b"".join(map(self.vocabulary.bytes.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
     def variant(self, doc_id) -> int:
-        return xxhash.xxh3_64_intdigest(str(doc_id), self.seed) % self.variants if doc_id is not None else 0
+        return xxhash.xxh3_64_intdigest(str(doc_id), self.seed) if doc_id is not None else 0
 
 
 def _groups(rows) -> Iterator[list]:

@@ -52,6 +52,20 @@ def test_pieces_with_dropout():
     assert e.many_ids(chunks, 1) == [e.chunk_ids(c, 1) for c in chunks]  # side by side as one by one
 
 
+def test_pieces_vary_by_occurrence():
+    e = pieces.Encoder(pieces.model_path(), 0.2, 1)
+    text = " segmentation" * 400
+    chunks = e.vocabulary.chunks(" " + text)
+    [ids], same = e.encode_many([(text, e.variant(7))]), e.encode(text, e.variant(7))
+    assert ids.tolist() == same.tolist() and e.decode(ids.tolist()) == text
+    # each occurrence, shared or not, is what its own agenda gives
+    alone = [e.chunk_ids(c, (e.variant(7) + i) % 2**64) for i, c in enumerate(chunks)]
+    assert b"".join(alone) == ids.tobytes() and len(set(alone)) > 10
+    plain = pieces.Encoder(pieces.model_path(), 0.0).chunk_ids(" segmentation", 0)
+    assert plain in alone and sum(x != plain for x in alone) > 100
+    assert len({e.encode(" segmentation", e.variant(i)).tobytes() for i in range(100)}) > 5
+
+
 def test_pieces_round_trip(spark):
     df = documents(spark, ODD)
     assert all(r.lossless for r in pieces.round_trips(df).collect())
