@@ -2,7 +2,7 @@
 
 The index has a posting (doc, position) for every document word that a benchmark item contains, written as Parquet in
 the shared folder; segments keep the order in which documents were read, so it takes a map and no shuffle. For each
-window of WINDOW item words, posting lists are intersected from the rarest term on: postings of the rarest give
+window of WINDOW item words (or fewer, as the caller says), posting lists are intersected from the rarest term on: postings of the rarest give
 alignments (document position less item position), those of the next rarest, moved by its offset, thin them out. On
 the alignments that are left all terms of the item are intersected; runs of consecutive matches as long as a window are
 phrases, and their words are hit.
@@ -58,13 +58,13 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return written(own.join(terms, "word").select(*_DOC, "pos", "word"), "postings")
 
 
-def anchors(items: DataFrame, index: DataFrame) -> DataFrame:
+def anchors(items: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item, at, word, at2, word2): the rarest and the next rarest term of each window that can occur; at2 is null in windows of one word."""
     counts = index.groupBy("word").agg(F.count("*").alias("postings"))
     known = items.join(counts, "word", "left").withColumn("term", F.struct(F.coalesce("postings", F.lit(0)).alias("postings"), "at", "word"))
     each = Window.partitionBy("item").orderBy("at")
-    # the window that starts at each position, as an array of at most WINDOW terms
-    framed = known.select("item", "at", "n", "of", F.array_sort(F.collect_list("term").over(each.rowsBetween(0, WINDOW - 1))).alias("terms"))
+    # the window that starts at each position, as an array of at most `window` terms
+    framed = known.select("item", "at", "n", "of", F.array_sort(F.collect_list("term").over(each.rowsBetween(0, window - 1))).alias("terms"))
     whole = framed.filter(F.col("at") <= F.col("of") - F.col("n")).filter(F.col("terms")[0]["postings"] > 0)
     second = F.get("terms", 1)
     return whole.select("item", F.col("terms")[0]["at"].alias("at"), F.col("terms")[0]["word"].alias("word"), second["at"].alias("at2"), second["word"].alias("word2")).distinct()
@@ -87,7 +87,7 @@ def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     items = written(item_terms(bench, window), "items")
     terms = written(items.select("word").distinct().coalesce(1), "terms")
     index = build_index(docs, terms)
-    chosen = written(anchors(items, index), "anchors")
+    chosen = written(anchors(items, index, window), "anchors")
     aligned = written(alignments(index, chosen), "alignments")
     where = aligned.select(*_DOC).distinct()
     if where.count() <= BROADCAST_ROWS:

@@ -257,6 +257,32 @@ def test_decontamination(spark):
     assert all(r.n_hit == 0 for r in decontaminate.judge(df, bf.limit(0)).collect())
 
 
+def test_decontamination_with_a_smaller_window(spark):
+    rng = random.Random(6)
+    bench = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(20))) for i in range(8)]
+    docs = []
+    for i in range(40):
+        words, at = bench[i % 8][1].split(), rng.randrange(13)
+        # a passage of 8 words, or of 7; what follows in the item occurs in no document
+        docs.append((i, " ".join(["x", *words[at : at + 8 - i % 2], "y"])))
+    bench += [(8, "a b c d e f g h never1 never2 never3 never4 never5")]
+    docs += [(40, "x a b c d e f g h y"), (41, "a b c d e f g"), (42, None)]
+
+    def brute(text):
+        w, hit = (text or "").split(), set()
+        for _, b in bench:
+            v = b.split()
+            windows = {tuple(v[s : s + 8]) for s in range(len(v) - 7)}
+            hit.update(p for s in range(len(w) - 7) if tuple(w[s : s + 8]) in windows for p in range(s, s + 8))
+        return len(hit)
+
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bf = spark.createDataFrame(bench, "item_id long, text string")
+    got = {r.doc_id: r.n_hit for r in decontaminate.judge(df, bf, window=8).collect()}
+    assert got == {i: brute(t) for i, t in docs} and got[40] == 8 and got[41] == 0
+    assert {r.doc_id for r in decontaminate.keep_clean(df, bf, window=8).collect()} == {i for i, n in got.items() if not n}
+
+
 def test_lm_scores(spark):
     rng = random.Random(2)
     tongues = [[f"{a}{b}{t}" for a in "bcdfg" for b in "aeiou"] for t in ("lon", "mir")]
