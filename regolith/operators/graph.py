@@ -15,20 +15,22 @@ _own_dirs: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own in local mode where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_dirs:
         _own_dirs.append(tempfile.mkdtemp(prefix="regolith-"))
         atexit.register(shutil.rmtree, _own_dirs[0], ignore_errors=True)
     return "file://" + os.path.abspath(_own_dirs[0])
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and opened again: what an iteration builds on."""
+def materialised(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """df as a Parquet table in the shared folder, opened again: cuts lineage, and outlives any executor."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -57,12 +59,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def ancestors(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(node, ancestor, depth): ancestors over (child, parent) edges with their least distance, up to depth; cycles are safe."""
-    level = start.select(F.col("node"), F.col("node").alias("ancestor")).distinct()
-    found = level.withColumn("depth", F.lit(0))
+    level = materialised(start.select(F.col("node"), F.col("node").alias("ancestor")).distinct().withColumn("depth", F.lit(0)), "ancestors")
+    found = level
     for d in range(1, depth + 1):
-        level = level.join(edges, level["ancestor"] == edges["child"]).select("node", F.col("parent").alias("ancestor")).distinct()
-        level = level.join(found.select("node", "ancestor"), ["node", "ancestor"], "left_anti")
-        found = materialised(found.unionByName(level.withColumn("depth", F.lit(d))), "ancestors")
+        up = level.join(edges, level["ancestor"] == edges["child"]).select("node", F.col("parent").alias("ancestor")).distinct()
+        fresh = up.join(found.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(d))
+        level = materialised(fresh, "ancestors")  # a level is written once; what was found before is only read
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
     return found.filter("depth > 0 and ancestor not like '\\_:%'")
 
 
