@@ -9,7 +9,8 @@ role a line feed becomes "&#10;". An escaped string thus contains no mark, so th
 
 Cases: null text and null role are empty; turns are ordered by turn number (nulls first), ties by role and text, and
 repeated rows stay repeated turns; a conversation that breaks the turn order is formatted all the same and has valid =
-false; rows with a null conv_id are one conversation; an empty table gives no rows.
+false; rows with a null conv_id are one conversation; very long texts are handled whole, as one string; an empty table
+gives no rows; further columns are ignored, whatever their names.
 
 A conversation is one row of the output and its digests run over all of its text in order, so it is gathered as one
 array. Rows are narrowed to what the array needs before that shuffle.
@@ -92,7 +93,7 @@ def format_chats(rows: DataFrame, template: Template = CHATML) -> DataFrame:
 
 
 def parse_chats(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
-    """conv_id, turns (array<struct<role, text>>), loss_text of formatted conversations, read from their text and segments alone."""
+    """conv_id, valid, turns (array<struct<role, text>>), loss_text of formatted conversations, read from their text and segments alone."""
     pieces = F.split("formatted", _quoted(template.opens))
     pieces = F.slice(pieces, F.lit(2), F.size(pieces))  # nothing stands before the first mark
 
@@ -102,7 +103,7 @@ def parse_chats(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
         return F.struct(unescape_role(F.substr(piece, F.lit(1), at - 1)).alias("role"), unescape(F.substring_index(body, template.closes, 1)).alias("text"))
 
     masked = F.filter("segments", lambda s: s["loss"])
-    return formatted.select("conv_id", "formatted", F.transform(pieces, turn).alias("turns"), F.array_join(F.transform(masked, lambda s: unescape(s["text"])), "").alias("loss_text"))
+    return formatted.select("conv_id", "formatted", "valid", F.transform(pieces, turn).alias("turns"), F.array_join(F.transform(masked, lambda s: unescape(s["text"])), "").alias("loss_text"))
 
 
 def _quoted(text: str) -> str:
@@ -110,7 +111,7 @@ def _quoted(text: str) -> str:
 
 
 def digests(parsed: DataFrame) -> DataFrame:
-    """The lengths and digests of parsed conversations."""
+    """The lengths and digests of parsed conversations, and whether their turn order is valid."""
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return parsed.select(
         "conv_id",
@@ -119,6 +120,7 @@ def digests(parsed: DataFrame) -> DataFrame:
         F.length("loss_text").cast("bigint").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
+        "valid",
     )
 
 

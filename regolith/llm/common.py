@@ -2,46 +2,37 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from regolith.operators.graph import materialised as written
+from regolith.operators.graph import shared_dir
+
+__all__ = ["BATCH_BYTES", "ascii_lower", "arrow_kind", "byte_words", "if_small", "in_batches", "shared_dir", "written"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Output batches are cut at about this many bytes, whatever the rows weigh.
 BATCH_BYTES = 8 << 20
+#: Narrow rows are broadcast only when counted to be so few.
+BROADCAST_ROWS = 1_000_000
 
-_own_dirs: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _own_dirs:
-        _own_dirs.append(tempfile.mkdtemp(prefix="regolith-"))
-        atexit.register(shutil.rmtree, _own_dirs[0], ignore_errors=True)
-    return "file://" + os.path.abspath(_own_dirs[0])
+def ascii_lower(text: Column) -> Column:
+    """A-Z lower-cased and no other letter; null stays null."""
+    return F.translate(text, UPPER, LOWER)
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, and outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z lower-cased and no other letter; null stays null."""
-    return F.translate(text, UPPER, LOWER)
+def arrow_kind(df: DataFrame, column: str) -> pa.DataType:
+    """The Arrow type in which Spark hands a column to Python."""
+    return to_arrow_type(df.schema[column].dataType)
 
 
 def byte_words(text: str | None) -> list[bytes]:

@@ -94,10 +94,11 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
                   string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told,
                   coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
                   sum(24 + length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;'))
-                         + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|'))) AS chars
+                         + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|'))) AS chars,
+                  string_agg(CASE WHEN role IN ('system', 'user', 'assistant') THEN role[1] ELSE '!' END, '' ORDER BY turn NULLS FIRST, role, text) AS roles
            FROM c GROUP BY conv_id)
 SELECT conv_id::BIGINT AS conv_id, n::BIGINT AS n_turns, sha256(told) AS turns_sha256, length(loss)::BIGINT AS loss_chars,
-       sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars
+       sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars, regexp_full_match(roles, 's?(ua)+') AS valid
 FROM g
 """,
     "op5_warc": """
