@@ -10,7 +10,7 @@ frames exceeds both MIN_CUT and the mean plus CUT_SIGMA deviations of the WINDOW
 
 Cases: a null or empty text is one block of zeros; rows with equal texts give equal values; a damaged or foreign file
 raises ValueError in the reader functions and gives no clip rows in `clips`; null media give no rows; further columns
-of the input are ignored.
+of the input are ignored; an empty table gives an empty one; very long texts are one file each, coded GROUP frames at a time.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import in_batches
+from .common import in_batches, written
 
 WIDTH = HEIGHT = 32
 BLOCKS = WIDTH * HEIGHT // 64
@@ -348,7 +348,7 @@ def read_avi(data: bytes) -> dict:
 
 
 def to_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, media): each whole text stored as an AVI file in a binary column."""
+    """(key, n_bytes, media): each whole text stored as an AVI file in a binary column of a table, written and opened again."""
     kind = df.schema[key].dataType.simpleString()
     names = [key, "n_bytes", "media"]
 
@@ -359,7 +359,7 @@ def to_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             rows = ((k, len(d), write_avi(pad(d))) for k, d in zip(b.column(0).to_pylist(), ((x.as_py() or "").encode("utf-8", "surrogatepass") for x in b.column(1))))
             yield from in_batches(rows, schema, lambda r: len(r[2]) + 64)
 
-    return df.select(df[key], df[text]).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in zip(names, (kind, "bigint", "binary"))))
+    return written(df.select(df[key], df[text]).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in zip(names, (kind, "bigint", "binary")))), "media")
 
 
 def features(media: DataFrame, key: str = "doc_id") -> DataFrame:
