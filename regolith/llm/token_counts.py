@@ -5,17 +5,20 @@ tokens. Tier one is a compact hash table of frequent pre-tokens, broadcast: at m
 (two NumPy columns: 64-bit hash, length). Tier two are worker caches of at most CACHE entries: a pre-token that the
 first tier lacks is encoded once by the tokenizer and kept. No pre-token is shuffled; the plan is a scan and a map.
 
-The frequent pre-tokens come from at most SAMPLE whole texts of the input, counted in one task. They decide how fast a count is found and never
-its value, so this bound changes no result. The tables compare 64-bit hashes of pre-tokens that were built on the
+The frequent pre-tokens come from about SAMPLE whole texts, drawn from all partitions and counted where they lie; a task
+hands on its MOST most frequent ones. They decide how fast a count is found and never its value, so these bounds change no result. The tables compare 64-bit hashes of pre-tokens that were built on the
 driver; a pre-token that meets another's hash there is left out of the table.
 
 Cases: a null text counts as empty, with 0 tokens; special strings inside a text count as the tokenizer's default has
 it (one token each); rows are independent, so repeated rows repeat their counts; texts with white space outside the
-classes that both regular-expression libraries share are counted by the tokenizer itself.
+classes that both regular-expression libraries share are counted by the tokenizer itself, as are all texts of a tokenizer
+file with another pre-token pattern; very long texts are counted whole; an empty table gives an empty result; of further
+columns only those in `keep` come back.
 """
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Callable
 
@@ -24,8 +27,9 @@ import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-FREQUENT, CACHE, SAMPLE = 32_768, 200_000, 2_000
+FREQUENT, CACHE, SAMPLE, MOST = 32_768, 200_000, 2_000, 8_192
 #: Longer pre-tokens are encoded each time, so that caches stay small.
 LONG = 64
 #: The pre-token pattern of the byte-level vocabulary.
@@ -57,6 +61,13 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def cuts_as_expected(tokenizer) -> bool:
+    """Whether a tokenizer cuts by PATTERN into bytes, with no normaliser and no blank put before a text."""
+    told = json.loads(tokenizer.to_str())
+    cut = told.get("pre_tokenizer") or {}
+    return not told.get("normalizer") and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+
+
 class Lengths(dict):
     """Pre-token to tokens: the frequent tier's hits and the misses encoded so far, at most CACHE of them."""
 
@@ -67,6 +78,7 @@ class Lengths(dict):
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
         self.cut = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
         self.find = regex.compile(PATTERN).findall
+        self.known = cuts_as_expected(self.tokenizer)
         self.encoded = 0
 
     def __missing__(self, piece: str) -> int:
@@ -86,7 +98,7 @@ class Lengths(dict):
     def count(self, text: str) -> int:
         if not text:
             return 0
-        if not SHARED.fullmatch(text):
+        if not self.known or not SHARED.fullmatch(text):
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
         parts = [text]
         n = 0
@@ -96,14 +108,14 @@ class Lengths(dict):
         return n + sum(sum(map(self.__getitem__, self.find(p))) for p in parts)
 
 
-def frequent_pieces(texts, most: int = FREQUENT) -> list[str]:
-    """The most frequent pre-tokens of some texts."""
+def frequent_pieces(texts, most: int = MOST) -> list[tuple[str, int]]:
+    """The most frequent pre-tokens of some texts, with their counts."""
     seen: Counter = Counter()
     find = regex.compile(PATTERN).findall
     for t in texts:
         if t and SHARED.fullmatch(t):
             seen.update(find(t))
-    return [p for p, _ in seen.most_common(most) if len(p) <= LONG]
+    return [(p, n) for p, n in seen.most_common(most) if len(p) <= LONG]
 
 
 def frequent_lengths(pieces: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -126,9 +138,14 @@ def count_tokens(df: DataFrame, text: str = "text", path: str | None = None, kee
 
     def pieces(batches):
         found = frequent_pieces(t for b in batches for t in b.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["piece"])
-
-    some = [r[0] for r in df.select(df[text]).limit(sample).coalesce(1).mapInArrow(pieces, "piece string").collect()] if sample else []
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["piece", "n"])
+
+    some: list[str] = []
+    rows = df.count() if sample else 0  # from the files' footers
+    if rows:
+        drawn = df.select(df[text]).sample(fraction=min(1.0, sample / rows), seed=3)
+        counted = drawn.mapInArrow(pieces, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
+        some = [r[0] for r in counted.orderBy(F.desc("n"), "piece").limit(FREQUENT).collect()]
     shared = df.sparkSession.sparkContext.broadcast(frequent_lengths(some, path))
     made: dict[str, Lengths] = {}
 
