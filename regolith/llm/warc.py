@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, written
+from .common import if_small, in_batches, written
 
 CHUNK = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -46,12 +46,17 @@ def base32(digest: bytes) -> str:
 
 
 def decided(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, html, n_bytes, digest, record_type, refers_to of each page."""
+    """page_id, url, html, n_bytes, sha1, record_type, refers_to of each page.
+
+    Which pages revisit others is decided on narrow rows, and only payloads that occur more than once have a decision. It
+    comes back by broadcast where such payloads are counted to be few; beyond, by a join that Spark splits where it is skewed.
+    """
     own = pages.select(pages["page_id"].cast("bigint").alias("page_id"), pages["url"].cast("string").alias("url"), F.coalesce(pages["html"], F.lit("")).alias("html"))
-    own = own.withColumn("n_bytes", F.octet_length("html").cast("bigint")).withColumn("same", F.sha2("html", 256))
-    latest = own.groupBy("same").agg(F.max("page_id").alias("latest"))
-    both = own.join(latest.withColumnRenamed("same", "of"), F.col("same") == F.col("of"))
-    revisit = (F.col("n_bytes") >= least) & F.col("latest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("latest"))
+    own = own.withColumn("n_bytes", F.octet_length("html").cast("bigint")).withColumn("same", F.unhex(F.sha2("html", 256)))
+    again = own.filter(F.col("n_bytes") >= least).groupBy(F.col("same").alias("of")).agg(F.max("page_id").alias("latest"), F.count("*").alias("n"))
+    again = written(again.filter("n > 1 and latest is not null").drop("n"), "repeated")
+    both = own.join(if_small(again), F.col("same") == F.col("of"), "left")
+    revisit = F.col("latest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("latest"))
     return both.select("page_id", "url", "html", "n_bytes", F.sha1("html").alias("sha1"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("latest")).alias("refers_to"))
 
 
