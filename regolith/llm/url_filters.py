@@ -15,10 +15,13 @@ host_verdicts() has the masses of personalised PageRank from the same seeds. The
 to a blocked one, so that they rank hosts of one graph, and no page is judged by them.
 
 Every round is two joins by host over aggregated host edges, written to the shared folder every few rounds. A host with a
-third of all pages or links is aggregated map-side first, and rounds work on one row for each pair of hosts.
+third of all pages or links is aggregated map-side first, and rounds work on one row for each pair of hosts. Verdicts of hosts and
+the state of a round are broadcast where they are counted to be few, so that a common host is no hot key; beyond, Spark
+splits joins that are skewed.
 
 Cases: a null url, or one without "://", has empty host and path, fits no rule, is no node, and is allowed; null or empty
-html has no links; repeated pages count each time; an empty table gives an empty result.
+html has no links; very long html is searched whole; repeated pages count each time; an empty table gives an empty result; further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import BROADCAST_ROWS, ascii_lower, if_small, written
 
 DAMPING, ROUNDS, BLOCK_AT = 0.85, 12, 0.5
 #: A lineage cut every so many rounds.
@@ -86,8 +89,9 @@ def propagate(seed: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(seed, "node", "full_outer")
     state = nodes.join(ends, "node", "left").select("node", F.coalesce("seed", F.lit(0.0)).alias("seed"), F.coalesce("flows", F.lit(False)).alias("flows"))
     state = written(state.withColumn("mass", F.col("seed")), "rank")
+    light = F.broadcast if state.count() <= BROADCAST_ROWS else (lambda df: df)
     for i in range(1, rounds + 1):
-        sent = edges.join(state.select(F.col("node").alias("src"), "mass"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("mass") * F.col("weight")).alias("got"))
+        sent = edges.join(light(state.select(F.col("node").alias("src"), "mass")), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("mass") * F.col("weight")).alias("got"))
         kept = F.when(F.col("flows"), F.lit(0.0)).otherwise(F.col("mass"))
         state = state.join(sent, "node", "left").select(
             "node", "seed", "flows", ((1 - damping) * F.col("seed") + damping * (kept + F.coalesce("got", F.lit(0.0)))).alias("mass")
@@ -109,15 +113,10 @@ def _verdict(block_at: float) -> Column:
 
 def host_verdicts(pages_judged: DataFrame, edges: DataFrame, rounds: int = ROUNDS, block_at: float = BLOCK_AT) -> DataFrame:
     """(host, trust, distrust, verdict) of each host that has a page or a link, by PageRank masses."""
-    found = seeds(pages_judged)
-    edges = written(edges, "edges")
-    if edges.isEmpty():
-        spread = found
-    else:
-        found = written(found, "seeds")
-        trust = propagate(found.select(F.col("host").alias("node"), F.col("trust").alias("seed")), _weighted(edges, "src", "dst"), rounds)
-        distrust = propagate(found.select(F.col("host").alias("node"), F.col("distrust").alias("seed")), _weighted(edges, "dst", "src"), rounds)
-        spread = trust.select(F.col("node").alias("host"), F.col("mass").alias("trust")).join(distrust.select(F.col("node").alias("host"), F.col("mass").alias("distrust")), "host")
+    found, edges = written(seeds(pages_judged), "seeds"), written(edges, "edges")
+    trust = propagate(found.select(F.col("host").alias("node"), F.col("trust").alias("seed")), _weighted(edges, "src", "dst"), rounds)
+    distrust = propagate(found.select(F.col("host").alias("node"), F.col("distrust").alias("seed")), _weighted(edges, "dst", "src"), rounds)
+    spread = trust.select(F.col("node").alias("host"), F.col("mass").alias("trust")).join(distrust.select(F.col("node").alias("host"), F.col("mass").alias("distrust")), "host")
     return spread.withColumn("verdict", _verdict(block_at))
 
 
@@ -125,8 +124,9 @@ def shares(seed: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: flo
     """(node, share): seed is (node, seed), edges is (src, dst, weight) with the weights of a src adding up to 1; src takes from dst."""
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(seed, "node", "full_outer")
     state = written(nodes.select("node", F.coalesce("seed", F.lit(0.0)).alias("seed")).withColumn("share", F.col("seed")), "shares")
+    light = F.broadcast if state.count() <= BROADCAST_ROWS else (lambda df: df)
     for i in range(1, rounds + 1):
-        mean = edges.join(state.select(F.col("node").alias("dst"), "share"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("share") * F.col("weight")).alias("mean"))
+        mean = edges.join(light(state.select(F.col("node").alias("dst"), "share")), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("share") * F.col("weight")).alias("mean"))
         state = state.join(mean, "node", "left").select("node", "seed", (F.col("seed") + (1 - F.col("seed")) * damping * F.coalesce("mean", F.lit(0.0))).alias("share"))
         if i % CUT == 0 and i < rounds:
             state = written(state, "shares")
@@ -135,13 +135,10 @@ def shares(seed: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: flo
 
 def host_shares(pages_judged: DataFrame, edges: DataFrame, rounds: int = ROUNDS, block_at: float = BLOCK_AT) -> DataFrame:
     """(host, trust, distrust, verdict) of each host that has a page or a link, by which pages are judged."""
-    found = seeds(pages_judged)
-    edges = written(edges, "edges")
-    if not edges.isEmpty():
-        found = written(found, "seeds")
-        trust = shares(found.select(F.col("host").alias("node"), F.col("trust").alias("seed")), _weighted(edges, "dst", "src"), rounds)
-        distrust = shares(found.select(F.col("host").alias("node"), F.col("distrust").alias("seed")), _weighted(edges, "src", "dst"), rounds)
-        found = trust.select(F.col("node").alias("host"), F.col("share").alias("trust")).join(distrust.select(F.col("node").alias("host"), F.col("share").alias("distrust")), "host")
+    found, edges = written(seeds(pages_judged), "seeds"), written(edges, "edges")
+    trust = shares(found.select(F.col("host").alias("node"), F.col("trust").alias("seed")), _weighted(edges, "dst", "src"), rounds)
+    distrust = shares(found.select(F.col("host").alias("node"), F.col("distrust").alias("seed")), _weighted(edges, "src", "dst"), rounds)
+    found = trust.select(F.col("node").alias("host"), F.col("share").alias("trust")).join(distrust.select(F.col("node").alias("host"), F.col("share").alias("distrust")), "host")
     return found.withColumn("verdict", _verdict(block_at))
 
 
@@ -149,5 +146,5 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, rou
     """page_id, host, path, rule, verdict of each page."""
     own = judged(pages, rules)
     hosts = host_shares(own, host_edges(pages), rounds, block_at).select(F.col("host").alias("of"), F.col("verdict").alias("host_verdict"))
-    both = own.join(hosts, own["host"] == hosts["of"], "left")
+    both = own.join(if_small(written(hosts, "verdicts")), own["host"] == F.col("of"), "left")
     return both.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "host_verdict", F.lit("allow")).alias("verdict"))
