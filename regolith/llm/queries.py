@@ -81,10 +81,16 @@ WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all
      dw AS (SELECT r, n, w, unnest(range(0, len(w) - n + 1)) AS s FROM d, (SELECT DISTINCT n FROM ik) WHERE len(w) >= n),
      h AS (SELECT r, s, n, item_id FROM (SELECT r, n, s, array_to_string(w[s + 1 : s + n], ' ') AS k FROM dw) JOIN ik USING (n, k)),
      p AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS pos FROM h) GROUP BY r),
-     t AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM h) GROUP BY r)
+     t AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM h) GROUP BY r),
+     v AS (SELECT DISTINCT item_id, unnest(w) AS word FROM i),
+     o AS (SELECT r, word, pos FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d) WHERE word IN (SELECT word FROM v)),
+     c AS (SELECT item_id, word, row_number() OVER (PARTITION BY item_id ORDER BY n, word) AS k FROM v JOIN (SELECT word, count(*) AS n FROM o GROUP BY word) USING (word)),
+     a AS (SELECT item_id, r, pos FROM c JOIN o USING (word) WHERE k = 1), b AS (SELECT item_id, r, pos FROM c JOIN o USING (word) WHERE k = 2),
+     m AS (SELECT r, count(DISTINCT a.item_id) AS n_near FROM a JOIN b USING (item_id, r) WHERE abs(a.pos - b.pos) <= 13 GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN p USING (r) LEFT JOIN t USING (r)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN p USING (r) LEFT JOIN t USING (r) LEFT JOIN m USING (r)
 """ % (_LOWER.format("text"), _LOWER.format("text")),
     "op2_chat_format": """
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
