@@ -10,7 +10,8 @@ that distance.
 Documents with equal shingle sets are one class from the start. Buckets of keys never emit all their pairs:
 
 1. Each bucket links its members to one hub; pairs too far in signature or size are put aside, the rest is confirmed on
-   full sets, and connected classes become one component. Buckets within one component are done; most are.
+   full sets, and connected classes become one component. Buckets within one component are done; most are. Heavy buckets
+   that are not get another hub, up to STARS times and as long as that links anything.
 2. In light buckets that touch several components (at most HEAVY rows) all pairs of different components are compared by
    signature inside a join, each pair in the first bucket that it shares, and confirmed on full sets: at most HEAVY rows
    for each bucket row.
@@ -22,7 +23,8 @@ alternating stars on confirmed links, cut by written tables. Nothing grows on th
 
 Cases: null and empty texts, or texts without words, have no shingles and are linked with nothing; with fewer words than
 a shingle the whole sequence is the one shingle; repeated rows are in one class and give equal rows; a null doc_id is never
-the smallest; an empty table gives an empty result; further columns are ignored.
+the smallest; ids may be of any type that orders; the shingles of a very long text are one set in one row; an empty table
+gives an empty result; further columns are ignored, whatever their names, and keep_one returns them as they are.
 """
 
 from __future__ import annotations
@@ -35,15 +37,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_words, in_batches, written
+from .common import BROADCAST_ROWS, arrow_kind, byte_words, if_small, in_batches, written
 
 CHUNKS, SLOTS = 12, 6
 PLACES = CHUNKS * SLOTS
 SIMILAR = 80
 #: Larger buckets are compared in blocks of so many classes, smaller ones by a join.
 HEAVY, BLOCK = 64, 192
-#: Ids are broadcast only when counted to be so few; beyond, the join is by shuffle.
-BROADCAST_ROWS, FEW = 1_000_000, 8
+#: Most shingles of a block's sets, but for a single larger set.
+BLOCK_SHINGLES, STARS = 1 << 21, 3
+#: Tables counted to be small are worked on in so few tasks; of rows with signatures so many are broadcast at most.
+FEW, BROADCAST_SIGNATURES = 8, 200_000
 
 _RNG = np.random.Generator(np.random.PCG64(20))
 _MUL = _RNG.integers(1, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -180,11 +184,6 @@ def _close(a: str, b: str, similar: int) -> Column:
     return (100 * small >= similar * large) & (F.aggregate(_differences(a, b), F.lit(0), lambda t, v: t + v) <= most_distance(similar))
 
 
-def _if_small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _near(pairs: DataFrame, info: DataFrame, similar: int) -> DataFrame:
     """The pairs (a, b) whose sizes and signatures allow the similarity. info: (set_id, n, sig)."""
     x = info.select(F.col("set_id").alias("a"), F.struct("n", "sig").alias("x"))
@@ -194,9 +193,9 @@ def _near(pairs: DataFrame, info: DataFrame, similar: int) -> DataFrame:
 
 def full_sets(docs: DataFrame, picked: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(set_id, shingles) of wanted classes, from their whole texts. picked: (set_id, doc_id), a document of each class."""
-    ids = written(picked.join(_if_small(wanted), "set_id").select(F.col("doc_id").alias("id")).distinct(), "wanted")
-    texts = docs.join(_if_small(ids), docs["doc_id"].eqNullSafe(ids["id"]), "left_semi").select("text")
-    found = _shingled(texts, size).join(_if_small(wanted), "set_id", "left_semi")
+    ids = written(picked.join(if_small(wanted), "set_id").select(F.col("doc_id").alias("id")).distinct(), "wanted")
+    texts = docs.join(if_small(ids), docs["doc_id"].eqNullSafe(ids["id"]), "left_semi").select("text")
+    found = _shingled(texts, size).join(if_small(wanted), "set_id", "left_semi")
     return written(found.dropDuplicates(["set_id"]), "sets")  # rows may share a doc_id
 
 
@@ -241,24 +240,23 @@ def components(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
 
 
 def _labelled(buckets: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """(key, set_id, comp) of buckets that touch several components."""
+    """(key, at, set_id, comp) of buckets that touch several components. Extremes are aggregated before they meet."""
     if comps is None:
         return buckets.withColumn("comp", F.col("set_id"))
-    own = buckets.join(_if_small(comps), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
-    each = Window.partitionBy("key")
-    several = own.withColumn("lo", F.min("comp").over(each)).withColumn("hi", F.max("comp").over(each)).filter("lo <> hi")
-    return several.select("key", "at", "set_id", "comp")
+    own = written(buckets.join(if_small(comps), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id")), "labelled")
+    several = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    return own.join(if_small(several), "key", "left_semi").select("key", "at", "set_id", "comp")
 
 
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def _star(open_rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of each bucket's members with its hub, of different components."""
-    me = F.struct(F.xxhash64("set_id").alias("order"), "set_id", "comp")
-    with_hub = open_rows.select("set_id", "comp", F.min(me).over(Window.partitionBy("key")).alias("hub"))
-    return _ordered(with_hub.filter("comp <> hub.comp"), "set_id", "hub.set_id")
+def _star(open_rows: DataFrame, no: int = 0) -> DataFrame:
+    """Distinct pairs (a, b) of each bucket's members with its hub, of different components; another hub for each no."""
+    hub = F.min(F.struct(F.xxhash64("set_id", F.lit(no)).alias("order"), "set_id", "comp")).alias("hub")
+    both = open_rows.select("key", "set_id", "comp").join(open_rows.groupBy("key").agg(hub), "key")
+    return _ordered(both.filter("comp <> hub.comp"), "set_id", "hub.set_id")
 
 
 def _all_across(open_rows: DataFrame, info: DataFrame, similar: int) -> DataFrame:
@@ -266,7 +264,7 @@ def _all_across(open_rows: DataFrame, info: DataFrame, similar: int) -> DataFram
 
     A pair comes out of the first bucket that it shares and of no other, so nothing is emitted twice.
     """
-    full = open_rows.join(_if_small(info), "set_id").select("key", "at", F.struct("set_id", "comp", "n", "sig").alias("x"))
+    full = open_rows.join(if_small(info, BROADCAST_SIGNATURES), "set_id").select("key", "at", F.struct("set_id", "comp", "n", "sig").alias("x"))
     other = full.select("key", F.col("at").alias("at_y"), F.col("x").alias("y"))
     met = full.join(other, "key").filter((F.col("at") == F.col("at_y")) & (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.comp") != F.col("y.comp")) & _close("x", "y", similar) & _first_met("x", "y", F.col("at")))
     return met.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
@@ -282,7 +280,8 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
 
 def _heavy(open_rows: DataFrame) -> DataFrame:
     """open_rows with `heavy`: whether their bucket has more than HEAVY rows."""
-    return open_rows.withColumn("heavy", F.count("*").over(Window.partitionBy("key")) > HEAVY)
+    large = open_rows.groupBy("key").agg(F.count("*").alias("of")).filter(F.col("of") > HEAVY).select("key", F.lit(True).alias("heavy"))
+    return open_rows.join(if_small(large), "key", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
 
 
 def _within(group: pa.Table, similar: int) -> pa.Table:
@@ -322,14 +321,15 @@ def _within(group: pa.Table, similar: int) -> pa.Table:
 def _in_blocks(heavy_rows: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """Links (a, b) that join all components which similar pairs in heavy buckets join.
 
-    Buckets that share a class are one family; a family's classes are dealt to blocks of BLOCK, and every two blocks meet
-    in a task of their own, where intersections of the full sets are a matrix product. So memory is bounded by a block,
-    work is dealt out whatever a family's size, and no pair is a row: only links between components come out.
+    Buckets that share a class are one family; a family's classes are dealt to blocks of about BLOCK classes and at most
+    about BLOCK_SHINGLES shingles, and every two blocks meet in a task of their own, where intersections of the full sets
+    are a matrix product. So memory is bounded by a block, work is dealt out whatever a family's size, and no pair is a row: only links between components come out.
     """
-    star = heavy_rows.select(F.col("set_id").alias("a"), F.min("set_id").over(Window.partitionBy("key")).alias("b")).filter("a <> b").distinct()
+    first = heavy_rows.groupBy("key").agg(F.min("set_id").alias("b"))
+    star = heavy_rows.select("key", F.col("set_id").alias("a")).join(first, "key").filter("a <> b").select("a", "b").distinct()
     families = components(star).withColumnRenamed("comp", "family")
-    members = heavy_rows.select("set_id", "comp").distinct().join(families, "set_id")
-    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = heavy_rows.select("set_id", "comp").distinct().join(families, "set_id").join(sets.select("set_id", F.size("shingles").alias("n")), "set_id")
+    sizes = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     full = placed.join(sets, "set_id")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -344,16 +344,24 @@ def link_classes(classes: DataFrame, docs: DataFrame, picked: DataFrame, size: i
         return None
     wanted = written(buckets.select("set_id").distinct(), "members")
     sets = full_sets(docs, picked, wanted, size)
-    info = written(classes.select("set_id", "n", "sig").join(_if_small(wanted), "set_id", "left_semi"), "info")
+    info = written(classes.select("set_id", "n", "sig").join(if_small(wanted), "set_id", "left_semi"), "info")
     near = written(_near(_star(_labelled(buckets, None)), info, similar), "pairs")
     links = written(_confirmed(near, sets, similar), "links")
     comps = None if links.isEmpty() else components(links)
     open_rows = written(_heavy(_labelled(buckets, comps)), "open")
     heavy_rows = open_rows.filter("heavy")
     near = written(_all_across(open_rows.filter("not heavy"), info, similar), "pairs")
-    more = _confirmed(near, sets, similar)
+    more = written(_confirmed(near, sets, similar), "links")
     if not heavy_rows.isEmpty():
-        more = more.unionByName(_in_blocks(heavy_rows, sets, similar))
+        if not more.isEmpty():
+            comps = components(more, comps)
+        for no in range(1, STARS + 1):
+            heavy_rows = _labelled(heavy_rows.select("key", "at", "set_id"), comps)
+            links = written(_confirmed(_near(_star(heavy_rows, no), info, similar), sets, similar), "links")
+            if links.isEmpty():
+                break
+            comps = components(links, comps)
+        more = _in_blocks(_labelled(heavy_rows.select("key", "at", "set_id"), comps), sets, similar)
     more = written(more, "links")
     return comps if more.isEmpty() else components(more, comps)
 
@@ -374,7 +382,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: int = SIMILAR) -> D
         labels = picked.select("set_id", F.col("doc_id").alias("component_id"))
     else:
         labels = picked.join(comps, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
-        labels = labels.join(labels.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp").select("set_id", "component_id")
+        least = written(labels.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
+        labels = labels.join(if_small(least), "comp").select("set_id", "component_id")
     own = found.select("doc_id", F.col("n").alias("n_shingles"), "set_id")
     out = own.join(labels.withColumnRenamed("set_id", "of"), F.col("set_id") == F.col("of"), "left")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
@@ -391,9 +400,9 @@ def keep_one(docs: DataFrame, size: int = 5, similar: int = SIMILAR) -> DataFram
     rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
     same = F.col("row.doc_id") == F.col("id")
     # ids that go, or repeat, are fewer than those that stay, so texts are seldom shuffled
-    once = rows.join(_if_small(judged.select("id")), same, "left_anti")
+    once = rows.join(if_small(judged.select("id")), same, "left_anti")
     again = judged.filter("kept").select("id")
     if not again.isEmpty():
-        doubled = rows.join(_if_small(again), same, "left_semi").withColumn("no", F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text")))
+        doubled = rows.join(if_small(again), same, "left_semi").withColumn("no", F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text")))
         once = once.unionByName(doubled.filter("no = 1").drop("no"))
     return once.select("row.*")
