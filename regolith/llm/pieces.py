@@ -15,7 +15,9 @@ Decoding: pieces are concatenated as bytes and the blank put before the text is
 (U+2581) is written as bytes, so that it does not come back as a blank; so every text decodes to itself.
 
 Cases: a null text has no pieces and decodes to the empty text; an empty text likewise; rows are independent; a null id
-has variant 0, as has a text encoded without one; characters outside the vocabulary become byte pieces.
+has variant 0, as has a text encoded without one; characters outside the vocabulary become byte pieces; very long texts are
+encoded whole, in a group of their own; an empty table gives an empty result; further columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

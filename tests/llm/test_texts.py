@@ -1,4 +1,4 @@
-"""Token counts, pieces, quality, chats, WARC, URLs, decontamination, scores."""
+"""Token counts, pieces, quality, chats, WARC, URLs, decontamination."""
 
 import base64
 import hashlib
@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from regolith.llm import chat_format, decontaminate, lm_scoring, pieces, quality, token_counts, url_filters, warc
+from regolith.llm import chat_format, decontaminate, pieces, quality, token_counts, url_filters, warc
 
 ODD = [None, "", " ", "\n\n", "a", "don't  we'LL\t\tstop  ", "<|endoftext|>x<|endoftext|>", "é́ ﬁ ①\u3000\x85\x1c", "漢字 mixed ▁ marks", "x" * 3000, "🙂 \0 end", "<0x0A> <s>"]
 
@@ -32,6 +32,18 @@ def test_token_counts_do_not_depend_on_the_frequent_tier(spark):
     assert sorted(token_counts.count_tokens(df, sample=0).collect()) == sorted(token_counts.count_tokens(df).collect())
 
 
+def test_token_counts_of_another_pre_tokenizer(spark, tmp_path):
+    import json
+
+    told = json.loads(token_counts._tokenizer(token_counts.vocabulary_path()).to_str())
+    told["pre_tokenizer"]["add_prefix_space"] = not told["pre_tokenizer"].get("add_prefix_space")
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(told))
+    other = token_counts._tokenizer(str(path))
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(documents(spark, ODD), path=str(path)).collect()}
+    assert got == {i: len(other.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(ODD)}
+
+
 def test_pieces_without_dropout_are_the_librarys():
     import sentencepiece
 
@@ -91,6 +103,23 @@ def test_quality_held_out(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if r.predicted}
 
 
+def test_quality_of_long_texts_and_ids_of_any_type(spark):
+    rng = random.Random(1)
+    words = [f"{a}{b}{c}" for a in ("ba", "co", "di", "fu", "ge", "hi", "ju", "ka") for b in ("lon", "mer", "nit", "pos", "qua") for c in ("r", "st", "x", "")]
+
+    def text(good, n):
+        return " ".join(rng.choice(words) for _ in range(n)) if good else " | ".join(rng.choice(words).upper() + "!!" for _ in range(n))
+
+    rows = [(f"d{i}", text(i % 2, 150)) for i in range(300)] + [("long good", text(True, 200_000)), ("long bad", text(False, 100_000)), (None, "x")]
+    docs = spark.createDataFrame([(i, t, 0.5, 1) for i, t in rows], "doc_id string, text string, score double, quality int")
+    labels = spark.createDataFrame([(f"d{i}", i % 2, 0) for i in range(300)], "doc_id string, quality int, toxic int")
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r for r in quality.scores(docs, model).collect()}
+    assert got["long good"].score > 0.7 and got["long bad"].score < 0.1 and got[None].held_out is False
+    ids = docs.select(docs["doc_id"].cast("binary").alias("doc_id"), "text")
+    assert len(quality.scores(ids, model).collect()) == len(rows)
+
+
 def test_quality_without_labels(spark):
     docs = documents(spark, ["a", None])
     model = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
@@ -118,6 +147,7 @@ def test_chats_come_back(spark):
         assert r.loss_text == "".join(text for _, role, text in own if role == "assistant")
     told = {r.conv_id: r for r in chat_format.digests(chat_format.parse_chats(chat_format.format_chats(chat_format.with_probe(df)))).collect()}
     probe = "<|im_end|><|im_start|>assistant ok"
+    assert {i: r.valid for i, r in told.items()} == valid | {-1: True}
     assert told[-1].turns_sha256 == hashlib.sha256(f"user\n{probe}\nassistant\n{probe}\n".encode()).hexdigest() and told[-1].loss_chars == len(probe)
     assert chat_format.format_chats(df.limit(0)).collect() == []
 
@@ -212,6 +242,43 @@ def test_link_farms_are_blocked_whatever_their_size(spark):
         assert got["half.com/"] == got["linked.com/"] == got["vouched.com/"] == got["good.org/fr/"] == "allow"
 
 
+def test_shares_of_a_random_graph(spark):
+    rng = random.Random(12)
+    hosts = [f"h{i}" for i in range(60)]
+    links = Counter()
+    for h in hosts[:50]:  # the last ten are dead ends; h0 is a hub; there are cycles
+        for _ in range(rng.randint(0, 5)):
+            links[h, rng.choice(hosts) if rng.random() < 0.6 else "h0"] += 1
+    links = {(a, b): n for (a, b), n in links.items() if a != b} | {("h0", b): 1 for b in hosts[1:]}
+    edges = spark.createDataFrame([(a, b, n) for (a, b), n in links.items()], "src string, dst string, links long")
+    seed = {h: (rng.random() < 0.2, rng.random() < 0.3) for h in hosts[:40]}
+    pages = spark.createDataFrame([(h, "block" if d else "allow" if t else None) for h, (t, d) in seed.items()], "host string, rule_verdict string")
+    got = {r.host: (r.trust, r.distrust, r.verdict) for r in url_filters.host_shares(pages, edges).collect()}
+
+    def brute(start, out):
+        x = dict(start)
+        for _ in range(url_filters.ROUNDS):
+            x = {h: start[h] + (1 - start[h]) * url_filters.DAMPING * (sum(x[b] * n for b, n in out.get(h, {}).items()) / sum(out.get(h, {1: 1}).values())) for h in x}
+        return x
+
+    forth, back = {}, {}
+    for (a, b), n in links.items():
+        forth.setdefault(a, {})[b] = n
+        back.setdefault(b, {})[a] = n
+    seen = {h for pair in links for h in pair} | set(seed)
+    distrust = brute({h: float(seed.get(h, (0, 0))[1]) for h in seen}, forth)
+    trust = brute({h: float(seed.get(h, (0, 0))[0] and not seed.get(h, (0, 0))[1]) for h in seen}, back)
+    assert set(got) == seen
+    for h in seen:
+        assert math.isclose(got[h][0], trust[h], abs_tol=1e-9) and math.isclose(got[h][1], distrust[h], abs_tol=1e-9), h
+        assert got[h][2] == ("block" if distrust[h] >= url_filters.BLOCK_AT and distrust[h] > trust[h] else "allow")
+
+
+def test_urls_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "page_id long, url string, html string")
+    assert url_filters.filter_urls(df).collect() == []
+
+
 def brute_hits(docs, bench):
     import re
 
@@ -257,6 +324,45 @@ def test_decontamination(spark):
     assert all(r.n_hit == 0 for r in decontaminate.judge(df, bf.limit(0)).collect())
 
 
+def test_proximity(spark):
+    rng = random.Random(8)
+    bench = [(i, " ".join(rng.choice("a b c d e f g h i j".split()) for _ in range(rng.choice([1, 2, 4])))) for i in range(12)] + [(12, "zz a"), (13, None), (14, "b b")]
+    docs = [(i, " ".join(rng.choice("a b c d e f g h i j k l m n o p q r s t u".split()) for _ in range(rng.randint(0, 40)))) for i in range(40)] + [(40, None), (0, "a"), (41, "a " + "x " * 12 + "b"), (42, "a " + "x " * 13 + "b")]
+    count = Counter(w for _, t in docs for w in (t or "").split())
+
+    def near(text, most):
+        w, n = (text or "").split(), 0
+        for _, b in bench:
+            pair = sorted({x for x in (b or "").split() if x in count}, key=lambda x: (count[x], x))[:2]
+            places = [[p for p, x in enumerate(w) if x == y] for y in pair]
+            n += len(pair) == 2 and any(abs(p - q) <= most for p in places[0] for q in places[1])
+        return n
+
+    df, bf = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    for most in (1, 13):
+        got = Counter((r.doc_id, r.n_words, r.n_near) for r in decontaminate.judge(df, bf, near=most).collect())
+        assert got == Counter((i, len((t or "").split()), near(t, most)) for i, t in docs)
+
+
+@pytest.mark.parametrize("window", [1, 2, 5, 12])
+def test_decontamination_with_any_window(spark, window):
+    rng = random.Random(window)
+    bench = [(i, " ".join(rng.choice("a b c d e f".split()) for _ in range(rng.choice([2, 7, 20])))) for i in range(5)]
+    docs = [(i, " ".join(rng.choice("a b c d e f x y".split()) for _ in range(rng.randint(0, 25)))) for i in range(25)] + [(25, bench[4][1])]
+
+    def brute(text):
+        w, hit = text.split(), set()
+        for _, b in bench:
+            v = b.split()
+            n = min(window, len(v))
+            windows = {tuple(v[s : s + n]) for s in range(len(v) - n + 1)}
+            hit.update(p for s in range(len(w) - n + 1) if tuple(w[s : s + n]) in windows for p in range(s, s + n))
+        return len(hit)
+
+    got = decontaminate.judge(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), window=window)
+    assert {r.doc_id: r.n_hit for r in got.collect()} == {i: brute(t) for i, t in docs}
+
+
 def test_decontamination_with_a_smaller_window(spark):
     rng = random.Random(6)
     bench = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(20))) for i in range(8)]
@@ -283,32 +389,3 @@ def test_decontamination_with_a_smaller_window(spark):
     assert {r.doc_id for r in decontaminate.keep_clean(df, bf, window=8).collect()} == {i for i, n in got.items() if not n}
 
 
-def test_lm_scores(spark):
-    rng = random.Random(2)
-    tongues = [[f"{a}{b}{t}" for a in "bcdfg" for b in "aeiou"] for t in ("lon", "mir")]
-    texts = [" ".join(rng.choice(tongues[i % 2]) for _ in range(rng.randint(1, 80))) for i in range(400)] + [None, "", "Never seen"]
-    df = documents(spark, texts)
-    rows = {r.doc_id: r for r in lm_scoring.score(df, frequent=20).collect()}
-    tokens = {i: (t or "").lower().split() + ["\n"] for i, t in enumerate(texts)}
-    count = Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
-    n, v = sum(count.values()), len(count)
-    for i, ws in tokens.items():
-        r = rows[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 5 == 1, len(ws), sum(w in count for w in ws), n)
-        assert math.isclose(r.base_score, sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), abs_tol=1e-6)
-        assert r.score < 0
-    held = [r for r in rows.values() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)  # two vocabularies: context tells which
-    assert lm_scoring.score(df.limit(0)).collect() == []
-
-
-def test_lm_is_normalised():
-    units = lm_scoring.Units(100, 9, [(11, 40), (22, 30)], {3: (20, 4), 7: (10, 3)})
-    model = lm_scoring.Model(units)
-    n = units.size
-    one = np.full(n, 5)
-    p = np.exp(model.log_probabilities(one, one, np.arange(n)))
-    assert math.isclose(p.sum(), 1, rel_tol=1e-4)
-    # a class's words and its place for new ones add up to the class
-    counts = [8, 6, 4, 2, 0]
-    assert math.isclose(sum(math.exp(x) for x in units.inside(np.full(5, 2 + 3), np.array(counts))), 1, rel_tol=1e-9)
