@@ -14,7 +14,7 @@ host's distrust is at least BLOCK_AT and above its trust, else allowed.
 host_verdicts() has the masses of personalised PageRank from the same seeds. They are shared out over all hosts that link
 to a blocked one, so that they rank hosts of one graph, and no page is judged by them.
 
-Every round is two joins by host over aggregated host edges, written to the shared folder every few rounds. A host with a
+Every round is two joins by host over aggregated host edges, written to the shared folder every round. A host with a
 third of all pages or links is aggregated map-side first, and rounds work on one row for each pair of hosts. Verdicts of hosts and
 the state of a round are broadcast where they are counted to be few, so that a common host is no hot key; beyond, Spark
 splits joins that are skewed.
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, ascii_lower, if_small, written
 
 DAMPING, ROUNDS, BLOCK_AT = 0.85, 12, 0.5
-#: A lineage cut every so many rounds.
-CUT = 4
+#: The state is written every so many rounds; a round reads it twice, so that unwritten rounds would double in work each time.
+CUT = 1
 #: Fixed values: (host, path, verdict) of the contract.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -120,26 +120,35 @@ def host_verdicts(pages_judged: DataFrame, edges: DataFrame, rounds: int = ROUND
     return spread.withColumn("verdict", _verdict(block_at))
 
 
-def shares(seed: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(node, share): seed is (node, seed), edges is (src, dst, weight) with the weights of a src adding up to 1; src takes from dst."""
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(seed, "node", "full_outer")
-    state = written(nodes.select("node", F.coalesce("seed", F.lit(0.0)).alias("seed")).withColumn("share", F.col("seed")), "shares")
+def _takes(edges: DataFrame) -> DataFrame:
+    """(node, other, trust_by, distrust_by): whose shares a node takes, and by what part: distrust from where it links to, trust from where it is linked."""
+    nothing = F.lit(0.0)
+    forth = _weighted(edges, "src", "dst").select(F.col("src").alias("node"), F.col("dst").alias("other"), nothing.alias("trust_by"), F.col("weight").alias("distrust_by"))
+    back = _weighted(edges, "dst", "src").select(F.col("src").alias("node"), F.col("dst").alias("other"), F.col("weight").alias("trust_by"), nothing.alias("distrust_by"))
+    return written(forth.unionByName(back), "takes")
+
+
+def host_shares(pages_judged: DataFrame, edges: DataFrame, rounds: int = ROUNDS, block_at: float = BLOCK_AT) -> DataFrame:
+    """(host, trust, distrust, verdict) of each host that has a page or a link, by which pages are judged. Rounds end before `rounds` where no share moves any more."""
+    takes = _takes(written(edges, "edges"))
+    seed = seeds(pages_judged).select(F.col("host").alias("node"), F.col("trust").alias("trust_seed"), F.col("distrust").alias("distrust_seed"))
+    nodes = takes.select("node").distinct().join(seed, "node", "full_outer").na.fill(0.0)
+    state = written(nodes.withColumn("trust", F.col("trust_seed")).withColumn("distrust", F.col("distrust_seed")).withColumn("moved", F.lit(True)), "shares")
     light = F.broadcast if state.count() <= BROADCAST_ROWS else (lambda df: df)
+
+    def share(kind: str):
+        return F.col(f"{kind}_seed") + (1 - F.col(f"{kind}_seed")) * DAMPING * F.coalesce(f"{kind}_mean", F.lit(0.0))
+
     for i in range(1, rounds + 1):
-        mean = edges.join(light(state.select(F.col("node").alias("dst"), "share")), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("share") * F.col("weight")).alias("mean"))
-        state = state.join(mean, "node", "left").select("node", "seed", (F.col("seed") + (1 - F.col("seed")) * damping * F.coalesce("mean", F.lit(0.0))).alias("share"))
+        others = light(state.select(F.col("node").alias("other"), "trust", "distrust"))
+        mean = takes.join(others, "other").groupBy("node").agg(F.sum(F.col("trust") * F.col("trust_by")).alias("trust_mean"), F.sum(F.col("distrust") * F.col("distrust_by")).alias("distrust_mean"))
+        moved = ((share("trust") != F.col("trust")) | (share("distrust") != F.col("distrust"))).alias("moved")
+        state = state.join(light(mean), "node", "left").select("node", "trust_seed", "distrust_seed", share("trust").alias("trust"), share("distrust").alias("distrust"), moved)
         if i % CUT == 0 and i < rounds:
             state = written(state, "shares")
-    return state.select("node", "share")
-
-
-def host_shares(pages_judged: DataFrame, edges: DataFrame, rounds: int = ROUNDS, block_at: float = BLOCK_AT) -> DataFrame:
-    """(host, trust, distrust, verdict) of each host that has a page or a link, by which pages are judged."""
-    found, edges = written(seeds(pages_judged), "seeds"), written(edges, "edges")
-    trust = shares(found.select(F.col("host").alias("node"), F.col("trust").alias("seed")), _weighted(edges, "dst", "src"), rounds)
-    distrust = shares(found.select(F.col("host").alias("node"), F.col("distrust").alias("seed")), _weighted(edges, "src", "dst"), rounds)
-    found = trust.select(F.col("node").alias("host"), F.col("share").alias("trust")).join(distrust.select(F.col("node").alias("host"), F.col("share").alias("distrust")), "host")
-    return found.withColumn("verdict", _verdict(block_at))
+            if state.filter("moved").isEmpty():
+                break
+    return state.select(F.col("node").alias("host"), "trust", "distrust", _verdict(block_at).alias("verdict"))
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, rounds: int = ROUNDS, block_at: float = BLOCK_AT) -> DataFrame:
