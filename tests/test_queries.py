@@ -22,7 +22,7 @@ def duck(sf):
 
 def normal(frame):
     def one(v):
-        if v is None or v != v or str(v) in ("<NA>", "NaT"):
+        if v is None or str(v) in ("<NA>", "NaT", "nan"):
             return ""
         return f"{float(v):.6g}" if isinstance(v, (int, float)) and not isinstance(v, bool) and not math.isnan(v) else str(v)
 
