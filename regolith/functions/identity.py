@@ -60,10 +60,19 @@ def canonical_json(semantic: dict) -> str:
     return _compact(canonical_of(semantic))
 
 
+def _loaded(text: str | None) -> dict:
+    """A JSON object; an empty one for what is none."""
+    try:
+        found = json.loads(text) if text else {}
+    except ValueError:
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
 @F.pandas_udf(T.StringType())
 def canonical(semantic_json: pd.Series) -> pd.Series:
-    """Canonical JSON of a semantic block given as JSON; null stays null."""
-    return semantic_json.map(lambda s: None if s is None else canonical_json(json.loads(s)))
+    """Canonical JSON of a semantic block given as JSON; malformed JSON is an empty block, null stays null."""
+    return semantic_json.map(lambda s: None if s is None else canonical_json(_loaded(s)))
 
 
 def canonical_flat(fields: dict[str, Column]) -> Column:
@@ -75,7 +84,7 @@ def canonical_flat(fields: dict[str, Column]) -> Column:
 @F.pandas_udf(T.StringType())
 def _identity(semantic_json: pd.Series, uri: pd.Series, cls: pd.Series, name: pd.Series, description: pd.Series) -> pd.Series:
     def one(s, u, c, n, d):
-        semantic = json.loads(s) if s else {}
+        semantic = _loaded(s)
         block = canonical_of(semantic)
         if u:
             block["_primary_ontology_uri"] = u
