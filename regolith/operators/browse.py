@@ -91,6 +91,18 @@ def page(rows: DataFrame, sort: str, key: str, first: int, cursor: tuple | None
     return rows.orderBy(order, F.asc(key)).limit(first + 1)
 
 
+def page_of(kind: str, rows: DataFrame, sort: str, first: int, cursor: tuple | None = None, descending: bool = False) -> DataFrame:
+    """A page of one kind of entity, sorted by one of the columns that it may be sorted by, then by hash."""
+    if sort not in SORTS[kind]:
+        raise ValueError(f"{kind} sort by {', '.join(SORTS[kind])}, not {sort!r}")
+    return page(rows, sort, "sha256", first, cursor, descending)
+
+
+def total(rows: DataFrame) -> DataFrame:
+    """(total) of filtered rows, beside a page of them."""
+    return rows.agg(F.count("*").alias("total"))
+
+
 def counts(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy(*columns).agg(F.count("*").alias("n"))
 

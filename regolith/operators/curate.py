@@ -31,15 +31,16 @@ def add_flags(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def resolve_flags(stored: DataFrame, decisions: DataFrame, at: Column) -> DataFrame:
-    """stored with (flag_id, status, resolved_by) decisions applied to flags that are still pending."""
+    """stored with (flag_id, status, resolved_by) decisions applied to flags that are still pending; what was resolved before stays as it is."""
     d = decisions.select("flag_id", F.col("status").alias("_status"), F.col("resolved_by").alias("_by")).dropDuplicates(["flag_id"])
     both = stored.join(d, "flag_id", "left")
+    before = {c: F.col(c) if c in stored.columns else F.lit(None) for c in ("resolved_by", "resolved_at")}
     open_ = F.col("_status").isNotNull() & (F.col("status") == "pending")
     return both.select(
         *(c for c in stored.columns if c not in ("status", "resolved_by", "resolved_at")),
         F.when(open_, F.col("_status")).otherwise(F.col("status")).alias("status"),
-        F.when(open_, F.col("_by")).alias("resolved_by"),
-        F.when(open_, at).alias("resolved_at"),
+        F.when(open_, F.col("_by")).otherwise(before["resolved_by"]).alias("resolved_by"),
+        F.when(open_, at).otherwise(before["resolved_at"]).alias("resolved_at"),
     )
 
 
@@ -59,6 +60,44 @@ def new_versions(rows: DataFrame, changes: DataFrame, known: DataFrame) -> DataF
     return both.select(F.col("sha256").alias("old"), F.col("new_sha256").alias("new"), outcome.alias("outcome"))
 
 
+def applied_versions(rows: DataFrame, changes: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """rows after changes, and the transforms that record them: an allowed change adds its row and marks the old one as superseded.
+
+    rows: (sha256, status, superseded_by, provenance, content ...); changes: (sha256, new_sha256, by, and any content columns
+    to replace). A new row keeps the old one's provenance and gets an entry of source "curation". Of several changes of
+    one row the one of the smallest new hash counts; refused changes leave no trace here (new_versions tells why).
+    """
+    one = changes.groupBy("sha256").agg(F.min_by(F.struct(*(c for c in changes.columns if c != "sha256")), "new_sha256").alias("c"))
+    fine = new_versions(rows.select("sha256"), one.select("sha256", "c.new_sha256"), rows.select("sha256")).filter("outcome = 'superseded'").select(F.col("old").alias("sha256"))
+    told = one.join(fine, "sha256")
+    both = rows.join(told, "sha256", "left")
+    moved = F.col("c").isNotNull()
+    old = both.withColumn("status", F.when(moved, "superseded").otherwise(F.col("status"))).withColumn("superseded_by", F.when(moved, F.col("c.new_sha256")).otherwise(F.col("superseded_by"))).drop("c")
+    entry = F.struct(F.lit("curation").alias("source"), F.col("c.by").alias("name"))
+    fresh = rows.join(told, "sha256")
+    content = [c for c in changes.columns if c not in ("sha256", "new_sha256", "by")]
+    for c in content:
+        fresh = fresh.withColumn(c, F.coalesce(F.col(f"c.{c}"), F.col(c)))
+    fresh = fresh.withColumn("provenance", F.concat("provenance", F.array(entry))).withColumn("status", F.lit("current")).withColumn("superseded_by", F.lit(None).cast("string"))
+    fresh = fresh.withColumn("sha256", F.col("c.new_sha256")).drop("c")
+    made = told.select(F.col("sha256").alias("source_element"), F.col("c.new_sha256").alias("target_element"), F.lit("curation_update").alias("function_type"), at.alias("created_at"))
+    return old.unionByName(fresh.select(*old.columns)), made
+
+
+def audit(actions: DataFrame, at: Column) -> DataFrame:
+    """Rows for the audit log of actions (actor, action, entity_type, entity_ref, details as a map), with the time and a key of their content."""
+    told = F.to_json(F.struct("actor", "action", "entity_type", "entity_ref", F.map_from_entries(F.array_sort(F.map_entries("details"))).alias("details")))
+    return actions.select("actor", "action", "entity_type", "entity_ref", told.alias("entry"), at.alias("created_at"), F.sha2(told, 256).alias("audit_id"))
+
+
+def queued_datasets(found: DataFrame, jobs: DataFrame, approved: dict[str, str]) -> DataFrame:
+    """New ingestion jobs for datasets (url, source, adapter) that no job (repository_url) has yet; sources on the list are approved at once."""
+    table = F.create_map(*(F.lit(x) for kv in approved.items() for x in kv)) if approved else F.create_map().cast("map<string,string>")
+    known = F.element_at(table, F.col("source"))
+    new = found.dropDuplicates(["url"]).join(jobs.select(F.col("repository_url").alias("url")).distinct(), "url", "left_anti")
+    return new.select(F.col("url").alias("repository_url"), F.coalesce(known, "adapter", F.lit("unknown")).alias("adapter_type"), F.when(known.isNotNull(), "approved").otherwise("pending").alias("status"), known.isNotNull().alias("auto_approved"))
+
+
 def approve(annotations: Column, uri: str) -> Column:
     """The annotation of that term becomes the primary one, first and an exact match."""
     hit = F.transform(F.filter(annotations, lambda a: a["term_uri"] == uri), lambda a: a.withField("primary", F.lit(True)).withField("mapping_relation", F.lit("skos:exactMatch")))

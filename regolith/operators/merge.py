@@ -56,6 +56,41 @@ def upsert(stored: DataFrame, fresh: DataFrame, version: str = "version", merge:
     return done.unionByName(both.filter("sha256 is null or sha256 = ''"))
 
 
+def update(stored: DataFrame, changes: DataFrame) -> DataFrame:
+    """stored with changes (sha256, key, value) applied: keys embedding, provenance and ontology_annotations name columns, all others fields of semantic.
+
+    Values are JSON; semantic is a map of JSON values. Rows without a change are not rewritten but passed on. Of several changes of
+    one key the greatest value counts.
+    """
+    each = changes.groupBy("sha256", "key").agg(F.max("value").alias("value"))
+    packed = each.groupBy("sha256").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("_c"))
+    both = stored.join(packed, "sha256", "left")
+    own = [c for c in ("embedding", "provenance", "ontology_annotations") if c in stored.columns]
+    for c in own:
+        told = F.element_at("_c", c)
+        both = both.withColumn(c, F.when(told.isNotNull(), F.from_json(told, stored.schema[c].dataType.simpleString())).otherwise(F.col(c)))
+    rest = F.map_filter("_c", lambda k, _: ~k.isin("embedding", "provenance", "ontology_annotations"))
+    kept = F.map_filter("semantic", lambda k, _: ~F.map_contains_key(rest, k))
+    return both.withColumn("semantic", F.when(F.col("_c").isNotNull(), F.map_concat(kept, rest)).otherwise(F.col("semantic"))).drop("_c")
+
+
+def imported(stored: dict[str, DataFrame], fresh: dict[str, DataFrame], clear: bool = False) -> dict[str, DataFrame]:
+    """A registry's tables after an import: entities (by kind) are upserted, transforms, flags and runs inserted if absent.
+
+    Tables of the registry that the import lacks stay, unless it clears. Keys: sha256; (entity_ref, flag_type) for flags; run_id for runs.
+    """
+    keys = {"transforms": ["sha256"], "flags": ["entity_ref", "flag_type"], "runs": ["run_id"]}
+    out = {} if clear else dict(stored)
+    for name, rows in fresh.items():
+        if name not in out:
+            out[name] = rows.dropDuplicates(keys[name]) if name in keys else upsert(rows.limit(0), rows)
+        elif name in keys:
+            out[name] = out[name].unionByName(insert_absent(out[name], rows, keys[name]), allowMissingColumns=True)
+        else:
+            out[name] = upsert(out[name], rows)
+    return out
+
+
 def delete(stored: DataFrame, hashes: DataFrame) -> DataFrame:
     return stored.join(hashes.select("sha256"), "sha256", "left_anti")
 

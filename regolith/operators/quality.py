@@ -31,6 +31,31 @@ def count_checks(rows: DataFrame, spec: DataFrame) -> DataFrame:
     return both.select("category", "n", F.when(F.col("n") < F.col("least"), "few").when(F.col("n") > F.col("most"), "many").otherwise("ok").alias("state"))
 
 
+def type_checks(rows: DataFrame, expected: DataFrame) -> DataFrame:
+    """(class, name, expected, found, state) of entities (class, name, category) against expected (class, name, category): right, wrong_type or missing."""
+    own = rows.groupBy("class", "name").agg(F.array_sort(F.collect_set("category")).alias("found"))
+    both = expected.withColumnRenamed("category", "expected").join(own, ["class", "name"], "left")
+    state = F.when(F.col("found").isNull(), "missing").when(F.array_contains("found", F.col("expected")), "right").otherwise("wrong_type")
+    return both.select("class", "name", "expected", "found", state.alias("state"))
+
+
+def required_fields(rows: DataFrame, fields: dict[str, list[str]], key: str = "id") -> DataFrame:
+    """(key, field) of fields that a row's category requires and that are null or empty."""
+    lacks = [F.when((F.col("category") == c) & (F.coalesce(F.col(f).cast("string"), F.lit("")) == ""), f) for c, fs in fields.items() for f in fs]
+    return rows.select(key, F.explode(F.filter(F.array(*lacks), lambda f: f.isNotNull())).alias("field"))
+
+
+def extraction_score(checks: DataFrame) -> DataFrame:
+    """(score): the share of checks (state) that are right; 1 without any."""
+    return checks.agg(F.coalesce(F.avg((F.col("state") == "right").cast("double")), F.lit(1.0)).alias("score"))
+
+
+def batch_counts(items: DataFrame) -> DataFrame:
+    """(status, n) of a batch of items (rows, error, known): skipped if known before, failed with an error or without rows, else ok."""
+    status = F.when(F.col("known"), "skipped").when(F.col("error").isNotNull() | (F.coalesce("rows", F.lit(0)) == 0), "failed").otherwise("ok")
+    return items.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
 def delta(before: DataFrame, after: DataFrame, key: str, content: str) -> DataFrame:
     """(key, state) of rows added, removed or modified between two maps of key to content; the unchanged are left out."""
     a, b = before.select(key, F.col(content).alias("_a"), F.lit(1).alias("_in_a")), after.select(key, F.col(content).alias("_b"), F.lit(1).alias("_in_b"))
