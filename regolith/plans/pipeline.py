@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regolith.functions import identity, infer, units
-from regolith.operators import align, curate, merge, transforms
+from regolith.operators import align, annotate, curate, merge, resolve, transforms
 
 
 def staged(entities: DataFrame) -> DataFrame:
@@ -15,39 +15,76 @@ def staged(entities: DataFrame) -> DataFrame:
 
 
 def enriched(elements: DataFrame, corrected: bool = False) -> DataFrame:
-    """Elements with missing units, patterns, bounds and domains inferred from what they say; what is there stays."""
+    """Elements with missing units, patterns, bounds and domains inferred from what they say, and annotations that their source gives; what is there stays."""
     about = F.coalesce("description", F.lit(""))
     told = about != ""
     least, most = infer.bounds(about)
     unit = F.coalesce("unit", F.when(told, infer.unit(about, F.col("name"), corrected)))
     out = elements.withColumn("unit", unit).withColumn("pattern", F.coalesce("pattern", infer.pattern(about)))
     out = out.withColumn("min_value", F.coalesce("min_value", least)).withColumn("max_value", F.coalesce("max_value", most))
-    return out.withColumn("unit_uri", units.alias_uri(F.col("unit"))).withColumn("value_domain", infer.value_domain(F.col("data_type"), F.size("options") > 0))
+    out = out.withColumn("unit_uri", units.alias_uri(F.col("unit"))).withColumn("value_domain", infer.value_domain(F.col("data_type"), F.size("options") > 0))
+    ontology_id = F.col("ontology_id") if "ontology_id" in elements.columns else F.lit(None).cast("string")
+    return out.withColumn("annotations", annotate.from_source(F.col("name"), F.col("description"), ontology_id))
 
 
 def committed(elements: DataFrame, known_sources: list[str] | None = None) -> DataFrame:
-    """sha256, provenance, n_rows of elements, with their semantic block; rows of unknown sources are left out."""
+    """sha256, provenance, n_rows of elements, with their semantic block; rows of unknown sources are left out (unknown_source_flags tells them).
+
+    The order of first sight is that of file, class and name; of the rows of one hash the first gives the semantic block.
+    """
     if known_sources is not None:
         elements = elements.filter(F.col("source").isin(known_sources))
     elements = elements.select("*", F.arrays_zip("options", "options").cast("array<struct<value:string,label:string>>").alias("response_options"))
     semantic = F.to_json(F.struct("data_type", "unit", "unit_uri", "pattern", "min_value", "max_value", "type_ref", "response_options"))
     provenance = F.array(F.struct("source", "class", "name", "description"))
-    nothing = F.lit(None).cast("array<struct<term_uri:string,mapping_relation:string,match_level:string,primary:boolean>>")
-    own = elements.withColumn("provenance", provenance).withColumn("annotations", nothing).select("*", semantic.alias("semantic"))
+    own = elements.withColumn("provenance", provenance).select("*", semantic.alias("semantic"))
     rows = own.withColumn("sha256", identity.sha256(identity.identity_json(F.col("semantic"), F.col("provenance"), F.col("annotations"))))
-    one = rows.groupBy("sha256").agg(F.first("data_type").alias("data_type"), F.first("unit").alias("unit"), F.first("value_domain").alias("value_domain"), F.first("options").alias("choices"), F.first("min_value").alias("min_value"), F.first("max_value").alias("max_value"))
-    return merge.merge_by_hash(rows.withColumn("ord", F.xxhash64("file", "class", "name"))).join(one, "sha256")
+    rows = rows.withColumn("ord", F.concat_ws("\u0001", F.coalesce("file", F.lit("")), "source", F.coalesce("class", F.lit("")), "name"))
+    term = identity.primary_annotation(F.col("annotations"))["term_uri"]
+    kept = F.struct("data_type", "unit", "value_domain", F.col("options").alias("choices"), "min_value", "max_value", term.alias("term_uri"), "annotations")
+    one = rows.groupBy("sha256").agg(F.min_by(kept, "ord").alias("s")).select("sha256", "s.*")
+    return merge.merge_by_hash(rows).join(one, "sha256")
+
+
+def resolved_schemas(schemas: DataFrame, registry: DataFrame) -> DataFrame:
+    """Schemas (schema_id, class, properties) with their properties as hashes of committed elements."""
+    each = registry.select("sha256", F.posexplode("provenance").alias("ord", "p")).select(F.col("p.class").alias("class"), F.col("p.name").alias("name"), "sha256", F.struct("sha256", "ord").alias("ord"))
+    return resolve.properties(schemas, each)
+
+
+def unknown_source_flags(elements: DataFrame, known_sources: list[str]) -> DataFrame:
+    """Flags for elements of sources that are not on the list, one for each source and class."""
+    bad = elements.filter(~F.col("source").isin(known_sources)).select("source", "class").distinct()
+    return bad.select(F.lit("elements").alias("entity_type"), F.concat_ws("/", "source", "class").alias("entity_ref"), F.lit("unknown_source").alias("flag_type"), F.lit("pending").alias("status"))
+
+
+def aligned(registry: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Scored pairs of committed elements, and the groups of their exact matches."""
+    nothing = F.lit(None)
+    rows = registry.select(
+        F.col("sha256").alias("id"), "data_type", "term_uri", "min_value", "max_value", "choices", nothing.cast("array<float>").alias("vector"), nothing.cast("array<string>").alias("hints"),
+        F.col("provenance")[0]["name"].alias("name"),
+    )
+    pairs = align.candidates(rows, threshold)
+    return pairs, align.groups(pairs)
 
 
 def edges(registry: DataFrame) -> DataFrame:
     """Transforms between committed elements."""
     rows = registry.select(
-        F.col("sha256").alias("id"), "sha256", F.col("provenance")[0]["source"].alias("source"), F.col("provenance")[0]["name"].alias("name"), F.lit(None).cast("string").alias("term_uri"),
+        F.col("sha256").alias("id"), "sha256", F.col("provenance")[0]["source"].alias("source"), F.col("provenance")[0]["name"].alias("name"), "term_uri",
         "data_type", "unit", "value_domain", "choices", F.lit(None).cast("string").alias("structural_type"),
     )
     return transforms.generate(rows)
 
 
+def flags(registry: DataFrame, made: DataFrame) -> DataFrame:
+    """Curation flags of a run: unsure annotations and transforms of unknown kind, one of an entity and type."""
+    scores = registry.select(F.col("sha256").alias("id"), F.sort_array(F.transform(F.coalesce("annotations", F.array().cast(f"array<{annotate.ANNOTATION}>")), lambda a: a["score"]), asc=False).alias("scores"))
+    unsure = curate.annotation_flags(scores).select(F.lit("elements").alias("entity_type"), "entity_ref", "flag_type", F.lit("pending").alias("status"))
+    return unsure.unionByName(transforms.unknown_flags(made)).dropDuplicates(["entity_ref", "flag_type"])
+
+
 def summary(registry: DataFrame, made: DataFrame) -> DataFrame:
     """(kind, n): elements by type, transforms by function, flags."""
     parts = [
@@ -56,6 +93,3 @@ def summary(registry: DataFrame, made: DataFrame) -> DataFrame:
         transforms.unknown_flags(made).groupBy(F.lit("flag:needs_review").alias("kind")).agg(F.count("*").alias("n")),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
-__all__ = ["align", "curate", "staged", "enriched", "committed", "edges", "summary"]

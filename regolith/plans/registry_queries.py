@@ -147,11 +147,11 @@ def schema_from_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT doc_id, lang, source FROM (
-  SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source, substr(text, 1, 40) ORDER BY doc_id) AS n FROM documents) WHERE n = 1
+  SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source, text ORDER BY doc_id) AS n FROM documents) WHERE n = 1
 """)
 def extraction_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.substring("text", 1, 40).alias("head"))
-    return merge.keep_first(rows, ["lang", "source", "head"], ["doc_id"]).select("doc_id", "lang", "source")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return merge.keep_first(rows, ["lang", "source", "text"], ["doc_id"]).select("doc_id", "lang", "source")
 
 
 @query("""
@@ -394,12 +394,12 @@ def alias_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT doc_id AS id, substr(text, 1, 12) AS label, source, doc_id % 3 = 0 AS annotated FROM documents),
+WITH e AS (SELECT doc_id AS id, text AS label, source, doc_id % 3 = 0 AS annotated FROM documents),
      g AS (SELECT label, count(DISTINCT source) AS k, min(id) FILTER (WHERE annotated) AS donor, FROM e GROUP BY 1)
 SELECT e.id, g.donor, d.source AS donor_source FROM e JOIN g USING (label) JOIN e d ON d.id = g.donor WHERE k >= 2 AND NOT e.annotated
 """)
 def cross_source_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 12).alias("label"), "source", (F.col("doc_id") % 3 == 0).alias("annotated"), F.col("doc_id").alias("ord"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("label"), "source", (F.col("doc_id") % 3 == 0).alias("annotated"), F.col("doc_id").alias("ord"))
     return align.transfer(rows).select("id", "donor", "donor_source")
 
 

@@ -5,7 +5,7 @@ import math
 import pytest
 
 import __spark_entry__
-from regolith.plans import registry_queries
+from regolith.plans import queries as registry_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

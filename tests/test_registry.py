@@ -201,3 +201,34 @@ def test_incremental_commit(spark, tmp_path):
         commit.commit_stream(stream, f"{tmp_path}/registry", f"{tmp_path}/checkpoint").awaitTermination(120)
     got = {r.sha256: (r.x, [p.source for p in r.provenance]) for r in spark.read.parquet(f"{tmp_path}/registry/version=1").collect()}
     assert got == {"h": ("b", ["s", "t"]), "k": ("c", [])}
+
+
+def test_candidates_need_a_threshold_that_meetings_reach(spark):
+    schema = "id int, data_type string, term_uri string, min_value double, max_value double, choices array<string>, vector array<float>, hints array<string>, name string"
+    rows = [(i, "s", None, 0.0, 1.0, ["yes", "no", f"c{i // 2}"], [1.0, 0.0], None, None) for i in range(6)] + [(6, "s", None, 0.0, 1.0, None, [1.0, 0.0], None, None), (7, "s", None, None, None, [], None, ["h"], "x"), (8, "s", None, None, None, None, None, ["h"], "")]
+    df = spark.createDataFrame(rows, schema)
+    try:
+        align.candidates(df, 0.45)
+        raise AssertionError("pairs that share nothing would be lost")
+    except ValueError:
+        pass
+    got = {(r.a_id, r.b_id): r.score for r in align.candidates(df, 0.5).collect()}
+    # 0.45 from vectors and ranges; 2 of 4 choices are 0.075, 3 of 3 are 0.15
+    want = {(a, b): 0.6 if a // 2 == b // 2 else 0.525 for a in range(6) for b in range(a + 1, 6)} | {(7, 8): 0.95}
+    assert {k: round(v, 4) for k, v in got.items()} == want
+    assert {k for k, v in want.items() if v >= 0.55} == {(r.a_id, r.b_id) for r in align.candidates(df, 0.55).collect()}
+
+
+def test_flags_resolved_twice_keep_both_resolvers(spark):
+    stored = spark.createDataFrame([(i, "pending") for i in range(3)], "flag_id int, status string")
+    for i, by in ((0, "a"), (1, "b"), (0, "c")):
+        stored = curate.resolve_flags(stored, spark.createDataFrame([(i, "done", by)], "flag_id int, status string, resolved_by string"), F.lit(f"t{i}"))
+    assert sorted((r.flag_id, r.status, r.resolved_by, r.resolved_at) for r in stored.collect() if r.status == "done") == [(0, "done", "a", "t0"), (1, "done", "b", "t1")]
+
+
+def test_pages_refuse_other_columns(spark):
+    try:
+        browse.page_of("values", spark.range(1), "unit", 5)
+        raise AssertionError("values do not sort by unit")
+    except ValueError:
+        pass
