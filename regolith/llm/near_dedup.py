@@ -10,8 +10,7 @@ that distance.
 Documents with equal shingle sets are one class from the start. Buckets of keys never emit all their pairs:
 
 1. Each bucket links its members to one hub; pairs too far in signature or size are put aside, the rest is confirmed on
-   full sets, and connected classes become one component. Buckets within one component are done; most are. Heavy buckets
-   that are not get another hub, up to STARS times and as long as that links anything.
+   full sets, and connected classes become one component. Buckets within one component are done; most are.
 2. In light buckets that touch several components (at most HEAVY rows) all pairs of different components are compared by
    signature inside a join, each pair in the first bucket that it shares, and confirmed on full sets: at most HEAVY rows
    for each bucket row.
@@ -37,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, arrow_kind, byte_words, if_small, in_batches, written
+from .common import BROADCAST_ROWS, byte_words, if_small, in_batches, written
 
 CHUNKS, SLOTS = 12, 6
 PLACES = CHUNKS * SLOTS
@@ -45,7 +44,7 @@ SIMILAR = 80
 #: Larger buckets are compared in blocks of so many classes, smaller ones by a join.
 HEAVY, BLOCK = 64, 192
 #: Most shingles of a block's sets, but for a single larger set.
-BLOCK_SHINGLES, STARS = 1 << 21, 3
+BLOCK_SHINGLES = 1 << 21
 #: Tables counted to be small are worked on in so few tasks; of rows with signatures so many are broadcast at most.
 FEW, BROADCAST_SIGNATURES = 8, 200_000
 
@@ -240,23 +239,24 @@ def components(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
 
 
 def _labelled(buckets: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """(key, at, set_id, comp) of buckets that touch several components. Extremes are aggregated before they meet."""
+    """(key, set_id, comp) of buckets that touch several components."""
     if comps is None:
         return buckets.withColumn("comp", F.col("set_id"))
-    own = written(buckets.join(if_small(comps), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id")), "labelled")
-    several = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    return own.join(if_small(several), "key", "left_semi").select("key", "at", "set_id", "comp")
+    own = buckets.join(if_small(comps), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
+    each = Window.partitionBy("key")
+    several = own.withColumn("lo", F.min("comp").over(each)).withColumn("hi", F.max("comp").over(each)).filter("lo <> hi")
+    return several.select("key", "at", "set_id", "comp")
 
 
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def _star(open_rows: DataFrame, no: int = 0) -> DataFrame:
-    """Distinct pairs (a, b) of each bucket's members with its hub, of different components; another hub for each no."""
-    hub = F.min(F.struct(F.xxhash64("set_id", F.lit(no)).alias("order"), "set_id", "comp")).alias("hub")
-    both = open_rows.select("key", "set_id", "comp").join(open_rows.groupBy("key").agg(hub), "key")
-    return _ordered(both.filter("comp <> hub.comp"), "set_id", "hub.set_id")
+def _star(open_rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of each bucket's members with its hub, of different components."""
+    me = F.struct(F.xxhash64("set_id").alias("order"), "set_id", "comp")
+    with_hub = open_rows.select("set_id", "comp", F.min(me).over(Window.partitionBy("key")).alias("hub"))
+    return _ordered(with_hub.filter("comp <> hub.comp"), "set_id", "hub.set_id")
 
 
 def _all_across(open_rows: DataFrame, info: DataFrame, similar: int) -> DataFrame:
@@ -280,8 +280,7 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
 
 def _heavy(open_rows: DataFrame) -> DataFrame:
     """open_rows with `heavy`: whether their bucket has more than HEAVY rows."""
-    large = open_rows.groupBy("key").agg(F.count("*").alias("of")).filter(F.col("of") > HEAVY).select("key", F.lit(True).alias("heavy"))
-    return open_rows.join(if_small(large), "key", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
+    return open_rows.withColumn("heavy", F.count("*").over(Window.partitionBy("key")) > HEAVY)
 
 
 def _within(group: pa.Table, similar: int) -> pa.Table:
@@ -325,11 +324,11 @@ def _in_blocks(heavy_rows: DataFrame, sets: DataFrame, similar: int) -> DataFram
     about BLOCK_SHINGLES shingles, and every two blocks meet in a task of their own, where intersections of the full sets
     are a matrix product. So memory is bounded by a block, work is dealt out whatever a family's size, and no pair is a row: only links between components come out.
     """
-    first = heavy_rows.groupBy("key").agg(F.min("set_id").alias("b"))
-    star = heavy_rows.select("key", F.col("set_id").alias("a")).join(first, "key").filter("a <> b").select("a", "b").distinct()
+    star = heavy_rows.select(F.col("set_id").alias("a"), F.min("set_id").over(Window.partitionBy("key")).alias("b")).filter("a <> b").distinct()
     families = components(star).withColumnRenamed("comp", "family")
-    members = heavy_rows.select("set_id", "comp").distinct().join(families, "set_id").join(sets.select("set_id", F.size("shingles").alias("n")), "set_id")
-    sizes = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    members = heavy_rows.select("set_id", "comp").distinct().join(families, "set_id")
+    shingles = members.join(sets.select("set_id", F.size("shingles").alias("n")), "set_id")
+    sizes = shingles.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     full = placed.join(sets, "set_id")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -351,17 +350,9 @@ def link_classes(classes: DataFrame, docs: DataFrame, picked: DataFrame, size: i
     open_rows = written(_heavy(_labelled(buckets, comps)), "open")
     heavy_rows = open_rows.filter("heavy")
     near = written(_all_across(open_rows.filter("not heavy"), info, similar), "pairs")
-    more = written(_confirmed(near, sets, similar), "links")
+    more = _confirmed(near, sets, similar)
     if not heavy_rows.isEmpty():
-        if not more.isEmpty():
-            comps = components(more, comps)
-        for no in range(1, STARS + 1):
-            heavy_rows = _labelled(heavy_rows.select("key", "at", "set_id"), comps)
-            links = written(_confirmed(_near(_star(heavy_rows, no), info, similar), sets, similar), "links")
-            if links.isEmpty():
-                break
-            comps = components(links, comps)
-        more = _in_blocks(_labelled(heavy_rows.select("key", "at", "set_id"), comps), sets, similar)
+        more = more.unionByName(_in_blocks(heavy_rows, sets, similar))
     more = written(more, "links")
     return comps if more.isEmpty() else components(more, comps)
 
@@ -382,8 +373,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: int = SIMILAR) -> D
         labels = picked.select("set_id", F.col("doc_id").alias("component_id"))
     else:
         labels = picked.join(comps, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
-        least = written(labels.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
-        labels = labels.join(if_small(least), "comp").select("set_id", "component_id")
+        labels = labels.join(labels.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp").select("set_id", "component_id")
     own = found.select("doc_id", F.col("n").alias("n_shingles"), "set_id")
     out = own.join(labels.withColumnRenamed("set_id", "of"), F.col("set_id") == F.col("of"), "left")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
