@@ -36,6 +36,15 @@ def test_same_as_sql(spark, sf, duck, name):
     assert normal(got) == normal(want)
 
 
+def test_difflib_ratio_is_the_librarys(spark, sf):
+    from difflib import SequenceMatcher
+
+    parts = sorted(spark.read.parquet(f"{sf}/part.parquet").select("p_brand", "p_partkey", "p_name").collect())
+    want = {a.p_partkey: round(SequenceMatcher(None, a.p_name.lower(), b.p_name.lower()).ratio(), 6) for a, b in zip(parts, parts[1:]) if a.p_brand == b.p_brand}
+    got = {r.p_partkey: r.ratio for r in registry_queries.QUERIES["difflib_ratio"](spark, sf).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
