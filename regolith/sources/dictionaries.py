@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regolith.functions import parse
@@ -54,20 +54,31 @@ def profile(rows: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
     """
     names = [c for c in rows.columns if c not in ignore]
     long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in names))).alias("x")).select("x.*")
+    return shapes(long, ["column"])
+
+
+def shapes(cells: DataFrame, by: list[str]) -> DataFrame:
+    """by, data_type, n_told, categories of cells (by, value), a column of a table for each by."""
     value = F.col("value")
-    shape = long.groupBy("column").agg(parse.column_type(value).alias("data_type"), F.count(F.when(parse.told(value), 1)).alias("n_told"))
-    distinct = long.filter(parse.told(value)).groupBy("column", "value").agg(F.count("*").alias("n"))
-    few = distinct.withColumn("no", F.row_number().over(Window.partitionBy("column").orderBy("value"))).filter(F.col("no") <= parse.CATEGORIES + 1)
-    lists = few.groupBy("column").agg(F.array_sort(F.collect_set("value")).alias("seen"))
-    both = shape.join(lists, "column", "left")
-    return both.select("column", "data_type", "n_told", F.when((F.col("data_type") == "string") & F.size("seen").between(2, parse.CATEGORIES), F.col("seen")).alias("categories"))
+    shape = cells.groupBy(*by).agg(parse.column_type(value).alias("data_type"), F.count(F.when(parse.told(value), 1)).alias("n_told"))
+    distinct = cells.filter(parse.told(value)).groupBy(*by, "value").agg(F.count("*").alias("n"))
+    few = distinct.withColumn("no", F.row_number().over(Window.partitionBy(*by).orderBy("value"))).filter(F.col("no") <= parse.CATEGORIES + 1)
+    lists = few.groupBy(*by).agg(F.array_sort(F.collect_set("value")).alias("seen"))
+    both = shape.join(lists, by, "left")
+    return both.select(*by, "data_type", "n_told", F.when((F.col("data_type") == "string") & F.size("seen").between(2, parse.CATEGORIES), F.col("seen")).alias("categories"))
+
+
+def value_kind(v: Column) -> Column:
+    """Data type of a JSON value."""
+    shape = F.schema_of_variant(v)
+    numeric = F.when(shape == "BOOLEAN", "boolean").when(shape == "BIGINT", "integer").when(shape.startswith("DECIMAL") | (shape == "DOUBLE"), "float")
+    return numeric.when(shape.startswith("ARRAY"), "array").when(shape.startswith("OBJECT"), "object").otherwise("string")
 
 
 def sidecar(spark: SparkSession, path: str) -> DataFrame:
     """One element for each key of JSON sidecars: type by value, unit by the key's end, description and levels if told."""
     keys = each(json_files(spark, path), F.col("doc"), "key_name", "v").filter(~F.col("key_name").isin(*SKIPPED))
-    shape = F.schema_of_variant("v")
-    kind = F.when(shape == "BOOLEAN", "boolean").when(shape == "BIGINT", "integer").when(shape.startswith("DECIMAL") | (shape == "DOUBLE"), "float").when(shape.startswith("ARRAY"), "array").when(shape.startswith("OBJECT"), "object").otherwise("string")
+    kind = value_kind(F.col("v"))
     unit = F.coalesce(text("v", "$.Units"), *(F.when(F.col("key_name").endswith(k), u) for k, u in KEY_UNITS))
     levels = F.map_keys(F.try_variant_get("v", "$.Levels", "map<string,variant>"))
     described = text("v", "$.Description").isNotNull() | levels.isNotNull()

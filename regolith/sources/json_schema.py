@@ -82,3 +82,46 @@ def extract(spark: SparkSession, path: str, source: str = "json-schema") -> Data
         pattern=F.coalesce(first("$.pattern", text), _mapped(first("$.format", text), FORMATS)), confidence=0.85, file=F.col("file"),
     )
     return union([classes, valuesets, values, attributes])
+
+
+def _core(definition: Column) -> Column:
+    """A property without what makes it optional: the only alternative that is not null, or the definition itself."""
+    def alone(d, key, kept):
+        found = F.filter(F.try_variant_get(d, key, "array<variant>"), kept)
+        return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+
+    told = alone(definition, "$.anyOf", lambda v: F.coalesce(F.try_variant_get(v, "$.type", "string") != "null", F.lit(True)))
+    return F.coalesce(told, alone(definition, "$.allOf", lambda v: v.isNotNull()), definition)
+
+
+def models(spark: SparkSession, path: str, source: str = "dandi") -> DataFrame:
+    """Entities of JSON Schema dumps of a package's models, such as DANDI's: classes with their fields, and enumerations.
+
+    Optional fields have the type of what they may hold, lists are multivalued and have that of their items; references go
+    to any file of the dump. A model that several files define counts once, as the first file has it, and so does a field of it.
+    """
+    every = definitions(json_files(spark, path)).select("name", "file", F.to_json("definition").alias("text"))  # variants do not order
+    defs = every.groupBy("name").agg(F.min(F.struct("file", "text")).alias("d")).select("name", "d.file", F.parse_json("d.text").alias("definition"))
+    defs = defs.withColumn("kind", kind_of(F.col("definition")))
+    enums = defs.filter("kind = 'valueset'").select(F.col("name").alias("_n"), members_of(F.col("definition")).alias("members"), F.lit(False).alias("is_class"), F.col("file").alias("_f"), text("definition", "$.description").alias("said"))
+    props = each(defs.filter("kind = 'class'"), F.try_variant_get("definition", "$.properties", "variant"), "prop", "p")
+    own = props.withColumn("core", _core(F.col("p")))
+    several = F.coalesce(text("core", "$.type") == "array", F.lit(False))
+    own = own.withColumn("several", several).withColumn("item", F.when(several, _core(F.try_variant_get("core", "$.items", "variant"))).otherwise(F.col("core")))
+    own = own.withColumn("_ref", F.substring_index(text("item", "$['$ref']"), "/", -1))
+    targets = defs.filter("kind = 'class'").select(F.col("name").alias("_n"), F.lit(None).cast("array<string>").alias("members"), F.lit(True).alias("is_class")).unionByName(enums.drop("_f", "said"))
+    full = own.join(targets, F.col("_ref") == F.col("_n"), "left")
+    simple = _mapped(text("item", "$.type"), TYPES)
+    scalar = F.when(simple.isin("integer", "float", "boolean"), simple).otherwise("string")
+    required = F.coalesce(F.array_contains(strings("definition", "$.required"), F.col("prop")), F.lit(False))
+    fields = entities(
+        full, entity_type="attribute", source=source, **{"class": F.col("name")}, name=F.col("prop"), description=F.coalesce(text("p", "$.description"), text("core", "$.description")),
+        data_type=F.when(F.col("is_class"), "object").otherwise(scalar), type_ref=F.col("_n"), options=F.col("members"), required=required, multivalued=F.col("several"),
+        pattern=F.coalesce(text("p", "$.pattern"), text("item", "$.pattern")), min_value=number("item", "$.minimum"), max_value=number("item", "$.maximum"), confidence=0.95, file=F.col("file"),
+    )
+    names = F.array_sort(F.map_keys(F.try_variant_get("definition", "$.properties", "map<string,variant>")))
+    classes = entities(defs.filter("kind = 'class'"), entity_type="class", source=source, **{"class": F.col("name")}, name=F.col("name"), description=text("definition", "$.description"), members=names, confidence=0.95, file=F.col("file"))
+    sets = entities(enums, entity_type="valueset", source=source, name=F.col("_n"), description=F.col("said"), members=F.col("members"), confidence=0.95, file=F.col("_f"))
+    each_value = enums.select("_f", "_n", F.explode("members").alias("value"))
+    values = entities(each_value, entity_type="enum_value", source=source, **{"class": F.col("_n")}, name=F.col("value"), confidence=0.95, file=F.col("_f"))
+    return union([classes, fields, sets, values])
