@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Base scores of lexical hits by kind.
 BASE = {"element": 1.0, "schema": 0.9, "value": 0.8, "valueset": 0.7}
+#: Queries that meet the entities at once.
+BLOCK = 4096
+
+
+def _base() -> Column:
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in BASE.items() for x in kv)), F.col("kind")), F.lit(0.0))
 
 
 def lexical(entities: DataFrame, query: str, scored: bool = True) -> DataFrame:
     """(sha256, kind, name, score) of entities (sha256, kind, name, text) whose text holds the query."""
     hit = entities.filter(F.contains(F.lower("text"), F.lit(query.lower())))
-    base = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in BASE.items() for x in kv)), F.col("kind")), F.lit(0.0))
-    return hit.select("sha256", "kind", "name", (base if scored else F.lit(0.0)).alias("score"))
+    return hit.select("sha256", "kind", "name", (_base() if scored else F.lit(0.0)).alias("score"))
 
 
 def hybrid(lexical_hits: DataFrame, semantic_hits: DataFrame, first: int) -> DataFrame:
@@ -21,3 +26,31 @@ def hybrid(lexical_hits: DataFrame, semantic_hits: DataFrame, first: int) -> Dat
     both = lexical_hits.select("sha256", "name", "score").unionByName(semantic_hits.select("sha256", "name", "score"))
     best = both.groupBy("sha256").agg(F.max("score").alias("score"), F.min("name").alias("name"))
     return best.orderBy(F.desc("score"), F.lower("name"), "sha256").limit(first)
+
+
+def lexical_each(entities: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query, sha256, kind, name, score) of the entities whose text holds a query's phrase; asked: (query, phrase), a stated set.
+
+    A substring has no key to join on, so queries are broadcast, BLOCK at a time, to where the entities lie. Null and
+    empty phrases find nothing.
+    """
+    phrases = asked.filter("phrase <> ''").select("query", F.lower("phrase").alias("phrase"))
+    blocks = max(1, -(-phrases.count() // BLOCK))
+    low = entities.select("sha256", "kind", "name", F.lower("text").alias("text"), _base().alias("score"))
+    found = None
+    for b in range(blocks):
+        some = F.broadcast(phrases.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b))
+        part = low.join(some, F.contains("text", "phrase")).select("query", "sha256", "kind", "name", "score")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def hybrid_each(lexical_hits: DataFrame, semantic_hits: DataFrame, first: int) -> DataFrame:
+    """(query, sha256, name, score, rank): for each query its first entities of both kinds of hits, ordered as hybrid() orders them.
+
+    Spark limits the rows of a query in each task before they are shuffled, so a phrase that is everywhere sends few.
+    """
+    both = lexical_hits.select("query", "sha256", "name", "score").unionByName(semantic_hits.select("query", "sha256", "name", "score"))
+    best = both.groupBy("query", "sha256").agg(F.max("score").alias("score"), F.min("name").alias("name"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.lower("name"), "sha256")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= first)

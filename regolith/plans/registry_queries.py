@@ -564,6 +564,28 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("sha256", F.round("score", 6).alias("score"), "name")
 
 
+@query("""
+WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v, p_type AS phrase FROM embeddings LEFT JOIN part ON p_partkey = vec_id + 1 WHERE vec_id % 100 = 0),
+     l AS (SELECT query, p_partkey AS sha256, p_name AS name, CASE p_size % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.8 WHEN 3 THEN 0.7 ELSE 0.0 END::DOUBLE AS score
+           FROM part JOIN q ON contains(lower(p_name || ' ' || p_type), lower(phrase))),
+     s AS (SELECT query, vec_id AS sha256, 'v' || label AS name, list_cosine_similarity(embedding::DOUBLE[], v) AS score FROM embeddings, q),
+     t AS (SELECT query, sha256, name, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, sha256) <= 40),
+     b AS (SELECT query, sha256, max(score) AS score, min(name) AS name FROM (SELECT * FROM l UNION ALL SELECT * FROM t) GROUP BY 1, 2)
+SELECT query, sha256, name, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, lower(name), sha256)::INT AS rank FROM b
+QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, lower(name), sha256) <= 50
+""")
+def hybrid_search_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts, vectors = table(spark, sf_dir, "part"), table(spark, sf_dir, "embeddings")
+    kind = F.get(F.array(*map(F.lit, (*search.BASE, "other"))), F.col("p_size") % 5)
+    found = parts.select(F.col("p_partkey").alias("sha256"), kind.alias("kind"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    asked = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    phrases = asked.join(parts.select((F.col("p_partkey") - 1).alias("query"), F.col("p_type").alias("phrase")), "query")
+    near = vec.top_k(asked, vectors.select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector")), 40)
+    named = near.join(vectors.select(F.col("vec_id").alias("item"), F.concat(F.lit("v"), F.col("label").cast("string")).alias("name")), "item")
+    semantic = named.select("query", F.col("item").alias("sha256"), "name", F.round("score", 6).alias("score"))
+    return search.hybrid_each(search.lexical_each(found, phrases), semantic, 50)
+
+
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_counts(table(spark, sf_dir, "events")).select("hour", "event_type", "n", F.round("total", 4).alias("total"))

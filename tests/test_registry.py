@@ -232,3 +232,17 @@ def test_pages_refuse_other_columns(spark):
         raise AssertionError("values do not sort by unit")
     except ValueError:
         pass
+
+
+def test_queries_meet_entities_in_blocks(spark, monkeypatch):
+    from regolith.operators import search
+
+    monkeypatch.setattr(search, "BLOCK", 2)
+    entities = spark.createDataFrame([(1, "element", "a", "Alpha beta"), (2, "value", "b", "beta"), (3, "other", "c", None)], "sha256 int, kind string, name string, text string")
+    asked = spark.createDataFrame([(10, "BETA"), (11, "alpha"), (12, ""), (13, None), (14, "gamma"), (15, "beta"), (16, "a b")], "query int, phrase string")
+    hits = search.lexical_each(entities, asked)
+    assert sorted((r.query, r.sha256, r.score) for r in hits.collect()) == [(10, 1, 1.0), (10, 2, 0.8), (11, 1, 1.0), (15, 1, 1.0), (15, 2, 0.8), (16, 1, 1.0)]
+    near = spark.createDataFrame([(10, 2, "z", 0.9), (10, 3, "c", 1.0)], "query int, sha256 int, name string, score double")
+    best = search.hybrid_each(hits, near, 2)
+    assert sorted((r.query, r["rank"], r.sha256, r.score) for r in best.collect()) == [(10, 1, 1, 1.0), (10, 2, 3, 1.0), (11, 1, 1, 1.0), (15, 1, 1, 1.0), (15, 2, 2, 0.8), (16, 1, 1, 1.0)]
+    assert search.lexical_each(entities, asked.limit(0)).count() == 0
