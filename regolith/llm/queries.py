@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, lm_scoring, media_avi, near_dedup, pieces, quality, token_counts, url_filters, warc
+from . import centroid_clusters, chat_format, conversation_repair, decontaminate, lm_scoring, media_avi, near_dedup, pieces, quality, token_counts, topk_search, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,22 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_avi.features(media_avi.to_media(_table(spark, sf_dir, "documents")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by the rule, with its faults, the least cost of its repair, the edits and the result's hash."""
+    rows = conversation_repair.damaged(_table(spark, sf_dir, "conversations"))
+    return conversation_repair.with_digests(rows, conversation_repair.audits(rows))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its cluster, its distance and its cluster's figures."""
+    return centroid_clusters.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for every 50th vector, over all rows."""
+    return topk_search.search(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_chat_format": op2_chat_format,
@@ -68,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_url_filters": op9_url_filters,
     "op10_media_columns": op10_media_columns,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_topk_search": op13_topk_search,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
