@@ -53,16 +53,13 @@ def first_centroids(vectors: DataFrame, k: int = CENTROIDS) -> np.ndarray:
 
 
 def cluster(embeddings: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, width: int = WIDTH) -> DataFrame:
-    """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256, measured): one row a vector that takes part.
-
-    measured: how many centroids the last assignment measured for the vector.
-    """
+    """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256): one row a vector that takes part."""
     vectors = integer_vectors(embeddings, width)
     centroids = first_centroids(vectors, k)
     spark = embeddings.sparkSession
     if not len(centroids):
         return vectors.limit(0).select(
-            "vec_id", *(F.lit(None).cast(t).alias(c) for c, t in (("cluster", "int"), ("distance", "long"), ("cluster_inertia", "long"), ("inertia", "long"), ("centroid_sha256", "string"), ("measured", "int")))
+            "vec_id", *(F.lit(None).cast(t).alias(c) for c, t in (("cluster", "int"), ("distance", "long"), ("cluster_inertia", "long"), ("inertia", "long"), ("centroid_sha256", "string")))
         )
     stored = -(-len(centroids) // 4)
     state, before = vectors, None
@@ -83,8 +80,8 @@ def cluster(embeddings: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, wid
     inertia = {t.cluster: t.distance for t in totals}
     told = [(c, inertia.get(c, 0), sum(inertia.values()), name) for c, name in names]
     of_each = spark.createDataFrame(told, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
-    found = state.filter("n is null").select("vec_id", "cluster", "distance", "measured")
-    return found.join(F.broadcast(of_each), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256", "measured")
+    found = state.filter("n is null").select("vec_id", "cluster", "distance")
+    return found.join(F.broadcast(of_each), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
 def _assigned(state: DataFrame, before: np.ndarray | None, centroids: np.ndarray, stored: int, last: bool, width: int) -> DataFrame:

@@ -91,7 +91,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _clusters_sql(rounds: int = 5) -> str:
+    """Rounds of assigning all vectors to the nearest of all centroids, written out."""
+    nearest = """a{i} AS (SELECT r, any_value(vec_id) AS vec_id, min({{'d': d, 'j': j}}) AS best FROM
+       (SELECT v.r, v.vec_id, c.j, (list_dot_product(v.x, v.x) - 2 * list_dot_product(v.x, c.x) + list_dot_product(c.x, c.x))::BIGINT AS d FROM v, c{i} c) GROUP BY r)"""
+    means = """s{i} AS (SELECT j, p, sum(y)::BIGINT AS s, count(*) AS n FROM (SELECT a.best.j AS j, unnest(v.x)::BIGINT AS y, unnest(range(0, 64)) AS p FROM a{i} a JOIN v USING (r)) GROUP BY j, p),
+     c{next} AS (SELECT c{i}.j, coalesce(m.x, c{i}.x) AS x FROM c{i} LEFT JOIN (SELECT j, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY p) AS x FROM s{i} GROUP BY j) m USING (j))"""
+    steps = [f"{nearest.format(i=i)},\n     {means.format(i=i, next=i + 1)}" for i in range(rounds)] + [nearest.format(i=rounds)]
+    return f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS j, x FROM v QUALIFY j < 40),
+     {",\n     ".join(steps)},
+     t AS (SELECT best.j AS j, sum(best.d)::BIGINT AS cluster_inertia FROM a{rounds} GROUP BY 1)
+SELECT vec_id, best.j::INTEGER AS cluster, best.d AS distance, cluster_inertia, (SELECT sum(cluster_inertia)::BIGINT FROM t) AS inertia,
+       sha256(array_to_string(list_transform(c{rounds}.x, lambda y: y::BIGINT::VARCHAR), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN t ON t.j = a.best.j JOIN c{rounds} ON c{rounds}.j = a.best.j
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_centroid_clusters": _clusters_sql(),
     "op6_decontamination": r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(%s, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
      i AS (SELECT item_id, regexp_extract_all(%s, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
@@ -135,5 +155,58 @@ SELECT page_id, n::BIGINT AS payload_bytes,
        CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> latest THEN latest END AS refers_to
 FROM d
+""",
+    "op11_conversation_repair": r"""
+WITH RECURSIVE
+     k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                  encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')) AS key FROM conversations),
+     t AS (SELECT i, list_reduce(range(0, 8), lambda x, j: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, i) AS v FROM range(0, 256) r(i)),
+     ct AS (SELECT list(v ORDER BY i) AS v FROM t),
+     f AS (SELECT conv_id, turn, role, text,
+                  xor(list_reduce(range(0, octet_length(key)), lambda x, j: xor(x >> 8, ct.v[1 + (xor(x, ('0x' || substr(hex(key), 1 + 2 * j, 2))::BIGINT) & 255)]), 4294967295), 4294967295) % 20 AS fate
+           FROM k, ct),
+     d AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+                  CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                  unnest(range(0, CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy
+           FROM f WHERE fate <> 0),
+     o AS (SELECT *, coalesce(conv_id::VARCHAR, '') AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS no, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS kept FROM d),
+     e AS (SELECT *, kept = '' AS blank, kept <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY no) > 1 AS duplicate, role[1] AS r,
+                  lag(role[1]) OVER (PARTITION BY conv_id ORDER BY no) || role[1] AS two FROM o),
+     g AS (SELECT *, NOT blank AND NOT duplicate AND right(kept, 1) NOT IN ('.', '!', '?') AS truncated FROM e),
+     n AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+                  count(*) FILTER (truncated) AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal, max(no) AS last FROM g GROUP BY c),
+     -- the best (cost, audit, text) so far: nothing there yet, after system, after user, after assistant
+     w AS (SELECT c, 0 AS no, {'c': 0, 'a': '', 't': ''} AS p0, NULL::STRUCT(c INT, a VARCHAR, t VARCHAR) AS p1,
+                  {'c': 5, 'a': 'I', 't': chr(10) || 'user:'} AS p2, {'c': 10, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'} AS p3 FROM n
+           UNION ALL
+           SELECT c, no, p0, p1, q2, CASE WHEN q3 IS NULL OR i3 < q3 THEN i3 ELSE q3 END FROM (
+             SELECT *, {'c': q2.c + 5, 'a': q2.a || 'I', 't': q2.t || chr(10) || 'assistant:'} AS i3 FROM (
+               SELECT c, no, p0, p1, q3,
+                      list_min(list_filter([q2, {'c': p0.c + 5, 'a': p0.a || 'I', 't': p0.t || chr(10) || 'user:'}, CASE WHEN p1 IS NOT NULL THEN {'c': p1.c + 5, 'a': p1.a || 'I', 't': p1.t || chr(10) || 'user:'} END,
+                                CASE WHEN q3 IS NOT NULL THEN {'c': q3.c + 5, 'a': q3.a || 'I', 't': q3.t || chr(10) || 'user:'} END], lambda x: x IS NOT NULL)) AS q2 FROM (
+                 SELECT w.c, g.no, {'c': p0.c + 2, 'a': p0.a || 'D', 't': p0.t} AS p0,
+                        list_min(list_filter([CASE WHEN p1 IS NOT NULL THEN {'c': p1.c + 2, 'a': p1.a || 'D', 't': p1.t} END,
+                                  CASE WHEN stays AND r = 's' THEN {'c': p0.c + cut, 'a': p0.a || 'K', 't': p0.t || chr(10) || role || ':' || text} END], lambda x: x IS NOT NULL)) AS p1,
+                        list_min(list_filter([{'c': p2.c + 2, 'a': p2.a || 'D', 't': p2.t}]
+                          || list_transform(CASE WHEN stays AND r = 'u' THEN from_u ELSE [] END, lambda x: {'c': x.c + cut, 'a': x.a || 'K', 't': x.t || chr(10) || role || ':' || text})
+                          || list_transform(CASE WHEN stays THEN from_u ELSE [] END, lambda x: {'c': x.c + cut + 1, 'a': x.a || 'R', 't': x.t || chr(10) || 'user:' || text}), lambda x: x IS NOT NULL)) AS q2,
+                        list_min(list_filter([{'c': p3.c + 2, 'a': p3.a || 'D', 't': p3.t},
+                                  CASE WHEN stays AND r = 'a' THEN {'c': p2.c + cut, 'a': p2.a || 'K', 't': p2.t || chr(10) || role || ':' || text} END,
+                                  CASE WHEN stays THEN {'c': p2.c + cut + 1, 'a': p2.a || 'R', 't': p2.t || chr(10) || 'assistant:' || text} END], lambda x: x IS NOT NULL)) AS q3
+                 FROM (SELECT *, list_filter([p0, p1, p3], lambda x: x IS NOT NULL) AS from_u FROM w) w
+                 JOIN (SELECT *, NOT blank AND NOT duplicate AS stays, CASE WHEN truncated THEN 5 ELSE 0 END AS cut FROM g) g ON g.c = w.c AND g.no = w.no + 1)))),
+     b AS (SELECT n.*, least(p0, p3) AS best FROM w JOIN n ON w.c = n.c AND w.no = n.last)
+SELECT k.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+       coalesce(best.a, '') AS audit, sha256(coalesce(best.t[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN b ON b.c = coalesce(k.conv_id::VARCHAR, '')
+""",
+    "op13_topk_search": """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+           FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score, q.r
+           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.r <> c.r)
+SELECT query_id, n::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id, r ORDER BY score DESC, vec_id NULLS LAST) AS n FROM s) WHERE n <= 5
 """,
 }

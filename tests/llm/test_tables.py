@@ -9,7 +9,7 @@ import pytest
 import corpus_pipeline
 from regolith.llm import pieces, quality, queries, token_counts, url_filters
 
-TABLES = "documents pages benchmark labels conversations".split()
+TABLES = "documents pages benchmark labels conversations embeddings".split()
 
 
 def normal(frame):
