@@ -91,6 +91,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _urls_sql(rounds: int = 12) -> str:
+    """Rules, and rounds of PageRank over all hosts, written out."""
+    host = lambda url: _LOWER.format(f"coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), '')")
+    path = "coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    steps = []
+    for i in range(1, rounds + 1):
+        mass = {k: f"0.15 * {s} + m.{k}" for k, s in (("t", "m.trust_seed"), ("ta", "1"), ("d", "m.distrust_seed"), ("da", "1"))}
+        steps.append(f"""m{i} AS MATERIALIZED (SELECT n.host, n.trust_seed, n.distrust_seed, coalesce(f.t, 0) AS t, coalesce(f.ta, 0) AS ta, coalesce(b.d, 0) AS d, coalesce(b.da, 0) AS da
+       FROM m{i - 1} n LEFT JOIN (SELECT host, sum(t) AS t, sum(ta) AS ta FROM (SELECT e.dst AS host, 0.85 * ({mass["t"]}) * forth AS t, 0.85 * ({mass["ta"]}) * forth AS ta FROM e JOIN m{i - 1} m ON m.host = e.src) GROUP BY host) f ON f.host = n.host
+       LEFT JOIN (SELECT host, sum(d) AS d, sum(da) AS da FROM (SELECT e.src AS host, 0.85 * ({mass["d"]}) * back AS d, 0.85 * ({mass["da"]}) * back AS da FROM e JOIN m{i - 1} m ON m.host = e.dst) GROUP BY host) b ON b.host = n.host)""")
+    return f"""
+WITH p AS (SELECT page_id, {host("url")} AS host, {path} AS path, regexp_extract_all(coalesce(html, ''), '(?i)<a\\s[^>]*?href\\s*=\\s*["'']?((?:https?:)?//[^"''\\s>]*)', 1) AS links FROM pages),
+     r AS (SELECT *, CASE WHEN {fits("example.net", "/en/")} THEN 'example.net/en/' WHEN {fits("example.com", "/de/")} THEN 'example.com/de/'
+                          WHEN {fits("org", "/fr/")} THEN 'org/fr/' WHEN {fits("net", "/")} THEN 'net/' END AS rule FROM p),
+     j AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS told FROM r),
+     s AS (SELECT host, avg((told IS NOT DISTINCT FROM 'allow')::INT) AS trust_seed, avg((told IS NOT DISTINCT FROM 'block')::INT) AS distrust_seed FROM j WHERE host <> '' GROUP BY host),
+     l AS (SELECT src, dst, count(*) AS links FROM (SELECT host AS src, {host("CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END")} AS dst FROM (SELECT host, unnest(links) AS link FROM p))
+           WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+     e AS MATERIALIZED (SELECT src, dst, links / sum(links) OVER (PARTITION BY src) AS forth, links / sum(links) OVER (PARTITION BY dst) AS back FROM l),
+     m0 AS MATERIALIZED (SELECT host, coalesce(trust_seed, 0) AS trust_seed, coalesce(distrust_seed, 0) AS distrust_seed, 0.0::DOUBLE AS t, 0.0::DOUBLE AS ta, 0.0::DOUBLE AS d, 0.0::DOUBLE AS da
+            FROM (SELECT src AS host FROM e UNION SELECT dst FROM e UNION SELECT host FROM s) LEFT JOIN s USING (host)),
+     {", ".join(steps)},
+     v AS (SELECT host, trust_seed + (1 - trust_seed) * CASE WHEN ta > 0 THEN t / ta ELSE 0 END AS trust, distrust_seed + (1 - distrust_seed) * CASE WHEN da > 0 THEN d / da ELSE 0 END AS distrust FROM m{rounds})
+SELECT page_id, host, path, rule, coalesce(told, CASE WHEN distrust >= 0.5 - 1e-9 AND distrust > trust + 1e-9 THEN 'block' ELSE 'allow' END) AS verdict
+FROM j LEFT JOIN v USING (host)
+"""
+
+
 def _clusters_sql(rounds: int = 5) -> str:
     """Rounds of assigning all vectors to the nearest of all centroids, written out."""
     nearest = """a{i} AS (SELECT r, any_value(vec_id) AS vec_id, min({{'d': d, 'j': j}}) AS best FROM
@@ -111,6 +140,7 @@ FROM a{rounds} a JOIN t ON t.j = a.best.j JOIN c{rounds} ON c{rounds}.j = a.best
 
 
 ORACLES: dict[str, str] = {
+    "op9_url_filters": _urls_sql(),
     "op12_centroid_clusters": _clusters_sql(),
     "op6_decontamination": r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(%s, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),

@@ -3,21 +3,18 @@
 Rules: a rule names a host with all its subdomains, and how a path must start; the longest rule that fits wins. The rule
 table is small and given by the caller, so it becomes one literal expression: no join.
 
-Link graph: hosts are nodes; an absolute hyperlink of a page from one host to another is an edge, weighted by the share of
-the host's links. Distrust goes against links (who links to blocked hosts is suspect), trust goes along them. Each is a
-share of the host itself, from 0 to 1: x = seed + (1 - seed) * DAMPING * (mean of x over the hosts it links to; for trust,
-over the hosts that link to it), for ROUNDS rounds, the seeds being the shares of its pages that rules block and allow.
-This is the damped chance that a walk from the host ends at a blocked page, so that it depends on where the host's links
-lead, and neither on how many others link there nor on the size of the graph. A page that no rule fits is blocked if its
-host's distrust is at least BLOCK_AT and above its trust, else allowed.
-
-host_verdicts() has the masses of personalised PageRank from the same seeds. They are shared out over all hosts that link
-to a blocked one, so that they rank hosts of one graph, and no page is judged by them.
-
-Every round is two joins by host over aggregated host edges, written to the shared folder every round. A host with a
-third of all pages or links is aggregated map-side first, and rounds work on one row for each pair of hosts. Verdicts of hosts and
-the state of a round are broadcast where they are counted to be few, so that a common host is no hot key; beyond, Spark
-splits joins that are skewed.
+Link graph: hosts are nodes; an absolute hyperlink of a page from one host to another is an edge. Trust is personalised
+PageRank along links from the hosts whose pages rules allow, distrust the same against links from those whose pages rules
+block (who links to blocked hosts is suspect); the seed of a host is that share of its pages. A mass by itself falls with the
+number of hosts that share it and with the size of the graph. So it is held against PageRank from all hosts alike over
+the same links: what a host receives from seeds, as a part of what it receives at all, is a share from 0 to 1 that
+depends on where its links lead only. A host's trust or distrust is seed + (1 - seed) * that share. A page that no rule fits is blocked
+if its host's distrust is at least BLOCK_AT and above its trust, else allowed.
+
+All four masses move in one pass a round: a join and an aggregation by host over aggregated host edges, written to the shared
+folder. A host with a third of all pages or links is aggregated map-side first, and rounds work on two rows for each pair of hosts.
+Verdicts of hosts and the state of a round are broadcast where they are counted to be few, so that a common host is no hot
+key; beyond, Spark splits joins that are skewed. Hosts without links send nothing on; without edges there are no rounds.
 
 Cases: a null url, or one without "://", has empty host and path, fits no rule, is no node, and is allowed; null or empty
 html has no links; very long html is searched whole; repeated pages count each time; an empty table gives an empty result; further
@@ -31,9 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, ascii_lower, if_small, written
 
-DAMPING, ROUNDS, BLOCK_AT = 0.85, 12, 0.5
-#: The state is written every so many rounds; a round reads it twice, so that unwritten rounds would double in work each time.
-CUT = 1
+DAMPING, ROUNDS, BLOCK_AT, EQUAL = 0.85, 12, 0.5, 1e-9
 #: Fixed values: (host, path, verdict) of the contract.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -83,77 +78,52 @@ def seeds(pages_judged: DataFrame) -> DataFrame:
     )
 
 
-def propagate(seed: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(node, mass): seed is (node, seed), edges is (src, dst, weight) with the weights of a src adding up to 1."""
-    ends = edges.select(F.col("src").alias("node")).distinct().withColumn("flows", F.lit(True))
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(seed, "node", "full_outer")
-    state = nodes.join(ends, "node", "left").select("node", F.coalesce("seed", F.lit(0.0)).alias("seed"), F.coalesce("flows", F.lit(False)).alias("flows"))
-    state = written(state.withColumn("mass", F.col("seed")), "rank")
-    light = F.broadcast if state.count() <= BROADCAST_ROWS else (lambda df: df)
-    for i in range(1, rounds + 1):
-        sent = edges.join(light(state.select(F.col("node").alias("src"), "mass")), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("mass") * F.col("weight")).alias("got"))
-        kept = F.when(F.col("flows"), F.lit(0.0)).otherwise(F.col("mass"))
-        state = state.join(sent, "node", "left").select(
-            "node", "seed", "flows", ((1 - damping) * F.col("seed") + damping * (kept + F.coalesce("got", F.lit(0.0)))).alias("mass")
-        )
-        if i % CUT == 0 and i < rounds:
-            state = written(state, "rank")
-    return state.select("node", "mass")
-
-
-def _weighted(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(src, dst, weight): edges from a to b by their share of a's links."""
-    total = edges.groupBy(a).agg(F.sum("links").alias("total"))
-    return written(edges.join(total, a).select(F.col(a).alias("src"), F.col(b).alias("dst"), (F.col("links") / F.col("total")).alias("weight")), "weights")
+def flows(edges: DataFrame) -> DataFrame:
+    """(node, other, forth, back): the part of other's links that lead to node, and the part of the links to other that come from node."""
+    both = edges.join(edges.groupBy("src").agg(F.sum("links").alias("sent")), "src").join(edges.groupBy("dst").agg(F.sum("links").alias("met")), "dst")
+    nothing = F.lit(0.0)
+    forth = both.select(F.col("dst").alias("node"), F.col("src").alias("other"), (F.col("links") / F.col("sent")).alias("forth"), nothing.alias("back"))
+    back = both.select(F.col("src").alias("node"), F.col("dst").alias("other"), nothing.alias("forth"), (F.col("links") / F.col("met")).alias("back"))
+    return forth.unionByName(back)
 
 
-def _verdict(block_at: float) -> Column:
-    return F.when((F.col("distrust") >= block_at) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
+def propagate(seed: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+    """(node, trust_seed, distrust_seed, and for each of trust, all_forth, distrust, all_back the mass received in the last round).
+
+    seed: (host, trust, distrust); edges: (src, dst, links). A node has (1 - damping) of its seed (of 1 for all_forth and all_back)
+    and what it receives: damping times the masses of its neighbours, each by the part of their links.
+    """
+    found = written(flows(written(edges, "edges")), "flows")
+    nodes = found.select("node").distinct().join(seed.select(F.col("host").alias("node"), F.col("trust").alias("trust_seed"), F.col("distrust").alias("distrust_seed")), "node", "full_outer")
+    kinds = {"trust": ("forth", F.col("trust_seed")), "all_forth": ("forth", F.lit(1.0)), "distrust": ("back", F.col("distrust_seed")), "all_back": ("back", F.lit(1.0))}
+    state = written(nodes.na.fill(0.0).select("*", *(F.lit(0.0).alias(k) for k in kinds)), "rank")
+    if found.isEmpty():
+        return state
+    light = F.broadcast if state.count() <= BROADCAST_ROWS else (lambda df: df)
+    for _ in range(rounds):
+        masses = light(state.select(F.col("node").alias("other"), *(((1 - damping) * s + F.col(k)).alias(k) for k, (_, s) in kinds.items())))
+        got = found.join(masses, "other").groupBy("node").agg(*(F.sum(damping * F.col(k) * F.col(by)).alias(k) for k, (by, _) in kinds.items()))
+        still = state.select("node", "trust_seed", "distrust_seed").join(light(got), "node", "left")
+        state = written(still.na.fill(0.0), "rank")
+    return state
 
 
 def host_verdicts(pages_judged: DataFrame, edges: DataFrame, rounds: int = ROUNDS, block_at: float = BLOCK_AT) -> DataFrame:
-    """(host, trust, distrust, verdict) of each host that has a page or a link, by PageRank masses."""
-    found, edges = written(seeds(pages_judged), "seeds"), written(edges, "edges")
-    trust = propagate(found.select(F.col("host").alias("node"), F.col("trust").alias("seed")), _weighted(edges, "src", "dst"), rounds)
-    distrust = propagate(found.select(F.col("host").alias("node"), F.col("distrust").alias("seed")), _weighted(edges, "dst", "src"), rounds)
-    spread = trust.select(F.col("node").alias("host"), F.col("mass").alias("trust")).join(distrust.select(F.col("node").alias("host"), F.col("mass").alias("distrust")), "host")
-    return spread.withColumn("verdict", _verdict(block_at))
-
-
-def _takes(edges: DataFrame) -> DataFrame:
-    """(node, other, trust_by, distrust_by): whose shares a node takes, and by what part: distrust from where it links to, trust from where it is linked."""
-    nothing = F.lit(0.0)
-    forth = _weighted(edges, "src", "dst").select(F.col("src").alias("node"), F.col("dst").alias("other"), nothing.alias("trust_by"), F.col("weight").alias("distrust_by"))
-    back = _weighted(edges, "dst", "src").select(F.col("src").alias("node"), F.col("dst").alias("other"), F.col("weight").alias("trust_by"), nothing.alias("distrust_by"))
-    return written(forth.unionByName(back), "takes")
-
-
-def host_shares(pages_judged: DataFrame, edges: DataFrame, rounds: int = ROUNDS, block_at: float = BLOCK_AT) -> DataFrame:
-    """(host, trust, distrust, verdict) of each host that has a page or a link, by which pages are judged. Rounds end before `rounds` where no share moves any more."""
-    takes = _takes(written(edges, "edges"))
-    seed = seeds(pages_judged).select(F.col("host").alias("node"), F.col("trust").alias("trust_seed"), F.col("distrust").alias("distrust_seed"))
-    nodes = takes.select("node").distinct().join(seed, "node", "full_outer").na.fill(0.0)
-    state = written(nodes.withColumn("trust", F.col("trust_seed")).withColumn("distrust", F.col("distrust_seed")).withColumn("moved", F.lit(True)), "shares")
-    light = F.broadcast if state.count() <= BROADCAST_ROWS else (lambda df: df)
+    """(host, trust, distrust, verdict) of each host that has a page or a link, by relative PageRank masses."""
 
-    def share(kind: str):
-        return F.col(f"{kind}_seed") + (1 - F.col(f"{kind}_seed")) * DAMPING * F.coalesce(f"{kind}_mean", F.lit(0.0))
+    def relative(kind: str, of: str) -> Column:
+        share = F.when(F.col(of) > 0, F.col(kind) / F.col(of)).otherwise(0.0)
+        return F.col(f"{kind}_seed") + (1 - F.col(f"{kind}_seed")) * share
 
-    for i in range(1, rounds + 1):
-        others = light(state.select(F.col("node").alias("other"), "trust", "distrust"))
-        mean = takes.join(others, "other").groupBy("node").agg(F.sum(F.col("trust") * F.col("trust_by")).alias("trust_mean"), F.sum(F.col("distrust") * F.col("distrust_by")).alias("distrust_mean"))
-        moved = ((share("trust") != F.col("trust")) | (share("distrust") != F.col("distrust"))).alias("moved")
-        state = state.join(light(mean), "node", "left").select("node", "trust_seed", "distrust_seed", share("trust").alias("trust"), share("distrust").alias("distrust"), moved)
-        if i % CUT == 0 and i < rounds:
-            state = written(state, "shares")
-            if state.filter("moved").isEmpty():
-                break
-    return state.select(F.col("node").alias("host"), "trust", "distrust", _verdict(block_at).alias("verdict"))
+    spread = propagate(seeds(pages_judged), edges, rounds).select(F.col("node").alias("host"), relative("trust", "all_forth").alias("trust"), relative("distrust", "all_back").alias("distrust"))
+    # sums of doubles depend on their order; what is equal but for that counts as equal
+    blocked = (F.col("distrust") >= block_at - EQUAL) & (F.col("distrust") > F.col("trust") + EQUAL)
+    return spread.withColumn("verdict", F.when(blocked, "block").otherwise("allow"))
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, rounds: int = ROUNDS, block_at: float = BLOCK_AT) -> DataFrame:
     """page_id, host, path, rule, verdict of each page."""
     own = judged(pages, rules)
-    hosts = host_shares(own, host_edges(pages), rounds, block_at).select(F.col("host").alias("of"), F.col("verdict").alias("host_verdict"))
+    hosts = host_verdicts(own, host_edges(pages), rounds, block_at).select(F.col("host").alias("of"), F.col("verdict").alias("host_verdict"))
     both = own.join(if_small(written(hosts, "verdicts")), own["host"] == F.col("of"), "left")
     return both.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "host_verdict", F.lit("allow")).alias("verdict"))
