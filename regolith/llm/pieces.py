@@ -36,7 +36,7 @@ from .common import in_batches
 
 RATE, SEED = 0.1, 1
 #: Chunks of more letters are encoded one by one; of others STEP at a time. Texts are encoded in groups of GROUP characters.
-LONG, STEP, GROUP = 40, 1 << 15, 4 << 20
+LONG, STEP, GROUP = 40, 1 << 15, 1 << 20
 #: Occurrences that are held against their chunks' candidates at a time.
 CHECKED = 1 << 17
 NEVER = np.float32(np.inf)
