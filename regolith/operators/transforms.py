@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from regolith.functions.units import known_factor
 
+from .vector_join import similar_pairs
+
+#: Fixed value: the least cosine of vectors that are compared across sources.
+SIMILAR = 0.8
 NUMERIC = ("integer", "float")
 FUNCTION = "struct<function_type:string,input_type:string,output_type:string,expression:string,expression_type:string,factor:double>"
 
@@ -79,13 +83,17 @@ def reverse(function: Column) -> Column:
     ).cast(FUNCTION)
 
 
-def generate(elements: DataFrame, similar: DataFrame | None = None) -> DataFrame:
+def generate(elements: DataFrame, similar: float | None = SIMILAR) -> DataFrame:
     """(a_id, b_id, strategy, function, sha256): transforms between elements.
 
-    elements: (id, source, term_uri, name, sha256, data_type, unit, value_domain, choices, structural_type). Pairs of equal
+    elements: (id, source, term_uri, name, sha256, data_type, unit, value_domain, choices, structural_type), and vector if there is
+    one: then all elements of different sources whose cosine is at least `similar` are paired too. Pairs of equal
     content are skipped, and arrays without a structural type.
     """
-    pairs = candidate_pairs(elements, similar)
+    near = None
+    if similar is not None and "vector" in elements.columns:
+        near = similar_pairs(elements.select("id", "vector", F.coalesce("source", F.lit("")).alias("apart")), similar)
+    pairs = candidate_pairs(elements, near)
     use = elements.filter((F.col("data_type") != "array") | F.col("structural_type").isNotNull())
     keep = ("id", "sha256", "data_type", "unit", "value_domain", "choices")
     a, b = (use.select(*(F.col(c).alias(f"{s}_{c}") for c in keep)) for s in "ab")

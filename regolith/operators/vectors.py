@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regolith.functions.similarity import cosine, score_relation
+from regolith.functions.similarity import score_relation
+
+from .vector_index import nearest
 
 # Candidates looked at, accepted at most, and the largest fall of score within a series.
 TOP, ACCEPTED, GAP = 20, 10, 0.15
@@ -17,53 +19,9 @@ TOP, ACCEPTED, GAP = 20, 10, 0.15
 def top_k(queries: DataFrame, index: DataFrame, k: int = TOP) -> DataFrame:
     """(query, item, score, rank): the k nearest items by cosine, ties by item.
 
-    queries: (query, vector), a stated set; index: (item, vector), of any size. Blocks of the index meet the queries in
-    NumPy; each block gives k rows a query, so what is shuffled is bounded by queries, blocks and k.
+    queries: (query, vector) and index: (item, vector), of any size; all queries go along the index in one pass.
     """
-    dims = queries.select("query", "vector")
-    size = dims.count()
-    if size == 0:
-        return _ranked(dims.crossJoin(index.limit(0).select("item")).select("query", "item", F.lit(0.0).alias("score")), k)
-    blocks = -(-size // 4096)
-    placed = dims.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        some = placed.filter(F.col("block") == b).select("query", "vector").toPandas()
-        shared = queries.sparkSession.sparkContext.broadcast((some["query"].tolist(), np.array(some["vector"].tolist(), np.float64)))
-        kind = dims.schema["query"].dataType.simpleString()
-
-        def run(batches, shared=shared):
-            names, q = shared.value
-            if not len(names):
-                return
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                v = np.array(pdf["vector"].tolist(), np.float64)
-                length = np.linalg.norm(v, axis=1)
-                score = (q @ v.T) / np.where(length == 0, 1, length)
-                items = pdf["item"].to_numpy()
-                keep = min(k, len(items))
-                for i, name in enumerate(names):
-                    least = np.partition(score[i], -keep)[-keep]
-                    at = np.flatnonzero(score[i] >= least)  # with all ties of the last
-                    yield pd.DataFrame({"query": name, "item": items[at], "score": score[i][at]})
-
-        item_kind = index.schema["item"].dataType.simpleString()
-        part = index.select("item", "vector").mapInPandas(run, f"query {kind}, item {item_kind}, score double")
-        out = part if out is None else out.unionByName(part)
-    return _ranked(out, k)
-
-
-def _ranked(scored: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "item")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def pair_scores(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Cosine of two vector columns, inside code generation."""
-    return pairs.withColumn("score", cosine(F.col(a), F.col(b)))
+    return nearest(queries, index, k)
 
 
 def gap_cutoff(ranked: DataFrame, threshold: float, gap: float = GAP, most: int = ACCEPTED, deprecated: Column | None = None) -> DataFrame:
@@ -95,6 +53,10 @@ def species_over_genus(annotations: Column) -> Column:
     return F.filter(annotations, lambda a: ~genus(a))
 
 
+#: The name under which indexes keep the encoder below.
+HASHED = "hashed-trigrams-384"
+
+
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def hashed_vector(text: pd.Series) -> pd.Series:
     """A deterministic encoder for use without a model: character trigrams hashed into 384 signed places."""

@@ -322,7 +322,8 @@ def _vector_ranks(spark, sf_dir, k):
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
     near = vec.top_k(asked, vectors.select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector")), k + 1)
-    return vec._ranked(near.filter("query <> item").drop("rank"), k)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "item")
+    return near.filter("query <> item").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 @query(_VECTORS + "SELECT query, item, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 5")
