@@ -127,9 +127,3 @@ def embedding_text(cls: Column, name: Column, description: Column, data_type: Co
 def search_text(name: Column, description: Column, data_type: Column, unit_: Column, labels: Column) -> Column:
     """The text that lexical search looks at."""
     return F.concat_ws(" ", name, F.substring(description, 1, 200), data_type, unit_, F.array_join(F.slice(labels, 1, 5), " "))
-
-
-def search_tokens(text: Column) -> Column:
-    """Words of a text with plural and verb endings cut: a stemmer of few rules, not that of a full-text database."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.regexp_replace(w, r"(?<=\w{3})(ies|es|s|ing|ed)$", ""))

@@ -54,3 +54,9 @@ def hybrid_each(lexical_hits: DataFrame, semantic_hits: DataFrame, first: int) -
     best = both.groupBy("query", "sha256").agg(F.max("score").alias("score"), F.min("name").alias("name"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.lower("name"), "sha256")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= first)
+
+
+def full_text_each(entities: DataFrame, index, asked: DataFrame) -> DataFrame:
+    """(query, sha256, kind, name, score) of the entities (sha256, kind, name) that a full-text index finds for each phrase; asked: (query, phrase)."""
+    hits = index.search(asked).withColumnRenamed("id", "sha256")
+    return hits.join(entities.select("sha256", "kind", "name", _base().alias("score")), "sha256").select("query", "sha256", "kind", "name", "score")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regolith.functions import unit_algebra
 from regolith.functions.units import known_factor
 
 from .vector_join import similar_pairs
@@ -40,17 +41,20 @@ def _iso(a: str) -> Column:
     return F.contains(F.lower(F.concat_ws(" ", F.col(f"{a}_unit"), F.col(f"{a}_value_domain"))), F.lit("iso"))
 
 
-def detect(pairs: DataFrame) -> DataFrame:
+def detect(pairs: DataFrame, algebra: bool = False) -> DataFrame:
     """pairs with `function`: how a value of a becomes one of b, or null for none.
 
     Columns a_ and b_ of data_type, unit, value_domain, choices. In order: value mapping, identity, unit conversion, type
-    conversion, structural, unknown.
+    conversion, structural, unknown. Factors are those of the fixed table and, with `algebra`, of all units that can be read and
+    have the same dimensions.
     """
     ta, tb, ua, ub = (F.col(c) for c in ("a_data_type", "b_data_type", "a_unit", "b_unit"))
     ca, cb = (F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>"))) for c in ("a_choices", "b_choices"))
     shared, total = F.array_sort(F.array_intersect(ca, cb)), F.size(F.array_union(ca, cb))
     mapping = (F.size(ca) > 0) & (F.size(cb) > 0) & ((F.size(shared) < total) & (F.size(shared) / total > 0.3))
     factor = known_factor(ua, ub)
+    if algebra:
+        factor = F.coalesce(factor, unit_algebra.factor(unit_algebra.parsed(ua), unit_algebra.parsed(ub)))
 
     def spec(kind, expression, how, by=None):
         none = F.lit(None).cast("double")
@@ -83,12 +87,12 @@ def reverse(function: Column) -> Column:
     ).cast(FUNCTION)
 
 
-def generate(elements: DataFrame, similar: float | None = SIMILAR) -> DataFrame:
+def generate(elements: DataFrame, similar: float | None = SIMILAR, algebra: bool = False) -> DataFrame:
     """(a_id, b_id, strategy, function, sha256): transforms between elements.
 
     elements: (id, source, term_uri, name, sha256, data_type, unit, value_domain, choices, structural_type), and vector if there is
     one: then all elements of different sources whose cosine is at least `similar` are paired too. Pairs of equal
-    content are skipped, and arrays without a structural type.
+    content are skipped, and arrays without a structural type. algebra: as in detect().
     """
     near = None
     if similar is not None and "vector" in elements.columns:
@@ -98,7 +102,7 @@ def generate(elements: DataFrame, similar: float | None = SIMILAR) -> DataFrame:
     keep = ("id", "sha256", "data_type", "unit", "value_domain", "choices")
     a, b = (use.select(*(F.col(c).alias(f"{s}_{c}") for c in keep)) for s in "ab")
     full = pairs.join(a, "a_id").join(b, "b_id").filter("a_sha256 <> b_sha256")
-    done = detect(full).filter("function is not null")
+    done = detect(full, algebra).filter("function is not null")
     content = F.to_json(F.struct(F.col("function"), F.col("a_id").alias("source_element"), F.col("b_id").alias("target_element")))
     return done.select("a_id", "b_id", "strategy", "function", F.sha2(content, 256).alias("sha256"))
 

@@ -1,4 +1,4 @@
-"""Queries on joins and indexes of their own making: cosine joins, vector indexes."""
+"""Queries on joins and indexes of their own making: cosine joins, vector and full-text indexes."""
 
 from __future__ import annotations
 
@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regolith.functions import english, unit_algebra
 from regolith.operators import transforms, vector_join
 from regolith.operators.graph import shared_dir
+from regolith.operators.lexical_index import LexicalIndex
 from regolith.operators.vector_index import VectorIndex
 
 from .registry_queries import query, table
@@ -40,7 +42,7 @@ def transforms_by_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias("id"), F.concat(F.lit("s"), "label").alias("source"), nothing.alias("term_uri"), F.concat(F.lit("n"), "vec_id").alias("name"), F.sha2(F.col("vec_id").cast("string"), 256).alias("sha256"),
         F.lit("float").alias("data_type"), F.when(F.col("vec_id") % 3 == 0, "kg").otherwise("g").alias("unit"), F.lit("").alias("value_domain"), F.array().cast("array<string>").alias("choices"), nothing.alias("structural_type"), F.col("embedding").alias("vector"),
     )
-    return transforms.generate(rows, 0.35).select("a_id", "b_id", "strategy", "function.function_type", F.round("function.factor", 6).alias("factor"))
+    return transforms.generate(rows, 0.35, algebra=True).select("a_id", "b_id", "strategy", "function.function_type", F.round("function.factor", 6).alias("factor"))
 
 
 @query("""
@@ -57,3 +59,41 @@ def index_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     index.append(vectors.filter("item % 2 = 1"))
     found = index.search(vectors.withColumnRenamed("item", "query"), 4)
     return found.select("query", "item", F.round("score", 6).alias("score"), "rank")
+
+
+_WORDS = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+(?:''[\\p{{L}}\\p{{N}}]+)*'))"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+(?:''[\\p{{L}}\\p{{N}}]+)*') AS l FROM documents),
+     q AS (SELECT doc_id AS query, list_distinct([l[len(l)], l[len(l) // 2 + 1]]) AS t FROM d WHERE doc_id % 100 = 0 AND len(w) > 0)
+SELECT query, doc_id AS id FROM q JOIN d ON list_has_all(w, t)
+""")
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts are indexed, a part of them again after a deletion; every 100th text asks for its last and its middle word together."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    path = scratch(spark, "lexical-index")
+    index = LexicalIndex.build(docs.filter("id % 3 > 0").withColumn("text", F.when(F.col("id") % 3 == 1, "what will be replaced").otherwise(F.col("text"))), path, "words")
+    index.delete(docs.filter("id % 6 = 1").select("id"))
+    index.upsert(docs.filter("id % 3 < 2"))
+    words = english.words(F.col("text"))
+    asked = docs.filter("id % 100 = 0").select(F.col("id").alias("query"), F.concat_ws(" ", F.try_element_at(words, F.lit(-1)), F.get(words, F.floor(F.size(words) / 2).cast("int"))).alias("phrase"))
+    return LexicalIndex.open(spark, path, "words").search(asked)
+
+
+_UNIT_SQL = {"kg": (1.0, 1), "mg": (1e-6, 1), "g/mL": (1e3, 2), "kg.m-3": (1.0, 2), "ug/L": (1e-6, 2), "km/h": (1 / 3.6, 3), "cm s-1": (0.01, 3), "N.m": (1.0, 4), "kJ": (1e3, 4), "no unit": (None, None)}
+
+
+@query(f"""
+WITH u(i, unit, scale, dims) AS (VALUES {", ".join(f"({i}, '{u}', {'NULL' if s is None else s}::DOUBLE, {'NULL' if d is None else d})" for i, (u, (s, d)) in enumerate(_UNIT_SQL.items()))}),
+     p AS (SELECT l_orderkey, l_linenumber, l_quantity AS v, (l_partkey + l_linenumber) % 10 AS a, l_suppkey % 10 AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(x.scale / y.scale, 12) AS factor, round(v * x.scale / y.scale, 6) AS value
+FROM p JOIN u x ON x.i = a JOIN u y ON y.i = b AND x.dims = y.dims
+""")
+def unit_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities in one compound unit turned into another, where dimensions agree; each distinct pair of units is read once."""
+    names = F.array(*(F.lit(u) for u in _UNIT_SQL))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.get(names, ((F.col("l_partkey") + F.col("l_linenumber")) % 10).cast("int")).alias("a"), F.get(names, (F.col("l_suppkey") % 10).cast("int")).alias("b"))
+    pairs = lines.select("a", "b").distinct().select("a", "b", unit_algebra.parsed(F.col("a")).alias("pa"), unit_algebra.parsed(F.col("b")).alias("pb"))
+    known = pairs.filter(unit_algebra.compatible(F.col("pa"), F.col("pb")))
+    return lines.join(known, ["a", "b"]).select("l_orderkey", "l_linenumber", F.round(unit_algebra.factor(F.col("pa"), F.col("pb")), 12).alias("factor"), F.round(unit_algebra.converted(F.col("l_quantity"), F.col("pa"), F.col("pb")), 6).alias("value"))
