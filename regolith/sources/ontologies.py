@@ -1,4 +1,4 @@
-"""Ontology files: OBO stanzas and N-Triples, as term and edge tables."""
+"""Ontology files: OBO stanzas and RDF, as term and edge tables."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from regolith.functions.infer import curie_to_uri
 
+from . import rdf
+
 LABEL, PARENT, DEPRECATED = "http://www.w3.org/2000/01/rdf-schema#label", "http://www.w3.org/2000/01/rdf-schema#subClassOf", "http://www.w3.org/2002/07/owl#deprecated"
 SYNONYM = "http://www.geneontology.org/formats/oboInOwl#hasExactSynonym"
 
@@ -34,17 +36,23 @@ def edges(terms: DataFrame) -> DataFrame:
     return terms.select(F.col("uri").alias("child"), F.explode("parents").alias("parent"), "ontology").distinct()
 
 
-def n_triples(spark: SparkSession, path: str, ontology: str) -> DataFrame:
-    """The same columns from N-Triples, a line a triple."""
-    form = r"^\s*(\S+)\s+<([^>]*)>\s+(.*?)\s*\.\s*$"
-    raw = spark.read.text(path).select(*(F.regexp_extract("value", form, i).alias(n) for i, n in ((1, "s"), (2, "p"), (3, "o")))).filter("s <> ''")
-    bare = F.regexp_extract("o", r'^<([^>]*)>$', 1)
-    literal = F.regexp_extract("o", r'^"((?:[^"\\]|\\.)*)"', 1)
-    rows = raw.select(F.regexp_replace("s", "^<|>$", "").alias("uri"), "p", F.when(F.col("o").startswith('"'), literal).otherwise(bare).alias("v"))
-    picked = rows.groupBy("uri").agg(
-        F.min(F.when(F.col("p") == LABEL, F.col("v"))).alias("label"),
-        F.array_sort(F.collect_set(F.when(F.col("p") == SYNONYM, F.col("v")))).alias("synonyms"),
-        F.coalesce(F.bool_or(F.when(F.col("p") == DEPRECATED, F.col("v") == "true")), F.lit(False)).alias("deprecated"),
-        F.array_sort(F.collect_set(F.when((F.col("p") == PARENT) & (F.col("v") != ""), F.col("v")))).alias("parents"),
+def terms(triples: DataFrame, ontology: str) -> DataFrame:
+    """The same columns from triples (s, p, o, kind), whatever file they come from: one row a subject that has a label, synonym, parent or mark."""
+    known = triples.filter((F.col("kind") != "malformed") & F.col("p").isin(LABEL, PARENT, DEPRECATED, SYNONYM))
+    picked = known.groupBy(F.col("s").alias("uri")).agg(
+        F.min(F.when(F.col("p") == LABEL, F.col("o"))).alias("label"),
+        F.array_sort(F.collect_set(F.when(F.col("p") == SYNONYM, F.col("o")))).alias("synonyms"),
+        F.coalesce(F.bool_or(F.when(F.col("p") == DEPRECATED, F.col("o").isin("true", "1"))), F.lit(False)).alias("deprecated"),
+        F.array_sort(F.collect_set(F.when((F.col("p") == PARENT) & (F.col("kind") == "iri"), F.col("o")))).alias("parents"),
     )
     return picked.select("uri", F.lit(ontology).alias("ontology"), "label", "synonyms", "deprecated", F.lit(None).cast("string").alias("namespace"), "parents")
+
+
+def rdf_terms(spark: SparkSession, path: str, ontology: str, form: str | None = None) -> DataFrame:
+    """The same columns from Turtle, N-Triples or N-Quads."""
+    return terms(rdf.triples(spark, path, form), ontology)
+
+
+def n_triples(spark: SparkSession, path: str, ontology: str) -> DataFrame:
+    """The same columns from N-Triples, a line a triple."""
+    return rdf_terms(spark, path, ontology, "nt")
