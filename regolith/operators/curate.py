@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .merge import keep_first
+
 # Scores between which a match without a verdict is unsure, and the gap of the two best that is too close.
 UNSURE, CLOSE_GAP = (0.7, 0.95), 0.05
 # What a proposal or job may become from each state.
@@ -24,15 +26,18 @@ def annotation_flags(entities: DataFrame) -> DataFrame:
     return entities.select(F.col("id").alias("entity_ref"), F.lit("needs_review").alias("flag_type"), F.explode(reasons).alias("reason"))
 
 
-def add_flags(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """stored and those of fresh whose (entity_ref, flag_type) is not flagged yet."""
-    new = fresh.dropDuplicates(["entity_ref", "flag_type"]).join(stored.select("entity_ref", "flag_type"), ["entity_ref", "flag_type"], "left_anti")
+def add_flags(stored: DataFrame, fresh: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """stored and those of fresh whose (entity_ref, flag_type) is not flagged yet; of several the first in the order of some columns, then of the contents."""
+    new = keep_first(fresh, ["entity_ref", "flag_type"], list(order)).join(stored.select("entity_ref", "flag_type"), ["entity_ref", "flag_type"], "left_anti")
     return stored.unionByName(new, allowMissingColumns=True)
 
 
-def resolve_flags(stored: DataFrame, decisions: DataFrame, at: Column) -> DataFrame:
-    """stored with (flag_id, status, resolved_by) decisions applied to flags that are still pending; what was resolved before stays as it is."""
-    d = decisions.select("flag_id", F.col("status").alias("_status"), F.col("resolved_by").alias("_by")).dropDuplicates(["flag_id"])
+def resolve_flags(stored: DataFrame, decisions: DataFrame, at: Column, order: tuple[str, ...] = ()) -> DataFrame:
+    """stored with (flag_id, status, resolved_by) decisions applied to flags that are still pending; what was resolved before stays as it is.
+
+    Of several decisions on a flag the first counts, in the order of some of their columns, then by status and name.
+    """
+    d = keep_first(decisions, ["flag_id"], [*order, "status", "resolved_by"]).select("flag_id", F.col("status").alias("_status"), F.col("resolved_by").alias("_by"))
     both = stored.join(d, "flag_id", "left")
     before = {c: F.col(c) if c in stored.columns else F.lit(None) for c in ("resolved_by", "resolved_at")}
     open_ = F.col("_status").isNotNull() & (F.col("status") == "pending")
@@ -44,12 +49,16 @@ def resolve_flags(stored: DataFrame, decisions: DataFrame, at: Column) -> DataFr
     )
 
 
-def step(rows: DataFrame, decisions: DataFrame) -> DataFrame:
-    """rows (id, state) with decisions (id, to) applied where the state allows them; `moved` tells."""
+def step(rows: DataFrame, decisions: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """rows (id, state) with decisions (id, to) applied where the state allows them; `moved` tells.
+
+    Of several decisions on a row the first counts, in the order of some of their columns, then by where they lead to.
+    """
     allowed = F.lit(False)
     for a, bs in STEPS.items():
         allowed = allowed | ((F.col("state") == a) & F.col("to").isin(*bs))
-    both = rows.join(decisions.dropDuplicates(["id"]), "id", "left").withColumn("moved", F.coalesce(allowed, F.lit(False)))
+    first = keep_first(decisions, ["id"], [*order, "to"]).select("id", "to")
+    both = rows.join(first, "id", "left").withColumn("moved", F.coalesce(allowed, F.lit(False)))
     return both.withColumn("state", F.when(F.col("moved"), F.col("to")).otherwise(F.col("state"))).drop("to")
 
 
@@ -91,10 +100,10 @@ def audit(actions: DataFrame, at: Column) -> DataFrame:
 
 
 def queued_datasets(found: DataFrame, jobs: DataFrame, approved: dict[str, str]) -> DataFrame:
-    """New ingestion jobs for datasets (url, source, adapter) that no job (repository_url) has yet; sources on the list are approved at once."""
+    """New ingestion jobs for datasets (url, source, adapter) that no job (repository_url) has yet; sources on the list are approved at once. A url that several sources found is that of the first by name."""
     table = F.create_map(*(F.lit(x) for kv in approved.items() for x in kv)) if approved else F.create_map().cast("map<string,string>")
     known = F.element_at(table, F.col("source"))
-    new = found.dropDuplicates(["url"]).join(jobs.select(F.col("repository_url").alias("url")).distinct(), "url", "left_anti")
+    new = keep_first(found, ["url"], ["source", "adapter"]).join(jobs.select(F.col("repository_url").alias("url")).distinct(), "url", "left_anti")
     return new.select(F.col("url").alias("repository_url"), F.coalesce(known, "adapter", F.lit("unknown")).alias("adapter_type"), F.when(known.isNotNull(), "approved").otherwise("pending").alias("status"), known.isNotNull().alias("auto_approved"))
 
 

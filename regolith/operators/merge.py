@@ -7,17 +7,10 @@ file: callers give an ordering column, and ties fall back on the entry itself.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def first_by_key(ordered: Column) -> Column:
-    """Of an array of provenance structs, the first entry of each (source, name), in order. Runs over one entity's entries."""
-    keyed = F.transform(ordered, lambda p: F.struct(p["source"].alias("s"), p["name"].alias("n")))
-    at = F.array_distinct(keyed)
-    return F.transform(at, lambda k: F.get(F.filter(ordered, lambda p: p["source"].eqNullSafe(k["s"]) & p["name"].eqNullSafe(k["n"])), F.lit(0)))
-
-
 def distinct_entries(rows: DataFrame, order: str) -> DataFrame:
     """(sha256, order, entry): the first entry of each (sha256, source, name); shrinks hot hashes before they meet."""
     entries = rows.select("sha256", F.col(order).alias("order"), F.posexplode_outer("provenance").alias("at", "entry"))
@@ -83,7 +76,7 @@ def imported(stored: dict[str, DataFrame], fresh: dict[str, DataFrame], clear: b
     out = {} if clear else dict(stored)
     for name, rows in fresh.items():
         if name not in out:
-            out[name] = rows.dropDuplicates(keys[name]) if name in keys else upsert(rows.limit(0), rows)
+            out[name] = keep_first(rows, keys[name], []) if name in keys else upsert(rows.limit(0), rows)
         elif name in keys:
             out[name] = out[name].unionByName(insert_absent(out[name], rows, keys[name]), allowMissingColumns=True)
         else:
@@ -95,15 +88,20 @@ def delete(stored: DataFrame, hashes: DataFrame) -> DataFrame:
     return stored.join(hashes.select("sha256"), "sha256", "left_anti")
 
 
-def insert_absent(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of fresh whose keys stored does not have, one of each key."""
-    return fresh.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+def insert_absent(stored: DataFrame, fresh: DataFrame, keys: list[str], order: list[str] = ()) -> DataFrame:
+    """Rows of fresh whose keys stored does not have, of each key the first in the order of some columns, then of the contents."""
+    return keep_first(fresh, keys, list(order)).join(stored.select(*keys), keys, "left_anti")
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_no", F.row_number().over(w)).filter("_no = 1").drop("_no")
+    """The first row of each key in the order of some columns (nulls last), then of the rows' own contents.
+
+    So the same rows give the same result however they are dealt or sorted; it is a plain aggregation, combined before the shuffle.
+    """
+    whole = F.struct(*(F.col(c) for c in rows.columns))
+    place = F.struct(*(x for c in order for x in (F.col(c).isNull(), F.col(c))), F.to_json(whole))
+    kept = rows.groupBy(*(F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys))).agg(F.min_by(whole, place).alias("_row"))
+    return kept.select(*(F.col("_row")[c].alias(c) for c in rows.columns))
 
 
 def value_label(raw: Column, aliases: dict[str, str] | None = None) -> Column:

@@ -37,11 +37,6 @@ def term_counts(terms: DataFrame) -> DataFrame:
     return terms.groupBy("ontology").agg(F.countDistinct("uri").alias("n_terms"))
 
 
-def broader(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
-    """Ancestors up to depth, as broad matches."""
-    return ancestors(edges, start, depth).withColumn("relation", F.lit("skos:broadMatch"))
-
-
 def changed_versions(loaded: DataFrame, available: DataFrame) -> DataFrame:
     """(name, state) of ontologies: new, changed or same by checksum."""
     a, b = loaded.select("name", F.col("checksum").alias("_a")), available.select("name", F.col("checksum").alias("_b"))
@@ -58,7 +53,7 @@ def verify(elements: DataFrame, terms: DataFrame, least: float = 0.5) -> DataFra
     """(id, term_uri, problem) of annotations: missing, deprecated, or a label unlike the element's name."""
     from regolith.functions.similarity import name_ratio
 
-    known = terms.select(F.col("uri").alias("_u"), F.col("label").alias("_l"), "deprecated").dropDuplicates(["_u"])
+    known = terms.groupBy(F.col("uri").alias("_u")).agg(F.min("label").alias("_l"), F.bool_or("deprecated").alias("deprecated"))
     both = elements.filter("term_uri is not null").join(known, F.col("term_uri") == F.col("_u"), "left").withColumn("_r", name_ratio(F.col("name"), F.col("_l")))
     problem = F.when(F.col("_u").isNull(), "missing").when(F.col("deprecated"), "deprecated").when(F.col("_r") < least, "unlike")
     return both.select("id", "term_uri", problem.alias("problem")).filter("problem is not null")

@@ -20,10 +20,6 @@ def entity_rules(recomputed: str = "recomputed") -> dict[str, Column]:
     return {"valid_type": F.col("data_type").isin(*DATA_TYPES), "hash_integrity": F.col("sha256") == F.col(recomputed)}
 
 
-def repeated(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
-
-
 def count_checks(rows: DataFrame, spec: DataFrame) -> DataFrame:
     """(category, n, state) against spec (category, least, most): ok, few, many."""
     n = rows.groupBy("category").agg(F.count("*").alias("n"))

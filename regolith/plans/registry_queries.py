@@ -39,11 +39,11 @@ SELECT sha256(text) AS sha256, count(*)::BIGINT AS n_rows,
 FROM documents WHERE text IS NOT NULL GROUP BY 1
 """)
 def content_address_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as content-addressed rows, their provenance united by the merge of the registry."""
     docs = table(spark, sf_dir, "documents").filter("text is not null")
-    return docs.groupBy(F.sha2("text", 256).alias("sha256")).agg(
-        F.count("*").alias("n_rows"),
-        F.array_join(F.array_sort(F.collect_set(F.concat_ws("/", "source", "lang"))), ",").alias("provenance"),
-    )
+    rows = docs.select(F.sha2("text", 256).alias("sha256"), F.col("doc_id").alias("ord"), F.array(F.struct("source", F.col("lang").alias("name"))).alias("provenance"))
+    named = F.transform("provenance", lambda p: F.concat_ws("/", p["source"], p["name"]))
+    return merge.merge_by_hash(rows).select("sha256", "n_rows", F.array_join(F.array_sort(named), ",").alias("provenance"))
 
 
 # --- identity and merge

@@ -37,8 +37,8 @@ def detect(path: str) -> str | None:
 
 
 def detect_project(spark: SparkSession, path: str) -> str | None:
-    """The reader for a folder by the marker files at its root, of which the first in MARKERS counts; no file is opened."""
+    """The reader for a folder by the marker files at its root, of which the first in MARKERS with a reader counts; no file is opened."""
     names = "{" + ",".join(MARKERS) + "}"
     found = spark.read.format("binaryFile").option("pathGlobFilter", names).load(path).select(F.substring_index("path", "/", -1).alias("name"))
     there = {r.name for r in found.distinct().collect()}  # at most one row a marker
-    return next((r for m, r in MARKERS.items() if m in there), None)
+    return next((r for m, r in MARKERS.items() if m in there and r in READERS), None)

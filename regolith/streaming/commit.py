@@ -5,31 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from regolith.operators.merge import upsert
+from regolith.operators.table_log import TableLog
 
 
-def commit_stream(staged: DataFrame, registry: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Starts the commit. Batches are content-addressed, so one that is delivered again changes nothing.
-
-    The registry is a folder of versions; a batch writes the next one and only then is it the newest, since Spark cannot
-    overwrite what it reads. Versions are named by batch, so a retried batch overwrites its own.
-    """
+def commit_stream(staged: DataFrame, table: TableLog, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Starts the commit of a stream into a table. A batch is named by its number, so that one that is delivered again is applied once."""
 
     def merge(batch: DataFrame, no: int) -> None:
-        spark = batch.sparkSession
-        before = _version(spark, registry, no - 1)
-        rows = upsert(before, batch) if before is not None else upsert(batch.limit(0), batch)
-        rows.write.mode("overwrite").parquet(f"{registry}/version={no}")
+        TableLog(batch.sparkSession, table.path).merge(batch, f"stream-{no}")
 
     writer = staged.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-def _version(spark, registry: str, no: int) -> DataFrame | None:
-    """The newest version up to a number."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(registry)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    for n in range(no, -1, -1):
-        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{registry}/version={n}/_SUCCESS")):
-            return spark.read.parquet(f"{registry}/version={n}")
-    return None

@@ -15,12 +15,6 @@ def event_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minut
     return counts.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "total")
 
 
-def once(events: DataFrame, key: str = "event_id", late: str = "10 minutes") -> DataFrame:
-    """Events without those delivered again within the watermark."""
-    timed = events.withColumn("at", F.col("ts").cast("timestamp"))
-    return timed.withWatermark("at", late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else timed.dropDuplicates([key])
-
-
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """user_id, start, end, n of sessions that end after a gap."""
     timed = events.withColumn("at", F.col("ts").cast("timestamp"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from regolith.functions import identity, infer, parse, similarity, units
 from regolith.operators import align, browse, curate, graph, merge, ontology, quality, resolve, search, transforms, vectors
+from regolith.operators.table_log import TableLog
 from regolith.streaming import commit, windows
 
 
@@ -195,11 +196,12 @@ def test_streams(spark, sf, tmp_path):
 
 def test_incremental_commit(spark, tmp_path):
     schema = "sha256 string, version int, x string, provenance array<struct<source:string,name:string>>"
+    table = TableLog.create(spark, f"{tmp_path}/registry", spark.createDataFrame([], schema).schema)
     for i, rows in enumerate([[("h", 1, "a", [("s", "n")])], [("h", 2, "b", [("t", "n")]), ("k", 2, "c", [])]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/staged")
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/staged")
-        commit.commit_stream(stream, f"{tmp_path}/registry", f"{tmp_path}/checkpoint").awaitTermination(120)
-    got = {r.sha256: (r.x, [p.source for p in r.provenance]) for r in spark.read.parquet(f"{tmp_path}/registry/version=1").collect()}
+        commit.commit_stream(stream, table, f"{tmp_path}/checkpoint").awaitTermination(120)
+    got = {r.sha256: (r.x, [p.source for p in r.provenance]) for r in table.read(2).collect()}
     assert got == {"h": ("b", ["s", "t"]), "k": ("c", [])}
 
 
@@ -246,3 +248,32 @@ def test_queries_meet_entities_in_blocks(spark, monkeypatch):
     best = search.hybrid_each(hits, near, 2)
     assert sorted((r.query, r["rank"], r.sha256, r.score) for r in best.collect()) == [(10, 1, 1, 1.0), (10, 2, 3, 1.0), (11, 1, 1, 1.0), (15, 1, 1, 1.0), (15, 2, 2, 0.8), (16, 1, 1, 1.0)]
     assert search.lexical_each(entities, asked.limit(0)).count() == 0
+
+
+def test_one_result_for_any_order_of_rows(spark):
+    """Contradicting decisions, flags, moves and datasets: the same rows in two orders give one result."""
+
+    def both(rows, schema, of):
+        out = [sorted(map(str, of(spark.createDataFrame(r, schema).coalesce(1)).collect())) for r in (rows, rows[::-1])]
+        assert out[0] == out[1]
+        return out[0]
+
+    flags = spark.createDataFrame([(1, "pending")], "flag_id int, status string")
+    decisions = [(1, "rejected", "a", 2), (1, "approved", "b", 3), (1, "waived", "c", 1)]
+    schema = "flag_id int, status string, resolved_by string, at int"
+    (got,) = both(decisions, schema, lambda d: curate.resolve_flags(flags, d, F.lit("t")))
+    assert "status='approved'" in got
+    (got,) = both(decisions, schema, lambda d: curate.resolve_flags(flags, d, F.lit("t"), ("at",)))
+    assert "status='waived'" in got
+    rows = spark.createDataFrame([("x", "pending")], "id string, state string")
+    (got,) = both([("x", "rejected"), ("x", "approved")], "id string, to string", lambda d: curate.step(rows, d))
+    assert "state='approved'" in got
+    none = spark.createDataFrame([], "entity_ref string, flag_type string, reason string")
+    both([("e", "f", "z"), ("e", "f", None), ("e", "f", "y")], "entity_ref string, flag_type string, reason string", lambda d: curate.add_flags(none, d))
+    jobs = spark.createDataFrame([], "repository_url string")
+    (got,) = both([("u", "s2", "b"), ("u", "s1", "c")], "url string, source string, adapter string", lambda d: curate.queued_datasets(d, jobs, {}))
+    assert "adapter_type='c'" in got
+    stored = spark.createDataFrame([("k0", 1)], "k string, v int")
+    got = both([("k1", 5), ("k1", 3), ("k0", 7), (None, 2), (None, 1)], "k string, v int", lambda d: merge.insert_absent(stored, d, ["k"]))
+    assert got == sorted(["Row(k='k1', v=3)", "Row(k=None, v=1)"])
+    both([("r", 2), ("r", 1)], "run_id string, v int", lambda d: merge.imported({}, {"runs": d})["runs"])
