@@ -1,4 +1,4 @@
-"""RDF files as tables of triples: N-Triples, N-Quads and Turtle.
+"""RDF files as tables of triples: N-Triples, N-Quads and Turtle; RDF/XML is read by rdf_xml.
 
 Turtle is cut into statements by a machine over lines that knows three states: outside of long strings, and inside either
 kind of them. What a line does depends on the state before it, and what a stretch of a file does is the composition of what its lines do. So
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 TRIPLE = "file string, graph string, s string, p string, o string, kind string, datatype string, lang string"
 RDF, XSD = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2001/XMLSchema#"
-SUFFIXES = {".nt": "nt", ".nq": "nq", ".ttl": "ttl"}
+SUFFIXES = {".nt": "nt", ".nq": "nq", ".ttl": "ttl", ".rdf": "xml", ".owl": "xml", ".xml": "xml"}
 #: Stretches and prefixes that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 
@@ -40,6 +40,10 @@ def triples(spark: SparkSession, path: str, form: str | None = None) -> DataFram
         return _lines(spark, path)
     if form == "ttl":
         return _parsed(_statements(spark, path))
+    if form == "xml":
+        from . import rdf_xml
+
+        return rdf_xml.triples(spark, path)
     raise ValueError(f"no RDF format {form!r}; there are {', '.join(sorted(set(SUFFIXES.values())))}")
 
 
