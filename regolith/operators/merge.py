@@ -39,7 +39,10 @@ def upsert(stored: DataFrame, fresh: DataFrame, version: str = "version", merge:
     both = stored.unionByName(fresh, allowMissingColumns=True)
     hashed = both.filter("sha256 is not null and sha256 <> ''")
     others = [c for c in both.columns if c not in ("sha256", "provenance")]
-    newest = F.max(F.struct(F.col(version), *(F.col(c) for c in others if c != version), *([] if merge else ["provenance"]))).alias("new")
+    whole = F.struct(F.col(version), *(F.col(c) for c in others if c != version), *([] if merge else ["provenance"]))
+    # maps have no order; where there are some, rows of one version go by their JSON
+    orderable = not any("map<" in both.schema[c].dataType.simpleString() for c in both.columns)
+    newest = (F.max(whole) if orderable else F.max_by(whole, F.struct(F.col(version), F.to_json(whole)))).alias("new")
     latest = hashed.groupBy("sha256").agg(newest)
     if merge:
         united = merge_by_hash(hashed, version).select("sha256", "provenance")
