@@ -13,6 +13,9 @@ from regolith.operators import align, annotate, curate, merge, resolve, transfor
 from regolith.operators.graph import materialised
 from regolith.operators.vector_index import VectorIndex, encoded
 
+#: What readers call the entities that become elements.
+ELEMENT = "attribute"
+
 
 def staged(entities: DataFrame) -> DataFrame:
     """Extracted entities without repetitions of (type, source, class, name); the first by file stays."""
@@ -142,7 +145,7 @@ def run(
     encoder: vectors of texts, for annotation by an index of terms, alignment and transforms; without one names are compared.
     schemas: (schema_id, class, properties); by default one for each source and class of the elements. stored: flags that are there already.
     """
-    elements = enriched(staged(entities.filter("entity_type = 'element'")))
+    elements = enriched(staged(entities.filter(F.col("entity_type") == ELEMENT)))
     if index is not None and encoder is not None and terms is not None:
         elements = annotated(elements, index, terms, encoder)
     elements = materialised(elements, "elements")

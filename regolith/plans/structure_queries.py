@@ -143,7 +143,7 @@ def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     about = F.when(size % 2 == 0, F.concat(F.lit("told by http://purl.obolibrary.org/obo/PATO_"), F.lpad(size.cast("string"), 7, "0"))).otherwise("")
     kind = F.when(size % 3 == 0, "integer").when(size % 3 == 1, "string").otherwise("float")
     return entities(
-        table(spark, sf_dir, "part"), entity_type="element", source=F.concat(F.lit("s"), (F.col("p_partkey") % 5).cast("string")), name=F.col("p_type"), description=about, data_type=kind,
+        table(spark, sf_dir, "part"), entity_type=pipeline.ELEMENT, source=F.concat(F.lit("s"), (F.col("p_partkey") % 5).cast("string")), name=F.col("p_type"), description=about, data_type=kind,
         unit=F.when(size % 4 == 0, "kg"), file=F.lpad(F.col("p_partkey").cast("string"), 10, "0"), **{"class": F.col("p_brand")}, options=none,
     )
 
