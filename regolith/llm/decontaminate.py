@@ -105,8 +105,6 @@ def alignments(index: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def _indexed(docs: DataFrame, bench: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """items, index and counts of documents against a benchmark."""
-    if window > WINDOW:
-        raise ValueError(f"windows have at most {WINDOW} words")
     items = written(item_terms(bench, window), "items")
     index = build_index(docs, written(items.select("word").distinct().coalesce(1), "terms"))
     return items, index, posting_counts(index)

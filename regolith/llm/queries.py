@@ -15,45 +15,55 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of near duplicates: two-word shingles, similarity 0.8."""
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), size=2)
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and the probe, formatted by the template and read back."""
     formatted = chat_format.format_chats(chat_format.with_probe(_table(spark, sf_dir, "conversations")))
     return chat_format.digests(chat_format.parse_chats(formatted))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text's bytes and tokens, and whether it is over 1,024."""
     counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text's log probability by the unigram base and by the neural model."""
     return lm_scoring.score(_table(spark, sf_dir, "documents"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its record tells after the archives are written and read."""
     return warc.read_archive(warc.write_archive(_table(spark, sf_dir, "pages")))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its words inside benchmark windows of 13."""
     return decontaminate.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded with merge-dropout and decoded again."""
     return pieces.round_trips(_table(spark, sf_dir, "documents"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text's quality score by a model of the labelled rows outside the held-out fold."""
     docs = _table(spark, sf_dir, "documents")
     return quality.scores(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's rule, and the verdict of the rule or else of its host's trust and distrust."""
     return url_filters.filter_urls(_table(spark, sf_dir, "pages"))
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as an AVI of motion-JPEG, and the features of the bytes that were stored."""
     return media_avi.features(media_avi.to_media(_table(spark, sf_dir, "documents")))
 
 

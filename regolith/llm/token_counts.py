@@ -3,10 +3,11 @@ r"""Token counts of whole texts, map-side, through two tiers of pre-token length
 A text is cut into pre-tokens by the tokenizer's own pattern; the token count is the sum of the pre-tokens' lengths in
 tokens. Tier one is a compact hash table of frequent pre-tokens, broadcast: at most FREQUENT entries whatever the input
 (two NumPy columns: 64-bit hash, length). Tier two are worker caches of at most CACHE entries: a pre-token that the
-first tier lacks is encoded once by the tokenizer and kept. No pre-token is shuffled; the plan is a scan and a map.
+first tier lacks is encoded once by the tokenizer and kept. No pre-token of the table is shuffled; counting is a scan and a map.
 
-The frequent pre-tokens come from about SAMPLE whole texts, drawn from all partitions and counted where they lie; a task
-hands on its MOST most frequent ones. They decide how fast a count is found and never its value, so these bounds change no result. The tables compare 64-bit hashes of pre-tokens that were built on the
+The frequent pre-tokens come from about SAMPLE whole texts, drawn from all partitions by a scan before and counted where they lie; a task
+hands on its MOST most frequent ones, and only these short lists of the sample are summed up by pre-token, in one small
+shuffle. They decide how fast a count is found and never its value, so these bounds change no result. The tables compare 64-bit hashes of pre-tokens that were built on the
 driver; a pre-token that meets another's hash there is left out of the table.
 
 Cases: a null text counts as empty, with 0 tokens; special strings inside a text count as the tokenizer's default has

@@ -348,7 +348,7 @@ def test_proximity(spark):
         assert got == Counter((i, len((t or "").split()), near(t, most)) for i, t in docs)
 
 
-@pytest.mark.parametrize("window", [1, 2, 5, 12])
+@pytest.mark.parametrize("window", [1, 2, 5, 12, 20])
 def test_decontamination_with_any_window(spark, window):
     rng = random.Random(window)
     bench = [(i, " ".join(rng.choice("a b c d e f".split()) for _ in range(rng.choice([2, 7, 20])))) for i in range(5)]
