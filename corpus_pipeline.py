@@ -4,7 +4,9 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Pa
 All but the last return the columns of documents; the last returns doc_id, n_pieces and ids.
 
 Rows that repeat stay until near-dedup, which leaves one row of an id. Null and empty texts are scored like others, are
-linked with nothing, have no hits, and are encoded to no pieces.
+linked with nothing, have no hits, and are encoded to no pieces. Very long texts go through every stage whole. Of equal rows, and of
+the members of a group that are alike, the one of the smallest doc_id stays. An empty table goes through as an empty table. Further columns, whatever their
+names, are kept by all stages but the last.
 """
 
 from __future__ import annotations
