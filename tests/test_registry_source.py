@@ -12,9 +12,7 @@ def folder(spark, tmp_path):
     rows = spark.range(60).select(F.col("id").cast("string").alias("n"), F.when(F.col("id") % 2 == 0, "element").otherwise("schema").alias("k"), F.concat(F.lit("s/"), (F.col("id") % 3).cast("string")).alias("s"))
     stores.write(entities(rows, entity_type=F.col("k"), source=F.col("s"), name=F.col("n"), options=F.array(F.col("n")), min_value=F.col("n").cast("double")), f"file://{tmp_path}/store")
     registry_source.register(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    yield f"file://{tmp_path}/store"
-    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    return f"file://{tmp_path}/store"
 
 
 def rows(df):
