@@ -52,9 +52,10 @@ MOST = _I + r"\b(?:max(?:imum)?|at\s+most|<=?|capped\s+at)\s*(\d+(?:\.\d+)?)"
 
 
 def first_match(text: Column, table: list[tuple[str, str]]) -> Column:
-    """The value of the first pattern that is found, else null."""
+    """The value of the first pattern that is found, else null. One pass over all of them tells the texts that none is found in."""
     head, *rest = table
-    return reduce(lambda c, p: c.when(text.rlike(p[0]), p[1]), rest, F.when(text.rlike(head[0]), head[1]))
+    ordered = reduce(lambda c, p: c.when(text.rlike(p[0]), p[1]), rest, F.when(text.rlike(head[0]), head[1]))
+    return F.when(text.rlike("|".join(f"(?:{p})" for p, _ in table)), ordered)
 
 
 def unit(description: Column, name: Column | None = None, corrected: bool = False) -> Column:

@@ -98,6 +98,20 @@ def page_of(kind: str, rows: DataFrame, sort: str, first: int, cursor: tuple | N
     return page(rows, sort, "sha256", first, cursor, descending)
 
 
+def newest(rows: DataFrame, at: str, key: str, first: int = 50, equal: dict[str, object] | None = None, prefix: dict[str, str] | None = None) -> DataFrame:
+    """The newest rows whose columns equal some values and begin with others; values of None ask for nothing. Ties by key.
+
+    Ingestion jobs by status, proposals by type, reference and status, ontologies by whether they are active.
+    """
+    for column, wanted in (equal or {}).items():
+        if wanted is not None:
+            rows = rows.filter(F.col(column) == wanted)
+    for column, wanted in (prefix or {}).items():
+        if wanted is not None:
+            rows = rows.filter(F.startswith(F.col(column), F.lit(wanted)))
+    return rows.orderBy(F.desc_nulls_last(at), key).limit(first)
+
+
 def total(rows: DataFrame) -> DataFrame:
     """(total) of filtered rows, beside a page of them."""
     return rows.agg(F.count("*").alias("total"))

@@ -24,7 +24,7 @@ def count_checks(rows: DataFrame, spec: DataFrame) -> DataFrame:
     """(category, n, state) against spec (category, least, most): ok, few, many."""
     n = rows.groupBy("category").agg(F.count("*").alias("n"))
     both = spec.join(n, "category", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return both.select("category", "n", F.when(F.col("n") < F.col("least"), "few").when(F.col("n") > F.col("most"), "many").otherwise("ok").alias("state"))
+    return both.select("category", "n", F.when(F.col("n") < F.col("least"), "few").when(F.col("n") > F.col("most"), "many").otherwise("ok").alias("state"))  # no upper bound is null
 
 
 def type_checks(rows: DataFrame, expected: DataFrame) -> DataFrame:
@@ -41,9 +41,46 @@ def required_fields(rows: DataFrame, fields: dict[str, list[str]], key: str = "i
     return rows.select(key, F.explode(F.filter(F.array(*lacks), lambda f: f.isNotNull())).alias("field"))
 
 
-def extraction_score(checks: DataFrame) -> DataFrame:
-    """(score): the share of checks (state) that are right; 1 without any."""
-    return checks.agg(F.coalesce(F.avg((F.col("state") == "right").cast("double")), F.lit(1.0)).alias("score"))
+ISSUE = "issue string, entity_type string, class string, name string, expected string, found string"
+#: Which column says what a spec calls a field.
+FIELDS = {"label": "name"}
+
+
+def extraction_issues(rows: DataFrame, spec: dict) -> DataFrame:
+    """ISSUE rows of extracted entities (entity_type, class, name, and the fields that the spec requires) against a spec; none if all is as expected.
+
+    spec: expected_types {type: {"min", "max"}}, category_rules {class: type}, known_entities [{"name", "class", "type"}], required_fields {type: [field]}; any may be absent.
+    Issues: missing (too few of a type, or a known entity), unexpected (too many), classification (of another type than its category or
+    name asks for), field (a required one is empty).
+    """
+    spark, out = rows.sparkSession, []
+    named = rows.withColumn("class", F.coalesce("class", F.lit("")))
+
+    def told(df, issue, **columns):
+        names = ("entity_type", "class", "name", "expected", "found")
+        return df.select(F.lit(issue).alias("issue"), *(columns.get(n, F.lit(None)).cast("string").alias(n) for n in names))
+
+    if types := spec.get("expected_types"):
+        bounds = spark.createDataFrame([(k, v.get("min", 0), v.get("max")) for k, v in types.items()], "category string, least long, most long")
+        counted = count_checks(named.withColumnRenamed("entity_type", "category"), bounds).join(bounds, "category")
+        out.append(told(counted.filter("state = 'few'"), "missing", entity_type=F.col("category"), expected=F.col("least"), found=F.col("n")))
+        out.append(told(counted.filter("state = 'many'"), "unexpected", entity_type=F.col("category"), expected=F.col("most"), found=F.col("n")))
+    if rules := spec.get("category_rules"):
+        wanted = F.try_element_at(F.create_map(*(F.lit(x) for kv in rules.items() for x in kv)), F.col("class"))
+        out.append(told(named.withColumn("wanted", wanted).filter("wanted <> entity_type"), "classification", entity_type=F.col("entity_type"), **{"class": F.col("class")}, name=F.col("name"), expected=F.col("wanted"), found=F.col("entity_type")))
+    if known := spec.get("known_entities"):
+        asked = F.broadcast(spark.createDataFrame([(k.get("class", ""), k["name"], k.get("type")) for k in known], "class string, name string, wanted string"))  # a spec is a short list
+        there = named.join(asked, ["class", "name"])
+        out.append(told(asked.join(there.select("class", "name").distinct(), ["class", "name"], "left_anti"), "missing", entity_type=F.col("wanted"), **{"class": F.col("class")}, name=F.col("name"), expected=F.coalesce("wanted", F.lit("any"))))
+        out.append(told(there.filter("wanted <> entity_type"), "classification", entity_type=F.col("entity_type"), **{"class": F.col("class")}, name=F.col("name"), expected=F.col("wanted"), found=F.col("entity_type")))
+    if fields := spec.get("required_fields"):
+        lacks = [F.when((F.col("entity_type") == t) & (F.coalesce(F.col(FIELDS.get(f, f)).cast("string"), F.lit("")) == ""), f) for t, fs in fields.items() for f in fs]
+        each = named.withColumn("field", F.explode(F.filter(F.array(*lacks), lambda f: f.isNotNull())))
+        out.append(told(each, "field", entity_type=F.col("entity_type"), **{"class": F.col("class")}, name=F.col("name"), expected=F.col("field")))
+    found = spark.createDataFrame([], ISSUE)
+    for part in out:
+        found = found.unionByName(part)
+    return found
 
 
 def batch_counts(items: DataFrame) -> DataFrame:

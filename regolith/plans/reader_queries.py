@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regolith.operators import browse, quality
 from regolith.sources import dictionaries, linkml, ontologies, registry_source, stores
 from regolith.sources.catalog import Catalog
 from regolith.sources.documents import entities
@@ -119,3 +120,34 @@ def catalog_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     flagged = catalog.flags.read("pending", "brass").select(F.col("entity_ref").alias("sha256"), F.lit(True).alias("_flagged"))
     both = catalog.entities.list("elements").join(flagged, "sha256", "left")
     return both.select(name.alias("name"), F.size("provenance").alias("n_provenance"), F.coalesce("_flagged", F.lit(False)).alias("flagged"))
+
+
+@query("""
+WITH e AS (SELECT CASE WHEN p_size % 10 = 0 THEN 'enum_value' WHEN p_size % 3 = 0 THEN 'class' ELSE 'attribute' END AS t, p_brand AS class, p_type AS name, CASE WHEN p_size % 7 > 0 THEN 'string' END AS data_type FROM part),
+     n AS (SELECT t, count(*) AS n FROM e GROUP BY t),
+     k(class, name, wanted) AS (VALUES ('Brand#11', 'nothing of the kind', 'class'), ('Brand#11', 'ECONOMY BRASS', 'attribute'), ('Brand#23', 'STANDARD TIN', NULL))
+SELECT 'missing' AS issue, 'valueset' AS entity_type, NULL AS class, NULL AS name, '3' AS expected, '0' AS found
+UNION ALL SELECT 'unexpected', t, NULL, NULL, '5', n::VARCHAR FROM n WHERE t = 'class' AND n > 5
+UNION ALL SELECT 'classification', t, class, name, 'attribute', t FROM e WHERE class = 'Brand#12' AND t <> 'attribute'
+UNION ALL SELECT 'missing', wanted, class, name, coalesce(wanted, 'any'), NULL FROM k WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.class = k.class AND e.name = k.name)
+UNION ALL SELECT 'classification', t, class, name, wanted, t FROM e JOIN k USING (class, name) WHERE wanted <> t
+UNION ALL SELECT 'field', t, class, name, 'data_type', NULL FROM e WHERE t = 'attribute' AND data_type IS NULL
+""")
+def extraction_against_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, categories, known entities and required fields of parts as extracted entities."""
+    size = F.col("p_size")
+    rows = entities(
+        table(spark, sf_dir, "part"), entity_type=F.when(size % 10 == 0, "enum_value").when(size % 3 == 0, "class").otherwise("attribute"), **{"class": F.col("p_brand")}, name=F.col("p_type"), data_type=F.when(size % 7 > 0, "string"),
+    )
+    known = [{"class": "Brand#11", "name": "nothing of the kind", "type": "class"}, {"class": "Brand#11", "name": "ECONOMY BRASS", "type": "attribute"}, {"class": "Brand#23", "name": "STANDARD TIN"}]
+    spec = {"expected_types": {"valueset": {"min": 3}, "class": {"min": 1, "max": 5}, "attribute": {"min": 0}}, "category_rules": {"Brand#12": "attribute"}, "known_entities": known, "required_fields": {"attribute": ["data_type"]}}
+    return quality.extraction_issues(rows, spec)
+
+
+@query("""
+SELECT o_orderkey, o_orderstatus FROM (SELECT * FROM orders WHERE o_orderstatus = 'F' AND starts_with(o_orderpriority, '1')) ORDER BY o_orderdate DESC, o_orderkey LIMIT 50
+""")
+def newest_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as jobs: the newest of a status whose priority begins so."""
+    rows = table(spark, sf_dir, "orders")
+    return browse.newest(rows, "o_orderdate", "o_orderkey", equal={"o_orderstatus": "F", "o_custkey": None}, prefix={"o_orderpriority": "1"}).select("o_orderkey", "o_orderstatus")

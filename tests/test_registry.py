@@ -277,3 +277,18 @@ def test_one_result_for_any_order_of_rows(spark):
     got = both([("k1", 5), ("k1", 3), ("k0", 7), (None, 2), (None, 1)], "k string, v int", lambda d: merge.insert_absent(stored, d, ["k"]))
     assert got == sorted(["Row(k='k1', v=3)", "Row(k=None, v=1)"])
     both([("r", 2), ("r", 1)], "run_id string, v int", lambda d: merge.imported({}, {"runs": d})["runs"])
+
+
+def test_specs_of_known_sources(spark):
+    from regolith.sources import extraction_specs
+    from regolith.sources.documents import entities
+
+    rows = entities(spark.createDataFrame([("columns", "age", "attribute", "integer"), ("enums", "CASL", "attribute", None)], "c string, n string, t string, d string"), entity_type=F.col("t"), **{"class": F.col("c")}, name=F.col("n"), data_type=F.col("d"))
+    got = quality.extraction_issues(rows, extraction_specs.spec_of("bids")).collect()
+    assert [(r["name"], r.expected) for r in got if r.issue == "classification"] == [("CASL", "enum_value")] * 2  # by category and by name
+    assert [(r["name"], r.expected) for r in got if r.issue == "field"] == [("CASL", "data_type")]
+    assert {r["name"] for r in got if r.issue == "missing" and r["name"]} == {"sex", "RepetitionTime", "TaskName", "left_hemisphere", "T1w", "bold", "anat"}
+    assert {r.entity_type for r in got if r.issue == "missing" and not r["name"]} == {"attribute", "enum_value", "valueset", "class"}
+    for source in ("dandi", "nwb", "openminds", "aind"):
+        assert quality.extraction_issues(rows, extraction_specs.spec_of(source)).count() > 3
+    assert quality.extraction_issues(rows, {}).collect() == []
