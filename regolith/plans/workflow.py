@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from regolith.operators import quality
 from regolith.sources import registry as readers
+from regolith.sources.documents import fingerprint
 
 from . import pipeline
 
@@ -101,14 +102,6 @@ class Workflow:
         return out
 
 
-def fingerprint(spark: SparkSession, path: str) -> str:
-    """A hash of the names and contents of the files at path, computed where they lie."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.sha2(F.concat_ws("/", F.substring_index("path", "/", -1), F.sha2("content", 256)), 256).alias("h"))
-    parts = F.conv(F.substring("h", 1, 12), 16, 10).cast("decimal(38,0)")
-    got = files.agg(F.count("*"), F.sum(parts)).first()
-    return f"{got[0]}-{got[1]}"
-
-
 def extract(spark: SparkSession, inputs: list[DataFrame], params: dict) -> DataFrame:
     """Entities of the files at `path` by a `reader` (told by the file, if none is named), as those of `source`."""
     reader = params.get("reader") or readers.detect(params["path"])
