@@ -36,9 +36,9 @@ from .common import in_batches
 
 RATE, SEED = 0.1, 1
 #: Chunks of more letters are encoded one by one; of others STEP at a time. Texts are encoded in groups of GROUP characters.
-LONG, STEP, GROUP = 40, 1 << 15, 1 << 20
+LONG, STEP, GROUP = 40, 1 << 14, 1 << 19
 #: Occurrences that are held against their chunks' candidates at a time.
-CHECKED = 1 << 17
+CHECKED = 1 << 16
 NEVER = np.float32(np.inf)
 BLANK = "▁"
 _M = (1 << 64) - 1
@@ -380,6 +380,7 @@ def encode_documents(docs: DataFrame, rate: float = RATE, seed: int = SEED, path
             schema = pa.schema([("doc_id", b.column(0).type), ("n_pieces", pa.int64()), ("ids", pa.list_(pa.int32()))])
             rows = ((i, len(ids), ids) for i, _, ids in _encoded(encoder, b))
             yield from in_batches(rows, schema, lambda r: 32 + 4 * r[1])
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task with what it needs only
 
     return docs.select(docs["doc_id"], docs["text"]).mapInArrow(run, f"doc_id {kind}, n_pieces bigint, ids array<int>")
 
