@@ -43,15 +43,15 @@ def assigned(ranked: DataFrame, terms: DataFrame, ancestors: DataFrame | None =
         F.col("label").alias("target_term_label"), F.substring("definition", 1, 500).alias("target_term_definition"), reason.alias("reasoning"),
     )
     own = annotation(F.col("item"), F.coalesce("label", F.lit("")), F.col("relation"), "concept_match", score, model, F.col("position") == 1)
-    rows = named.select("query", F.col("position").alias("at"), own.alias("a"), evidence.alias("e"))
+    rows = named.select("query", F.lit(False).alias("broad"), F.col("position").alias("at"), own.alias("a"), evidence.alias("e"))
     if ancestors is not None:
         first = ranked.filter("position = 1").select("query", F.col("item").alias("node"))
         up = first.join(ancestors, "node").join(terms.select(F.col("uri").alias("ancestor"), "label"), "ancestor").filter("label <> ''")
         near = up.groupBy("query").agg(F.slice(F.array_sort(F.collect_set(F.struct("depth", "ancestor", "label"))), 1, BROADER).alias("near"))
-        each = near.select("query", F.posexplode("near").alias("at", "b")).withColumn("at", F.col("at") + 1_000)
+        each = near.select("query", F.posexplode("near").alias("at", "b"))
         wide = annotation(F.col("b.ancestor"), F.col("b.label"), F.lit("skos:broadMatch"), "concept_match", F.lit(0.0), "hierarchy", F.lit(False))
-        rows = rows.unionByName(each.select("query", "at", wide.alias("a")), allowMissingColumns=True)
-    got = rows.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("at", "a", "e"))).alias("rows"))
+        rows = rows.unionByName(each.select("query", F.lit(True).alias("broad"), "at", wide.alias("a")), allowMissingColumns=True)
+    got = rows.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("broad", "at", "a", "e"))).alias("rows"))  # broader terms after all matches, however many
     return got.select("query", F.transform("rows", lambda r: r["a"]).alias("annotations"), F.filter(F.transform("rows", lambda r: r["e"]), lambda e: e.isNotNull()).alias("evidence"))
 
 
