@@ -8,6 +8,7 @@ not. What cannot be read is null, and so is a factor between units of different
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ PLAIN = {
 OFFSET = {"degC": ("celsius", 1.0, 273.15), "°C": ("", 1.0, 273.15), "degF": ("fahrenheit", 5 / 9, 273.15 - 32 * 5 / 9), "°F": ("", 5 / 9, 273.15 - 32 * 5 / 9)}
 
 PARSED = "struct<scale:double,offset:double,dims:array<int>>"
+#: A unit of the tables: its scale is m times 10^e, whole numbers wherever they fit, so that products and quotients of scales are rounded once.
+_UNIT = "struct<m:double,e:int,offset:double,dims:array<int>>"
 _TOKEN = r"[()/.*·]|\^?[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|[^()/.*·\s^0-9+-]+|\S"
 
 
@@ -50,7 +53,10 @@ def _map(entries: dict[str, str], kind: str) -> Column:
 
 
 def _written(scale: float, dims: dict[str, int], offset: float = 0.0) -> str:
-    return f"named_struct('scale', {scale!r}D, 'offset', {offset!r}D, 'dims', array({', '.join(str(dims.get(b, 0)) for b in BASES)}))"
+    told = Decimal(repr(scale)).normalize().as_tuple()
+    whole = int("".join(map(str, told.digits)))
+    m, e = (float(whole), told.exponent) if whole < 1 << 53 else (scale, 0)
+    return f"named_struct('m', {m!r}D, 'e', {e}, 'offset', {offset!r}D, 'dims', array({', '.join(str(dims.get(b, 0)) for b in BASES)}))"
 
 
 def _symbols(units: dict) -> dict[str, str]:
@@ -64,13 +70,13 @@ def _names(units: dict) -> dict[str, str]:
 def _looked_up(tokens: Column) -> Column:
     """Array of (t, unit): a unit of its own goes before one with a prefix (min, cd, Pa, ft)."""
     degrees = {n: _written(scale, {"K": 1}, offset) for symbol, (name, scale, offset) in OFFSET.items() for n in (symbol, name) if n}
-    own, names = _map(_symbols({**PLAIN, **PREFIXED}) | degrees, PARSED), _map(_names({**PLAIN, **PREFIXED}) | degrees | {"inches": _written(0.0254, {"m": 1})}, PARSED)
-    after, named_after = _map(_symbols(PREFIXED), PARSED), _map(_names(PREFIXED), PARSED)
-    powers, named_powers = (_map({k: f"{10.0**v!r}D" for k, v in t.items()}, "double") for t in (PREFIXES, NAMED_PREFIXES))
+    own, names = _map(_symbols({**PLAIN, **PREFIXED}) | degrees, _UNIT), _map(_names({**PLAIN, **PREFIXED}) | degrees | {"inches": _written(0.0254, {"m": 1})}, _UNIT)
+    after, named_after = _map(_symbols(PREFIXED), _UNIT), _map(_names(PREFIXED), _UNIT)
+    powers, named_powers = (_map({k: f"{v}" for k, v in t.items()}, "int") for t in (PREFIXES, NAMED_PREFIXES))
     pattern = f"^({'|'.join(NAMED_PREFIXES)})(.+)$"
 
     def scaled(power, unit):
-        return F.when(power.isNotNull() & unit.isNotNull(), F.struct((power * unit["scale"]).alias("scale"), unit["offset"].alias("offset"), unit["dims"].alias("dims")).cast(PARSED))
+        return F.when(power.isNotNull() & unit.isNotNull(), F.struct(unit["m"].alias("m"), (power + unit["e"]).alias("e"), unit["offset"].alias("offset"), unit["dims"].alias("dims")).cast(_UNIT))
 
     def cut(t):
         low = F.lower(t)
@@ -79,7 +85,7 @@ def _looked_up(tokens: Column) -> Column:
             F.try_element_at(after, F.regexp_extract(t, "^da(.+)$", 1)).alias("tens"), F.try_element_at(named_powers, F.regexp_extract(low, pattern, 1)).alias("q"), F.try_element_at(named_after, F.regexp_extract(low, pattern, 2)).alias("v"),
         )
 
-    return F.transform(F.transform(tokens, cut), lambda c: F.struct(c["t"].alias("t"), F.coalesce(c["own"], scaled(c["p"], c["u"]), scaled(F.lit(10.0), c["tens"]), scaled(c["q"], c["v"])).alias("unit")))
+    return F.transform(F.transform(tokens, cut), lambda c: F.struct(c["t"].alias("t"), F.coalesce(c["own"], scaled(c["p"], c["u"]), scaled(F.lit(1), c["tens"]), scaled(c["q"], c["v"])).alias("unit")))
 
 
 def parsed(unit: Column) -> Column:
@@ -88,14 +94,15 @@ def parsed(unit: Column) -> Column:
     plain = F.translate(F.regexp_replace(tight, r"\s+", "."), "²³¹", "231")  # what stands apart is a factor of its own
     tokens = F.regexp_extract_all(plain, F.lit(_TOKEN), F.lit(0))
     nothing = F.struct(
-        F.lit(1.0).alias("scale"), F.lit(0.0).alias("offset"), F.array(*(F.lit(0) for _ in BASES)).alias("dims"), F.lit(1).alias("sign"), F.array(F.lit(1)).alias("stack"),
-        F.lit(None).cast(PARSED).alias("last"), F.lit(0).alias("last_sign"), F.lit("start").alias("before"), F.lit(True).alias("fine"), F.lit(0).alias("n"),
+        F.lit(1.0).alias("over"), F.lit(1.0).alias("under"), F.lit(0).alias("e"), F.lit(0.0).alias("offset"), F.array(*(F.lit(0) for _ in BASES)).alias("dims"), F.lit(1).alias("sign"), F.array(F.lit(1)).alias("stack"),
+        F.lit(None).cast(_UNIT).alias("last"), F.lit(0).alias("last_sign"), F.lit("start").alias("before"), F.lit(True).alias("fine"), F.lit(0).alias("n"),
     )
 
     def end(s):
         whole = s["fine"] & (F.size(s["stack"]) == 1) & ~s["before"].isin("operator", "start")
         # an offset has a meaning only where the unit stands by itself
-        return F.when(whole, F.struct(s["scale"].alias("scale"), F.when(s["n"] == 1, s["offset"]).otherwise(0.0).alias("offset"), s["dims"].alias("dims")))
+        scale = F.when(s["e"] < 0, s["over"] / (s["under"] * F.pow(F.lit(10.0), -s["e"]))).otherwise(s["over"] * F.pow(F.lit(10.0), s["e"]) / s["under"])
+        return F.when(whole, F.struct(scale.alias("scale"), F.when(s["n"] == 1, s["offset"]).otherwise(0.0).alias("offset"), s["dims"].alias("dims")))
 
     return F.aggregate(_looked_up(tokens), nothing, _step, end)
 
@@ -115,7 +122,11 @@ def _step(s: Column, read: Column) -> Column:
     more = F.when(power, s["last_sign"] * (exponent - 1)).when(unit, sign)
     of = F.when(power, s["last"]).when(unit, found)
     value = F.when(number & ~power, F.regexp_replace(token, r"^\^", "").try_cast("double"))
-    scale = F.when(more.isNotNull() & of.isNotNull(), s["scale"] * F.pow(of["scale"], more)).when(value.isNotNull(), s["scale"] * F.pow(value, sign)).otherwise(s["scale"])
+    # whole mantissas gather over and under a fraction, powers of ten beside it; it is divided once, at the end
+    factor, times = F.when(more.isNotNull() & of.isNotNull(), of["m"]).when(value.isNotNull(), value), F.coalesce(F.when(of.isNotNull(), more), F.when(value.isNotNull(), sign))
+    over = F.when(factor.isNotNull() & (times > 0), s["over"] * F.pow(factor, times)).otherwise(s["over"])
+    under = F.when(factor.isNotNull() & (times < 0), s["under"] * F.pow(factor, -times)).otherwise(s["under"])
+    e = F.when(more.isNotNull() & of.isNotNull(), s["e"] + of["e"] * more).otherwise(s["e"])
     dims = F.when(more.isNotNull() & of.isNotNull(), F.zip_with(s["dims"], of["dims"], lambda a, b: (a + b * more).cast("int"))).otherwise(s["dims"])
     stack = F.when(opens, F.concat(s["stack"], F.array(sign))).when(closes, F.slice(s["stack"], F.lit(1), F.greatest(F.size(s["stack"]) - 1, F.lit(1)))).otherwise(s["stack"])
     fine = (
@@ -127,7 +138,7 @@ def _step(s: Column, read: Column) -> Column:
     # after "/" the sign is turned; after an opening bracket it is that of the bracket
     after = F.when(operator & (token == "/"), -outer).when(opens, sign).otherwise(F.when(closes, F.element_at(stack, -1)).otherwise(outer))
     return F.struct(
-        F.coalesce(scale, F.lit(1.0)).alias("scale"), F.when(unit & found.isNotNull(), found["offset"]).otherwise(s["offset"]).alias("offset"), dims.alias("dims"), after.cast("int").alias("sign"), stack.alias("stack"),
+        F.coalesce(over, F.lit(1.0)).alias("over"), F.coalesce(under, F.lit(1.0)).alias("under"), e.cast("int").alias("e"), F.when(unit & found.isNotNull(), found["offset"]).otherwise(s["offset"]).alias("offset"), dims.alias("dims"), after.cast("int").alias("sign"), stack.alias("stack"),
         F.when(unit, found).alias("last"), F.when(unit, sign).otherwise(F.lit(0)).alias("last_sign"), kind.alias("before"), F.coalesce(fine, F.lit(False)).alias("fine"), (s["n"] + 1).alias("n"),
     )
 

@@ -95,11 +95,12 @@ SELECT l_orderkey, l_linenumber, round(x.scale / y.scale, 12) AS factor, round(v
 FROM p JOIN u x ON x.i = a JOIN u y ON y.i = b AND x.dims = y.dims
 """)
 def unit_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantities in one compound unit turned into another, where dimensions agree; each distinct pair of units is read once."""
+    """Quantities in one compound unit turned into another, where dimensions agree; each distinct unit is read once."""
     names = F.array(*(F.lit(u) for u in _UNIT_SQL))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.get(names, ((F.col("l_partkey") + F.col("l_linenumber")) % 10).cast("int")).alias("a"), F.get(names, (F.col("l_suppkey") % 10).cast("int")).alias("b"))
-    pairs = lines.select("a", "b").distinct().select("a", "b", unit_algebra.parsed(F.col("a")).alias("pa"), unit_algebra.parsed(F.col("b")).alias("pb"))
-    known = pairs.filter(unit_algebra.compatible(F.col("pa"), F.col("pb")))
+    each = lines.select(F.explode(F.array("a", "b")).alias("u")).distinct()
+    read = materialised(each.select("u", unit_algebra.parsed(F.col("u")).alias("p")), "units")  # written, or Spark reads the units of every line again to filter by them
+    known = read.select(F.col("u").alias("a"), F.col("p").alias("pa")).join(read.select(F.col("u").alias("b"), F.col("p").alias("pb")), unit_algebra.compatible(F.col("pa"), F.col("pb")))
     return lines.join(known, ["a", "b"]).select("l_orderkey", "l_linenumber", F.round(unit_algebra.factor(F.col("pa"), F.col("pb")), 12).alias("factor"), F.round(unit_algebra.converted(F.col("l_quantity"), F.col("pa"), F.col("pb")), 6).alias("value"))
 
 

@@ -48,3 +48,10 @@ def test_every_prefixed_unit_is_its_power_of_ten(spark):
     rows = spark.createDataFrame([(u,) for u in want if u not in clash], "u string").select("u", ua.parsed(F.col("u")).alias("p")).collect()
     for r in rows:
         assert r.p is not None and r.p.scale == pytest.approx(want[r.u][0], rel=1e-12) and r.p.dims == [want[r.u][1].get(b, 0) for b in ua.BASES], r.u
+
+
+def test_scales_are_rounded_once(spark):
+    """Quotients of decimal units are the doubles nearest to them, not those of a product of powers."""
+    want = {"ug/L": 1e-6, "g/mL": 1e3, "cm-1": 100.0, "km/h": 1 / 3.6, "mg/dL": 1e-2, "pg/nL": 1e-3, "ft": 0.3048, "s/min": 1 / 60}
+    got = {r.u: r.p.scale for r in spark.createDataFrame([(u,) for u in want], "u string").select("u", ua.parsed(F.col("u")).alias("p")).collect()}
+    assert got == want
