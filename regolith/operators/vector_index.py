@@ -90,12 +90,13 @@ class VectorIndex:
         cells = len(self.centroids)
         probes = cells if probes is None else min(probes, cells)
         kind = queries.schema["query"].dataType
+        if probes == cells:
+            return nearest(queries, self.rows(), k)  # all rows are met, and queries go to parts of them instead of to every cell
         told = queries.filter(F.col("vector").isNotNull()).select("query", F.col("vector").cast("array<double>").alias("vector"))
         asked = _near_cells(told, "query", self.centroids, probes, kind)
         rows = self.rows()
-        if probes < cells:
-            wanted = [r.cell for r in asked.select("cell").distinct().collect()]  # at most all cells, which are bounded; scans skip the others
-            rows = rows.filter(F.col("cell").isin(wanted))
+        wanted = [r.cell for r in asked.select("cell").distinct().collect()]  # at most all cells, which are bounded; scans skip the others
+        rows = rows.filter(F.col("cell").isin(wanted))
         parts = {r.cell: -(-r.n // PART) for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
         if not parts:
             return _best(asked.limit(0).withColumn("part", F.lit(0)), rows.limit(0).withColumn("part", F.lit(0)), k)
