@@ -45,6 +45,22 @@ def lexical_each(entities: DataFrame, asked: DataFrame) -> DataFrame:
     return found
 
 
+def lexical_first(entities: DataFrame, asked: DataFrame, semantic_hits: DataFrame, first: int, near: int) -> DataFrame:
+    """The hits of lexical_each() that decide the first of hybrid_each(), where a query has at most `near` semantic hits.
+
+    Each phrase is looked for once, however many queries have it. Of its hits the best first + near are enough: at most `near` of them are
+    semantic hits too, whose order may differ, and first of the others stay. All hits that are semantic ones too are looked up by their hashes.
+    """
+    told = asked.filter("phrase <> ''").select("query", F.lower("phrase").alias("phrase"))
+    hits = lexical_each(entities, told.select(F.col("phrase").alias("query"), "phrase").distinct()).withColumnRenamed("query", "phrase")
+    order = Window.partitionBy("phrase").orderBy(F.desc("score"), F.lower("name"), "sha256")
+    best = hits.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= first + near).drop("_at")
+    low = entities.select("sha256", "kind", "name", F.lower("text").alias("text"), _base().alias("score"))
+    both = semantic_hits.select("query", "sha256").join(told, "query").join(low, "sha256").filter(F.contains("text", "phrase"))
+    columns = ("query", "sha256", "kind", "name", "score")
+    return told.join(best, "phrase").select(*columns).unionByName(both.select(*columns))
+
+
 def hybrid_each(lexical_hits: DataFrame, semantic_hits: DataFrame, first: int) -> DataFrame:
     """(query, sha256, name, score, rank): for each query its first entities of both kinds of hits, ordered as hybrid() orders them.
 
