@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regolith.functions import english
-from regolith.operators import search
+from regolith.operators import lexical_index, search
 from regolith.operators.lexical_index import LexicalIndex
 
 TEXTS = {"a": "Heart rates at rest", "b": "The heart rate while running", "c": "Running shoes, size in cm", "d": "", "e": None, "f": "rest rest rest"}
@@ -82,3 +82,20 @@ def test_over_documents(spark, sf, tmp_path):
     tokens = [set(r.t[0]) for r in spark.createDataFrame(list(enumerate(phrases)), "i int, p string").orderBy("i").select(F.array(english.tokens(F.col("p"))).alias("t")).collect()]
     want = [{r.id for r in rows if t and t <= set(r.t)} for t in tokens]
     assert found(spark, index, *phrases) == want
+
+
+def test_rows_shuffled_do_not_grow_with_the_queries(spark, tmp_path, monkeypatch):
+    """Pairs of query and row are found where rows lie; in blocks of queries and without broadcasts the same ones."""
+    words = ["ash", "birch", "cedar", "elm", "fir", "oak", "pine"]
+    texts = {f"t{i}": " ".join(w for k, w in enumerate(words) if i >> k & 1) for i in range(128)} | {None: "ash oak"}
+    index = LexicalIndex.build(frame(spark, texts).unionByName(frame(spark, {"t1": "oak and ash"})), f"file://{tmp_path}/index", "words")
+    phrases = [" ".join(w for k, w in enumerate(words) if j >> k & 1) for j in range(128)] + ["ash", "ash ash", "ash yew", "yew"]
+    have = {k: set((v + " oak and ash" * (k == "t1")).split()) for k, v in texts.items() if k}
+    want = [{k for k, h in have.items() if p and set(p.split()) <= h} for p in phrases]
+    assert found(spark, index, *phrases) == want
+    asked = spark.createDataFrame(list(enumerate(phrases)), "query int, phrase string")
+    plan = index.search(asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate [" in line and "query#" in line]
+    monkeypatch.setattr(lexical_index, "BLOCK", 100)
+    monkeypatch.setattr(lexical_index, "BROADCAST_ROWS", 0)
+    assert found(spark, index, *phrases) == want
