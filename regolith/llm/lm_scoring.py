@@ -10,9 +10,11 @@ words of classes, q is rounded to the nearest of STATES centres; a word scores v
 sums to be normalised by, whatever its number of words.
 
 Training, all by noise-contrastive estimation:
-1. R, C and the centres from the texts of smallest hash, up to WARM_TOKENS tokens, by Adagrad in one task. This is the only sample.
-2. Q and b over all training texts, ROUNDS steps, each over the texts dealt to it by their hash. The noise is not drawn but
-   expected: each unit is the noise of the tokens of its group, weighted by the number of groups.
+1. Start values of R, C, Q, b and the centres, by Adagrad in one task, from the texts of smallest hash, up to WARM_TOKENS tokens. All of
+   them are trained on from there over all training texts, by the next step; nothing else comes from this sample.
+2. R, C, Q and b over all training texts, ROUNDS Newton steps, each over the texts dealt to it by their hash. The noise is the exact unigram
+   distribution of all training texts, and is not drawn but expected: each unit is the noise of the tokens of its group, weighted by the
+   number of groups. Centres become the means of the contexts near them, of all rounds so far. A last pass counts in which states classes stood.
 3. Word vectors over all training texts. Given the centres, the expected loss of a word needs only how often it stood in
    each state; those counts are summed at the word's owner, a task for a slice of the hash range, which fits its words by Newton
    steps on the logistic loss. Vectors are rounded to bytes before classes are summed, so probabilities add up to one.
@@ -53,7 +55,7 @@ WARM_TEXTS, WARM_TOKENS, EPOCHS = 4_000, 1 << 20, 2
 NOISE, BATCH, RATE = 32, 1024, 0.05
 #: Biases start at the unigram distribution and move by a share of the rate.
 BIAS_RATE = 0.2
-ROUNDS, GROUPS = 4, 16
+ROUNDS, GROUPS, LONGEST = 4, 16, 0.25
 #: Word vectors are bytes times STEP, pulled to 0 by PULL; words seen once have none.
 STEP, PULL, NEWTON = 1 / 16, 4.0, 5
 FOLDS, HELD_OUT = 5, 1
@@ -182,20 +184,22 @@ def contexts(units: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
 
 @dataclass
 class Parameters:
-    """R and C make contexts; Q and b score units, `bends` is the mean curvature of each unit's loss; centres are the states,
-    and `coordinates` their places in DEPTH dimensions."""
+    """R and C make contexts; Q and b score units; centres are the states, and `coordinates` their places in DEPTH dimensions."""
 
     R: np.ndarray
     C: np.ndarray
     Q: np.ndarray
     b: np.ndarray
     log_noise: np.ndarray
-    bends: np.ndarray
     centres: np.ndarray
     coordinates: np.ndarray
 
+    def moved(self) -> np.ndarray:
+        """ORDER x (units + 1) x WIDTH: what each unit adds to a context from each place."""
+        return np.rint(self.C[:, None] * self.R * FINE) / np.float32(FINE)
+
     def predicted(self, before: np.ndarray) -> np.ndarray:
-        moved = np.rint(self.C[:, None] * self.R * FINE) / np.float32(FINE)
+        moved = self.moved()
         q = np.empty((before.shape[1], WIDTH), np.float32)
         for at in range(0, len(q), AT_A_TIME):
             part = moved[0].take(before[0, at : at + AT_A_TIME], 0)
@@ -223,7 +227,7 @@ class Parameters:
 
 
 def warm(texts: list[list[bytes]], units: Units) -> Parameters:
-    """All parameters from a bounded list of texts, by noise-contrastive Adagrad in random order."""
+    """Start values of all parameters from a bounded list of texts, by noise-contrastive Adagrad in random order."""
     rng = np.random.Generator(np.random.PCG64(4))
     index = _Index()
     tokens = np.fromiter((index[w] for ws in texts for w in ws), np.int64)
@@ -262,28 +266,15 @@ def warm(texts: list[list[bytes]], units: Units) -> Parameters:
             step("b", np.bincount(rows, np.concatenate([good, bad.sum(0)]), n).astype(np.float32))
             step("R", gathered(ctx.ravel(), (p["C"][:, None] * dq).reshape(-1, WIDTH), n + 1))
             step("C", (dq * r).sum(1))
-    done = Parameters(p["R"], p["C"], _finer(p["Q"]), p["b"], log_noise, np.zeros((n, WIDTH + 1, WIDTH + 1)), np.zeros((STATES, WIDTH), np.float32), np.zeros((STATES, DEPTH)))
+    done = Parameters(p["R"], p["C"], _finer(p["Q"]), p["b"], log_noise, np.zeros((STATES, WIDTH), np.float32), np.zeros((STATES, DEPTH)))
     if len(target):
         q = done.predicted(before[:, np.sort(rng.permutation(len(target))[: 1 << 16])])
-        done.bends = _bends(done, q[: 1 << 14])
         done.centres, done.coordinates = _centres(q, rng)
     return done
 
 
-def _bends(p: Parameters, q: np.ndarray) -> np.ndarray:
-    """Units x (WIDTH + 1)^2: mean curvature of the expected noise-contrastive loss over contexts."""
-    full = np.c_[q, np.ones(len(q), np.float32)]
-    z = q @ p.Q.T + p.b
-    own = np.exp(z - z.max(1, keepdims=True))
-    own /= own.sum(1, keepdims=True)
-    noise = NOISE * np.exp(p.log_noise)
-    s = 1 / (1 + np.exp(np.log(noise) - z))
-    weigh = ((own + noise) * s * (1 - s)).astype(np.float32)
-    return np.stack([(full * weigh[:, u : u + 1]).T @ full for u in range(len(p.b))]).astype(float) / len(q)
-
-
 def _centres(q: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
-    """STATES means of contexts, and their places along the DEPTH main directions, scaled to unit spread."""
+    """STATES means of contexts, and their places."""
     centres = q[rng.integers(0, len(q), STATES)].copy()
     for _ in range(12):
         near = (q @ centres.T - (centres**2).sum(1) / 2).argmax(1)
@@ -291,15 +282,19 @@ def _centres(q: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
         many = np.bincount(near, minlength=STATES)
         centres[many > 0] = (sums[many > 0] / many[many > 0][:, None]).astype(np.float32)
     centres = np.rint(centres * FINE) / np.float32(FINE)
-    share = np.bincount((q @ centres.T - (centres**2).sum(1) / 2).argmax(1), minlength=STATES) / len(q)
+    return centres, _coordinates(centres, np.bincount((q @ centres.T - (centres**2).sum(1) / 2).argmax(1), minlength=STATES) / len(q))
+
+
+def _coordinates(centres: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Places of the centres along their DEPTH main directions, scaled to unit spread; share: of all contexts, in each state."""
     apart = (centres - share @ centres) * np.sqrt(share)[:, None]
     _, spread, axes = np.linalg.svd(apart, full_matrices=False)
     places = (centres - share @ centres) @ axes[:DEPTH].T
-    return centres, np.clip(places / np.maximum(spread[:DEPTH], 1e-6), -3, 3)
+    return np.clip(places / np.maximum(spread[:DEPTH], 1e-6), -3, 3)
 
 
 def warm_parameters(docs: DataFrame, units: Units) -> Parameters:
-    """warm() of the training texts of smallest hash, in one task.
+    """warm() of the training texts of smallest hash, in one task: where refine() starts.
 
     About twice as many as are wanted pass a bound on the hash where they lie, so that few texts travel however many
     partitions there are.
@@ -330,7 +325,7 @@ def warm_parameters(docs: DataFrame, units: Units) -> Parameters:
     return Parameters(**{k: v.astype(np.float32) if k in ("R", "C", "Q", "b", "centres") else v for k, v in found.items()})
 
 
-# units over all texts
+# contexts and units over all texts
 
 
 def _numpy(x, kind=None) -> np.ndarray:
@@ -358,11 +353,43 @@ def _opened(units_of: np.ndarray, p: Parameters, row: dict, texts: np.ndarray |
     return Opened(tokens, lengths, of, p.predicted(contexts(of, lengths, len(p.b))))
 
 
-def _pulls(p: Parameters, q: np.ndarray, target: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """2 x units x (WIDTH + 1): what targets pull, and noise of weight one, in whole numbers of 1 / (PULLED * FINE)."""
+@dataclass
+class Sums:
+    """Sums over training texts, whole numbers all: tokens; what targets pull and noise of weight one, in 1 / (PULLED * FINE); their curvature, in
+    1 / PULLED^2; squares of contexts, in 1 / FINE^2; what contexts are pulled by, for each unit in each place, in 1 / PULLED; and how often
+    each unit is in each place of the contexts of each state."""
+
+    tokens: np.ndarray
+    pulls: np.ndarray
+    bends: np.ndarray
+    squares: np.ndarray
+    pushes: np.ndarray
+    near: np.ndarray
+
+    @classmethod
+    def of(cls, n: int, flat: np.ndarray | None = None) -> Sums:
+        """Views of a flat array, zeros if there is none; n: the number of units."""
+        shapes = [(1,), (2, n, WIDTH + 1), (2, n), (WIDTH + 1, WIDTH + 1), (ORDER, n + 1, WIDTH), (STATES, ORDER, n + 1)]
+        ends = np.cumsum([0, *(np.prod(x) for x in shapes)])
+        flat = np.zeros(ends[-1]) if flat is None else flat
+        return cls(*(flat[a:z].reshape(x) for a, z, x in zip(ends, ends[1:], shapes)))
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in vars(self).values()])
+
+
+def _weights(p: Parameters) -> np.ndarray:
+    """What noise of weight one stands for."""
+    return GROUPS * NOISE * np.exp(p.log_noise)
+
+
+def _add(sums: Sums, p: Parameters, before: np.ndarray, q: np.ndarray, target: np.ndarray, group: np.ndarray) -> None:
     n = len(p.b)
     offset = (np.log(NOISE) + p.log_noise).astype(np.float32)
-    out, cells = np.zeros((2, n, WIDTH + 1)), np.arange(WIDTH + 1)
+    cells = np.arange(WIDTH + 1)
+    own, noise = p.Q.astype(float) * FINER * 16, np.rint(_weights(p)[:, None] * p.Q * FINER * 16)
+    groups = [np.arange(g, n, GROUPS) for g in range(GROUPS)]
+    sums.tokens += len(target)
 
     def sigmoid(z):
         return np.rint(PULLED / (1 + np.exp(-z))).astype(float)
@@ -370,63 +397,113 @@ def _pulls(p: Parameters, q: np.ndarray, target: np.ndarray, group: np.ndarray)
     for at in range(0, len(q), 4 * AT_A_TIME):
         x, w, group_ = (v[at : at + 4 * AT_A_TIME] for v in (q, target, group))
         full = np.c_[x, np.ones(len(x), np.float32)].astype(float) * FINE
+        sums.squares += full.T @ full
         good = PULLED - sigmoid((x * p.Q.take(w, 0)).sum(1) + (p.b - offset).take(w))
-        out[0] += np.bincount((w[:, None] * (WIDTH + 1) + cells).ravel(), (good[:, None] * full).ravel(), n * (WIDTH + 1)).reshape(n, WIDTH + 1)
-        for g in range(GROUPS):
-            mine, some = np.arange(g, n, GROUPS), np.flatnonzero(group_ == g)
+        sums.pulls[0] += np.bincount((w[:, None] * (WIDTH + 1) + cells).ravel(), (good[:, None] * full).ravel(), n * (WIDTH + 1)).reshape(n, WIDTH + 1)
+        sums.bends[0] += np.bincount(w, good * (PULLED - good), n)
+        push = good[:, None] * own.take(w, 0)
+        for mine, some in ((m, np.flatnonzero(group_ == g)) for g, m in enumerate(groups)):
             if len(some) and len(mine):
-                out[1, mine] += sigmoid(x[some] @ p.Q[mine].T + (p.b - offset)[mine]).T @ full[some]
-    return out
-
-
-def stepped(p: Parameters, no: int, tokens: float, pulls: np.ndarray) -> Parameters:
-    """p after a Newton step on the pulls of so many tokens; later steps are shorter, none is longer than 1."""
-    weight = GROUPS * NOISE * np.exp(p.log_noise)[:, None]
-    grad = (pulls[0] - weight * pulls[1]) / (PULLED * FINE)
-    step = np.linalg.solve(tokens * p.bends + np.eye(WIDTH + 1), grad[:, :, None])[:, :, 0]
-    step /= np.maximum(1, np.sqrt((step**2).sum(1, keepdims=True))) * (no + 1)
-    return Parameters(**vars(p) | {"Q": _finer(p.Q + step[:, :WIDTH]), "b": (p.b + step[:, WIDTH]).astype(np.float32)})
+                bad = sigmoid(x[some] @ p.Q[mine].T + (p.b - offset)[mine])
+                sums.pulls[1, mine] += bad.T @ full[some]
+                sums.bends[1, mine] += (bad * (PULLED - bad)).sum(0)
+                push[some] -= bad @ noise[mine]
+        push = np.rint(push / (FINER * 16))
+        state = p.states(x).astype(np.int64) * (n + 1)
+        for i in range(ORDER):
+            there = before[i, at : at + 4 * AT_A_TIME]
+            sums.pushes[i] += np.bincount((there[:, None] * WIDTH + cells[:WIDTH]).ravel(), push.ravel(), (n + 1) * WIDTH).reshape(n + 1, WIDTH)
+            sums.near[:, i] += np.bincount(state + there, minlength=STATES * (n + 1)).reshape(STATES, n + 1)
+
+
+def stepped(p: Parameters, no: int, sums: Sums, near: np.ndarray) -> Parameters:
+    """p after a Newton step on sums; later steps are shorter, none is longer than LONGEST. near: as in Sums, of all rounds so far.
+
+    The curvature of a unit's loss counts as independent of the context, and that of a context's loss as that of the mean context, so that
+    both come from the sums.
+    """
+    tokens, eye = sums.tokens[0], np.eye(WIDTH)
+    if not tokens:
+        return p
+    weight = _weights(p)
+    bends = (sums.bends[0] + weight * sums.bends[1]) / PULLED**2
+    grad = (sums.pulls[0] - weight[:, None] * sums.pulls[1]) / (PULLED * FINE)
+    square = sums.squares / (FINE * FINE * tokens)
+    own = np.linalg.solve(bends[:, None, None] * square + np.eye(WIDTH + 1), grad[:, :, None])[:, :, 0]
+    R, C, Q = p.R.astype(float), p.C.astype(float), p.Q.astype(float)
+    bend, pushes, there = (bends[:, None] * Q).T @ Q / tokens, sums.pushes / PULLED, sums.near.sum(0)
+    scale = np.einsum("iu,ia,ib->uab", there, C, C) * bend + eye
+    rows = np.linalg.solve(scale, np.einsum("ia,iua->ua", C, pushes)[:, :, None])[:, :, 0]
+    scale = np.einsum("iu,ua,ub->iab", there, R, R, optimize=True) * bend + eye
+    places = np.linalg.solve(scale, np.einsum("ua,iua->ia", R, pushes)[:, :, None])[:, :, 0]
+
+    def short(step):
+        return step / (np.maximum(1, np.sqrt((step**2).sum(1, keepdims=True)) / LONGEST) * (no + 1))
+
+    own = short(own)
+    done = Parameters(**vars(p) | {"R": (R + short(rows)).astype(np.float32), "C": (C + short(places)).astype(np.float32), "Q": _finer(Q + own[:, :WIDTH]), "b": (p.b + own[:, WIDTH]).astype(np.float32)})
+    many = near[:, 0].sum(1)
+    means = np.einsum("siu,iuw->sw", near, done.moved().astype(float), optimize=True) / np.maximum(many, 1)[:, None]
+    done.centres = (np.rint(np.where(many[:, None] > 0, means, p.centres) * FINE) / FINE).astype(np.float32)
+    done.coordinates = _coordinates(done.centres, many / many.sum())
+    return done
 
 
 def _finer(x: np.ndarray) -> np.ndarray:
     return (np.rint(x * FINER) / FINER).astype(np.float32)
 
 
+def _summed(blocks: DataFrame, columns: tuple, shared, size: int, each) -> np.ndarray:
+    """The sum over blocks of arrays of so many whole numbers; each: of shared and a row of these columns, or None."""
+
+    def run(batches):
+        total = np.zeros(size, np.int64)
+        for b in batches:
+            for r in range(b.num_rows):
+                got = each(shared.value, {c: b.column(i)[r] for i, c in enumerate(columns)})
+                if got is not None:
+                    total += got.astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "value"])
+
+    sums = np.zeros(size)
+    for r in blocks.select(*columns).mapInArrow(run, "at int, value bigint").groupBy("at").agg(F.sum("value")).collect():
+        sums[r[0]] = r[1]
+    shared.unpersist()
+    return sums
+
+
 def refine(blocks: DataFrame, units: Units, p: Parameters) -> tuple[Parameters, np.ndarray]:
-    """p with Q and b trained over all training texts; and how often each class stood in each state there."""
-    spark, columns = blocks.sparkSession, ("held", "deals", "lengths", "tokens", "words", "classes")
-    stood = np.zeros((CLASSES, STATES))
-    n = units.size
-    cells = 2 * n * (WIDTH + 1)
+    """p, which is where they start, trained over all training texts; and how often each class stood in each state there."""
+    sc, n, columns = blocks.sparkSession.sparkContext, units.size, ("held", "deals", "lengths", "tokens", "words", "classes")
+    counted = _summed(blocks, ("words", "counts", "classes"), sc.broadcast(units), n, lambda units, row: np.bincount(units.of(_numpy(row["words"]), _numpy(row["classes"])), _numpy(row["counts"]), n))
+    log_noise = np.log((counted + 0.5) / (counted + 0.5).sum())
+    p = Parameters(**vars(p) | {"b": (p.b + log_noise - p.log_noise).astype(np.float32), "log_noise": log_noise})
+    near = np.zeros((STATES, ORDER, n + 1))
     for no in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((units, p))
-
-        def run(batches, no=no, shared=shared):
-            units, p = shared.value
-            total = np.zeros(1 + cells + CLASSES * STATES, np.int64)
-            for b in batches:
-                for r in range(b.num_rows):
-                    row = {c: b.column(i)[r] for i, c in enumerate(columns)}
-                    deals = _numpy(row["deals"], np.int64)
-                    texts = ~_numpy(row["held"], bool) & (deals % ROUNDS == no)
-                    if not texts.any():
-                        continue
-                    o = _opened(units.of(_numpy(row["words"]), _numpy(row["classes"])), p, row, texts)
-                    target, q = o.units, o.q
-                    pulls = _pulls(p, q, target, (np.repeat(deals[texts] // ROUNDS, o.lengths) + places_of(o.lengths)) % GROUPS)
-                    own = target >= units.frequent
-                    stand = np.bincount((target[own] - units.frequent) * STATES + p.states(q[own]), minlength=CLASSES * STATES)
-                    total += np.concatenate([[len(target)], pulls.ravel(), stand]).astype(np.int64)
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "value"])
-
-        sums = np.zeros(1 + cells + CLASSES * STATES)
-        for r in blocks.select(*columns).mapInArrow(run, "at int, value bigint").groupBy("at").agg(F.sum("value")).collect():
-            sums[r[0]] = r[1]
-        stood += sums[1 + cells :].reshape(CLASSES, STATES)
-        p = stepped(p, no, sums[0], sums[1 : 1 + cells].reshape(2, n, WIDTH + 1))
-        shared.unpersist()
-    return p, stood
+
+        def sums_of(shared, row, no=no):
+            units, p = shared
+            deals = _numpy(row["deals"], np.int64)
+            texts = ~_numpy(row["held"], bool) & (deals % ROUNDS == no)
+            if texts.any():
+                o, sums = _opened(units.of(_numpy(row["words"]), _numpy(row["classes"])), p, row, texts), Sums.of(n)
+                _add(sums, p, contexts(o.units, o.lengths, n), o.q, o.units, (np.repeat(deals[texts] // ROUNDS, o.lengths) + places_of(o.lengths)) % GROUPS)
+                return sums.flat()
+
+        sums = Sums.of(n, _summed(blocks, columns, sc.broadcast((units, p)), len(Sums.of(n).flat()), sums_of))
+        near += sums.near
+        p = stepped(p, no, sums, near)
+
+    def stood_of(shared, row):
+        units, p = shared
+        texts = ~_numpy(row["held"], bool)
+        if texts.any():
+            o = _opened(units.of(_numpy(row["words"]), _numpy(row["classes"])), p, row, texts)
+            own = o.units >= units.frequent
+            return np.bincount((o.units[own] - units.frequent) * STATES + p.states(o.q[own]), minlength=CLASSES * STATES)
+
+    return p, _summed(blocks, columns, sc.broadcast((units, p)), CLASSES * STATES, stood_of).reshape(CLASSES, STATES)
 
 
 # words inside their classes

@@ -121,3 +121,50 @@ def test_scores_token_by_token(spark):
         want[i] = out / math.log(10)
     got = {r.doc_id: r.score for r in lm.score(docs, share=20).collect()}
     assert got == {i: pytest.approx(x, rel=1e-5) for i, x in want.items()}
+
+
+def test_contexts_are_learnt_from_all_training_texts(spark, monkeypatch):
+    """Texts beyond the sample that gives start values move R, C, the noise and the centres; held-out ones move nothing."""
+    texts = corpus()
+    blocks = lm.encode(documents(spark, texts))
+    units = lm.Units(lm.frequent_words(blocks, 20))
+    monkeypatch.setattr(lm, "WARM_TEXTS", 8)
+    monkeypatch.setattr(lm, "WARM_TOKENS", 200)
+    start = lm.warm_parameters(documents(spark, texts), units)
+    p, stood = lm.refine(blocks, units, start)
+    for name in ("R", "C", "Q", "b", "centres", "coordinates", "log_noise"):
+        assert not np.array_equal(getattr(p, name), getattr(start, name)), name
+    # the noise is the distribution of all training tokens
+    count = Counter(w.encode() for i, t in enumerate(texts) if not held(i) for w in [*(t or "").lower().split(), "\n"])
+    mass = np.full(units.size, 0.5)
+    for w, n in count.items():
+        mass[units.of(np.array([xxhash.xxh3_64_intdigest(w)], np.uint64).view(np.int64), np.array([lm.class_of(w)]))[0]] += n
+    assert np.allclose(p.log_noise, np.log(mass / mass.sum()))
+    # other texts outside the sample give other contexts, other held-out texts the same
+    for change, same in (((lambda i: not held(i)), False), (held, True)):
+        others = [" ".join(reversed((t or "").split())) if change(i) else t for i, t in enumerate(texts)]
+        q, again = lm.refine(lm.encode(documents(spark, others)), units, start)
+        assert all(np.array_equal(getattr(p, k), getattr(q, k)) == same for k in ("R", "C", "Q", "centres")) and np.array_equal(stood, again) == same
+
+
+def test_pushes_are_the_slope_of_the_loss(spark):
+    """What contexts are pulled by, against differences of the expected noise-contrastive loss."""
+    rng, n, T = np.random.default_rng(1), 40, 300
+    log_noise = np.log(rng.dirichlet(np.ones(n)))
+    p = lm.Parameters(rng.normal(0, 0.5, (n + 1, lm.WIDTH)).astype(np.float32), np.ones((lm.ORDER, lm.WIDTH), np.float32), lm._finer(rng.normal(0, 0.3, (n, lm.WIDTH))), log_noise.astype(np.float32), log_noise, np.zeros((lm.STATES, lm.WIDTH), np.float32), np.zeros((lm.STATES, lm.DEPTH)))
+    units, lengths, group = rng.integers(0, n, T), np.array([100, 200]), rng.integers(0, lm.GROUPS, T)
+    before = lm.contexts(units, lengths, n)
+    sums = lm.Sums.of(n)
+    lm._add(sums, p, before, p.predicted(before), units, group)
+    assert (sums.flat() == np.rint(sums.flat())).all() and sums.near.sum() == lm.ORDER * T
+
+    def loss(moved):
+        z = sum(moved[i][before[i]] for i in range(lm.ORDER)) @ p.Q.T.astype(float) + p.b - math.log(lm.NOISE) - log_noise
+        mine = np.arange(n) % lm.GROUPS == group[:, None]
+        return -np.log1p(np.exp(-z[np.arange(T), units])).sum() - (np.log1p(np.exp(z)) * mine * lm._weights(p)).sum()
+
+    for i, u, k in ((0, int(units[3]), 2), (1, int(units[50]), 7), (3, n, 0)):
+        up, down = p.moved().astype(float), p.moved().astype(float)
+        up[i, u, k] += 1e-4
+        down[i, u, k] -= 1e-4
+        assert sums.pushes[i, u, k] / lm.PULLED == pytest.approx((loss(up) - loss(down)) / 2e-4, abs=0.05)
