@@ -32,11 +32,11 @@ stays at its start; an empty table gives an empty result; further columns are ig
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -47,8 +47,16 @@ from .common import arrow_kind, byte_words, in_batches, written
 SHARE, CLASSES, SUFFIX = 2048, 128, 3
 ORDER, WIDTH, STATES, DEPTH = 4, 24, 16, 6
 BLOCK_TOKENS = 1 << 19
+#: Texts that are cut into words at a time.
+TEXTS = 1024
 #: Contexts in one matrix product.
 AT_A_TIME = 2048
+#: Numbers that a cache holds, of those that are worked on together.
+CACHED = 1 << 17
+#: Products below this are not trusted.
+TINY = 1e-20
+#: Tokens whose pushes are held at a time.
+SPAN = 1 << 15
 #: An owner gets about so many dictionary entries.
 OWNED = 1 << 20
 WARM_TEXTS, WARM_TOKENS, EPOCHS = 4_000, 1 << 20, 2
@@ -83,20 +91,56 @@ class _Index(dict):
         return n
 
 
-def _block(no: int, rows: list[tuple]) -> tuple:
-    """Of (doc_id, held, deal, words) rows: ids, folds, deals, lengths, compressed token numbers, and the dictionary, by hash, with its training counts."""
-    index = _Index()
-    tokens = np.fromiter((index[w] for r in rows for w in r[3]), np.uint32, sum(len(r[3]) for r in rows))
-    lengths = np.array([len(r[3]) for r in rows], np.int32)
-    held = np.array([r[1] for r in rows])
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index))
-    classes = np.fromiter(map(class_of, index), np.int8, len(index))
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, as byte_words gives them, and each text's number of words."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy())
+    full = pc.not_equal(pc.binary_length(flat), 0)  # texts that begin or end with a space have empty words there
+    if len(flat):
+        before = np.r_[0, np.cumsum(full.to_numpy(zero_copy_only=False))]
+        return flat.filter(full).cast(pa.large_binary()), np.diff(before[ends], prepend=0)
+    return flat.cast(pa.large_binary()), np.zeros(len(texts), np.int64)
+
+
+def _classes(words: pa.Array) -> np.ndarray:
+    """class_of each word of a binary array."""
+    ends = pc.binary_slice(words, -SUFFIX, None).dictionary_encode()
+    return np.fromiter(map(class_of, ends.dictionary.to_pylist()), np.int8, len(ends.dictionary))[ends.indices.to_numpy()]
+
+
+def _block(no: int, parts: list[tuple]) -> tuple:
+    """Of (doc_ids, held, deals, words, numbers of words) of some texts each: ids, folds, deals, lengths, compressed token numbers, and the dictionary, by hash, with its training counts."""
+    lengths = np.concatenate([r[4] for r in parts]) + 1
+    held = np.concatenate([r[1] for r in parts])
+    found = pa.concat_arrays([r[3] for r in parts]).dictionary_encode()
+    index = pa.concat_arrays([found.dictionary, pa.array([END], pa.large_binary())])
+    tokens = np.full(lengths.sum(), len(index) - 1, np.uint32)
+    inner = np.ones(len(tokens), bool)
+    inner[np.cumsum(lengths) - 1] = False
+    tokens[inner] = found.indices.to_numpy()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, index.to_numpy(zero_copy_only=False).tolist()), np.uint64, len(index))
     order = np.argsort(hashes, kind="stable")
     place = np.empty(len(order), np.uint32)
     place[order] = np.arange(len(order), dtype=np.uint32)
     tokens = place[tokens]
     counts = np.bincount(tokens[np.repeat(~held, lengths)], minlength=len(order)).astype(np.int32)
-    return no, [r[0] for r in rows], held.tolist(), [r[2] for r in rows], lengths, zlib.compress(tokens.tobytes(), 1), hashes[order].view(np.int64), counts, classes[order]
+    return no, [i for r in parts for i in r[0]], held.tolist(), [d for r in parts for d in r[2]], lengths.astype(np.int32), packed_tokens(tokens), hashes[order].view(np.int64), counts, _classes(index)[order]
+
+
+def packed_tokens(tokens: np.ndarray) -> bytes:
+    """Token numbers, compressed: first the lowest byte of each, then the next."""
+    planes = np.empty((4, len(tokens)), np.uint8)
+    for k in range(4):
+        planes[k] = tokens >> 8 * k & 255
+    return pa.Codec("zstd", 1).compress(planes, asbytes=True)
+
+
+def unpacked_tokens(packed: bytes, many: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 4 * many, "zstd"), np.uint8).reshape(4, -1)
+    tokens = planes[0].astype(np.uint32)
+    for k in range(1, 4):
+        tokens |= planes[k].astype(np.uint32) << 8 * k
+    return tokens
 
 
 def encode(docs: DataFrame) -> DataFrame:
@@ -104,19 +148,27 @@ def encode(docs: DataFrame) -> DataFrame:
     kind, own = docs.schema["doc_id"].dataType.simpleString(), arrow_kind(docs, "doc_id")
 
     def rows(batches):
-        no, held, size = TaskContext.get().partitionId() << 32, [], 0
+        no, parts, size = TaskContext.get().partitionId() << 32, [], 0
         for b in batches:
-            for i, t, h in zip(*b.columns):
-                text = t.as_py()
-                words = byte_words(text)
-                words.append(END)
-                held.append((i.as_py(), h.as_py(), xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) & 0x7FFFFFFF, words))
-                size += len(words)
-                if size >= BLOCK_TOKENS:
-                    yield _block(no, held)
-                    no, held, size = no + 1, [], 0
-        if held:
-            yield _block(no, held)
+            for at in range(0, b.num_rows, TEXTS):
+                ids, texts, held = (c.slice(at, TEXTS) for c in b.columns)
+                ids, held = ids.to_pylist(), held.to_numpy(zero_copy_only=False)
+                deals = [xxhash.xxh3_64_intdigest(t or b"") & 0x7FFFFFFF for t in texts.cast(pa.large_binary()).to_pylist()]
+                words, many = words_of(texts)
+                ends = np.r_[0, np.cumsum(many)]
+                a = 0
+                while a < len(ids):
+                    # as many texts as fill the block, the one that fills it whole
+                    z = a + 1 + int(np.searchsorted(np.cumsum(many[a:] + 1), BLOCK_TOKENS - size))
+                    z = min(z, len(ids))
+                    parts.append((ids[a:z], held[a:z], deals[a:z], words.slice(ends[a], ends[z] - ends[a]), many[a:z]))
+                    size += int(many[a:z].sum()) + z - a
+                    a = z
+                    if size >= BLOCK_TOKENS:
+                        yield _block(no, parts)
+                        no, parts, size = no + 1, [], 0
+        if parts:
+            yield _block(no, parts)
 
     def run(batches):
         schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(own)), ("held", pa.list_(pa.bool_())), ("deals", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("classes", pa.list_(pa.int8()))])
@@ -174,11 +226,12 @@ def places_of(lengths: np.ndarray) -> np.ndarray:
 
 def contexts(units: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
     """ORDER x tokens: the units before each token, nearest first, `start` before a text's begin."""
-    place = places_of(lengths)
+    first = np.cumsum(lengths) - lengths
     out = np.full((ORDER, len(units)), start, np.int64)
     for i in range(ORDER):
         out[i, i + 1 :] = units[: max(0, len(units) - i - 1)]
-        out[i, place <= i] = start
+        for k in range(i + 1):
+            out[i, first[lengths > k] + k] = start
     return out
 
 
@@ -209,21 +262,51 @@ class Parameters:
         return q
 
     def states(self, q: np.ndarray) -> np.ndarray:
-        half, out = (self.centres**2).sum(1) / 2, np.empty(len(q), np.int8)
+        """The nearest centre of each context, the first of those as near."""
+        half, number, out = (self.centres**2).sum(1)[:, None] / 2, np.arange(STATES, dtype=np.uint8)[:, None], np.empty(len(q), np.int8)
         for at in range(0, len(q), AT_A_TIME):
-            out[at : at + AT_A_TIME] = (q[at : at + AT_A_TIME] @ self.centres.T - half).argmax(1)
+            near = self.centres @ q[at : at + AT_A_TIME].T
+            near -= half
+            away = np.negative((near != near.max(0)).view(np.uint8))  # 0 or 255
+            away |= number
+            out[at : at + AT_A_TIME] = away.min(0)
         return out
 
-    def log_units(self, q: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log of the softmax over units at each target, by matrix products of as many contexts as a cache holds."""
-        out, row = np.empty(len(target)), np.arange(AT_A_TIME) * len(self.b)
-        for at in range(0, len(target), AT_A_TIME):
-            z = q[at : at + AT_A_TIME] @ self.Q.T
-            z += self.b
-            z -= z.max(1, keepdims=True)
-            own = z.ravel()[row[: len(z)] + target[at : at + AT_A_TIME]].astype(np.float64)
-            out[at : at + AT_A_TIME] = own - np.log(np.exp(z, out=z).sum(1).astype(np.float64))
-        return out
+    def factors(self) -> tuple[np.ndarray, np.ndarray]:
+        """ORDER x (units + 1) x units: what a unit in each place multiplies the weight of each next unit by, at most 1; and the logs of what they are scaled by."""
+        z = self.moved() @ self.Q.T
+        z[0] += self.b
+        most = z.max(2)
+        z -= most[:, :, None]
+        return np.exp(z, out=z), most.astype(np.float64)
+
+    def log_units(self, q: np.ndarray, target: np.ndarray, before: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Natural log of the softmax over units at each target.
+
+        A context is a sum over places, so that the weight of a unit is a product over places of factors(), and no exponential is taken
+        for a token. Where products come near to what a float can hold, weights are summed from their logs.
+        """
+        parts, most = factors
+        n = len(self.b)
+        rows = max(16, CACHED // n)
+        total, held = np.empty(len(target), np.float32), np.empty((3, rows, n), np.float32)
+        for at in range(0, len(target), rows):
+            some = before[:, at : at + rows]
+            left, right, more = held[:, : some.shape[1]]
+            for half, i in ((left, 0), (right, 2)):
+                parts[i].take(some[i], 0, out=half, mode="clip")
+                half *= parts[i + 1].take(some[i + 1], 0, out=more, mode="clip")
+            np.einsum("tu,tu->t", left, right, out=total[at : at + rows])
+        logs = np.log(np.maximum(total, TINY).astype(np.float64))
+        for i in range(ORDER):
+            logs += most[i].take(before[i])
+        tiny = np.flatnonzero(total < TINY)
+        for at in range(0, len(tiny), rows):
+            some = tiny[at : at + rows]
+            z = (q[some] @ self.Q.T + self.b).astype(np.float64)
+            logs[some] = z.max(1) + np.log(np.exp(z - z.max(1, keepdims=True)).sum(1))
+        own = np.einsum("tk,tk->t", q, self.Q.take(target, 0)) + self.b.take(target)
+        return own - logs
 
 
 def warm(texts: list[list[bytes]], units: Units) -> Parameters:
@@ -341,16 +424,19 @@ class Opened:
     tokens: np.ndarray
     lengths: np.ndarray
     units: np.ndarray
+    before: np.ndarray
     q: np.ndarray
 
 
 def _opened(units_of: np.ndarray, p: Parameters, row: dict, texts: np.ndarray | None = None) -> Opened:
     """A block, or only those of its texts at which `texts` is true."""
-    tokens, lengths = np.frombuffer(zlib.decompress(row["tokens"].as_py()), np.uint32), _numpy(row["lengths"], np.int64)
+    tokens, lengths = row["tokens"], _numpy(row["lengths"], np.int64)
+    tokens = unpacked_tokens(tokens.as_buffer(), lengths.sum())
     if texts is not None:
         tokens, lengths = tokens[np.repeat(texts, lengths)], lengths[texts]
     of = units_of[tokens]
-    return Opened(tokens, lengths, of, p.predicted(contexts(of, lengths, len(p.b))))
+    before = contexts(of, lengths, len(p.b))
+    return Opened(tokens, lengths, of, before, p.predicted(before))
 
 
 @dataclass
@@ -386,34 +472,76 @@ def _weights(p: Parameters) -> np.ndarray:
 def _add(sums: Sums, p: Parameters, before: np.ndarray, q: np.ndarray, target: np.ndarray, group: np.ndarray) -> None:
     n = len(p.b)
     offset = (np.log(NOISE) + p.log_noise).astype(np.float32)
-    cells = np.arange(WIDTH + 1)
     own, noise = p.Q.astype(float) * FINER * 16, np.rint(_weights(p)[:, None] * p.Q * FINER * 16)
-    groups = [np.arange(g, n, GROUPS) for g in range(GROUPS)]
     sums.tokens += len(target)
 
     def sigmoid(z):
-        return np.rint(PULLED / (1 + np.exp(-z))).astype(float)
-
-    for at in range(0, len(q), 4 * AT_A_TIME):
-        x, w, group_ = (v[at : at + 4 * AT_A_TIME] for v in (q, target, group))
-        full = np.c_[x, np.ones(len(x), np.float32)].astype(float) * FINE
-        sums.squares += full.T @ full
-        good = PULLED - sigmoid((x * p.Q.take(w, 0)).sum(1) + (p.b - offset).take(w))
-        sums.pulls[0] += np.bincount((w[:, None] * (WIDTH + 1) + cells).ravel(), (good[:, None] * full).ravel(), n * (WIDTH + 1)).reshape(n, WIDTH + 1)
-        sums.bends[0] += np.bincount(w, good * (PULLED - good), n)
-        push = good[:, None] * own.take(w, 0)
-        for mine, some in ((m, np.flatnonzero(group_ == g)) for g, m in enumerate(groups)):
-            if len(some) and len(mine):
-                bad = sigmoid(x[some] @ p.Q[mine].T + (p.b - offset)[mine])
-                sums.pulls[1, mine] += bad.T @ full[some]
-                sums.bends[1, mine] += (bad * (PULLED - bad)).sum(0)
-                push[some] -= bad @ noise[mine]
-        push = np.rint(push / (FINER * 16))
+        np.exp(np.negative(z, out=z), out=z)
+        z += 1
+        np.divide(np.float32(PULLED), z, out=z)
+        return np.rint(z, out=z).astype(float)
+
+    for at in range(0, len(q), SPAN):
+        x, w, group_, there = q[at : at + SPAN], target[at : at + SPAN], group[at : at + SPAN], before[:, at : at + SPAN]
         state = p.states(x).astype(np.int64) * (n + 1)
         for i in range(ORDER):
-            there = before[i, at : at + 4 * AT_A_TIME]
-            sums.pushes[i] += np.bincount((there[:, None] * WIDTH + cells[:WIDTH]).ravel(), push.ravel(), (n + 1) * WIDTH).reshape(n + 1, WIDTH)
-            sums.near[:, i] += np.bincount(state + there, minlength=STATES * (n + 1)).reshape(STATES, n + 1)
+            sums.near[:, i] += np.bincount(state + there[i], minlength=STATES * (n + 1)).reshape(STATES, n + 1)
+        full, good = np.full((len(x), WIDTH + 1), float(FINE)), np.empty(len(x))
+        for a in range(0, len(x), AT_A_TIME):
+            part, mine = full[a : a + AT_A_TIME], w[a : a + AT_A_TIME]
+            np.multiply(x[a : a + AT_A_TIME], FINE, out=part[:, :WIDTH])
+            sums.squares += part.T @ part
+            good[a : a + AT_A_TIME] = PULLED - sigmoid(np.einsum("tk,tk->t", x[a : a + AT_A_TIME], p.Q.take(mine, 0)) + (p.b - offset).take(mine))
+        sums.bends[0] += np.bincount(w, good * (PULLED - good), n)
+        for u, some in _each(w, n):
+            sums.pulls[0, u] += good.take(some) @ full.take(some, 0)
+        row, units = _lined_up(there, w)
+        pushes = np.zeros((len(units) + ORDER, WIDTH), np.float32)
+        step = max(256, CACHED // max(n // GROUPS, WIDTH))
+        for g, some in _each(group_, GROUPS, step):
+            push = good.take(some)[:, None] * own.take(w.take(some), 0)
+            if g < n:
+                bad = p.Q[g::GROUPS] @ x.take(some, 0).T
+                bad += (p.b - offset)[g::GROUPS, None]
+                bad = sigmoid(bad)
+                pulls = bad @ full.take(some, 0)
+                sums.pulls[1, g::GROUPS] += pulls
+                sums.bends[1, g::GROUPS] += PULLED * pulls[:, WIDTH] / FINE - np.einsum("ut,ut->u", bad, bad)
+                push -= bad.T @ noise[g::GROUPS]
+            push /= FINER * 16
+            pushes[row.take(some)] = np.rint(push, out=push)
+        # a token is in the contexts of the ORDER rows after its own
+        after = np.lib.stride_tricks.as_strided(pushes[1:], (len(units), ORDER * WIDTH), pushes.strides, writeable=False)
+        # so many are added at a time that a sum of whole numbers is exact
+        ones = np.ones(int(min(AT_A_TIME, max(1, (1 << 24) // max(1, pushes.max(), -pushes.min())))), np.float32)
+        for u, some in _each(units, n + 1, len(ones)):
+            sums.pushes[:, u] += (ones[: len(some)] @ after[some]).reshape(ORDER, WIDTH)
+
+
+def _each(numbers: np.ndarray, most: int, step: int = AT_A_TIME):
+    """(number, places where it stands), some places at a time."""
+    order = np.argsort(numbers.astype(np.uint16), kind="stable")
+    ends = np.searchsorted(numbers[order], np.arange(most + 1)).tolist()
+    for k, (a, z) in enumerate(zip(ends, ends[1:])):
+        for at in range(a, z, step):
+            yield k, order[at : min(at + step, z)]
+
+
+def _lined_up(before: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows such that the ORDER rows before a token's hold the units before it: the row of each token, and the unit of each row.
+
+    Where a text begins, the units before it have rows of their own.
+    """
+    head = np.ones(len(target), bool)
+    head[1:] = before[0, 1:] != target[:-1]
+    for i in range(1, ORDER):
+        head[1:] |= before[i, 1:] != before[i - 1, :-1]
+    row = np.arange(len(target)) + ORDER * np.cumsum(head)
+    units = np.empty(len(target) + ORDER * head.sum(), np.int64)
+    units[row] = target
+    for i in range(ORDER):
+        units[row[head] - 1 - i] = before[i, head]
+    return row, units
 
 
 def stepped(p: Parameters, no: int, sums: Sums, near: np.ndarray) -> Parameters:
@@ -488,7 +616,7 @@ def refine(blocks: DataFrame, units: Units, p: Parameters) -> tuple[Parameters,
             texts = ~_numpy(row["held"], bool) & (deals % ROUNDS == no)
             if texts.any():
                 o, sums = _opened(units.of(_numpy(row["words"]), _numpy(row["classes"])), p, row, texts), Sums.of(n)
-                _add(sums, p, contexts(o.units, o.lengths, n), o.q, o.units, (np.repeat(deals[texts] // ROUNDS, o.lengths) + places_of(o.lengths)) % GROUPS)
+                _add(sums, p, o.before, o.q, o.units, (np.repeat(deals[texts] // ROUNDS, o.lengths) + places_of(o.lengths)) % GROUPS)
                 return sums.flat()
 
         sums = Sums.of(n, _summed(blocks, columns, sc.broadcast((units, p)), len(Sums.of(n).flat()), sums_of))
@@ -509,6 +637,26 @@ def refine(blocks: DataFrame, units: Units, p: Parameters) -> tuple[Parameters,
 # words inside their classes
 
 
+def _exp(x: np.ndarray) -> np.ndarray:
+    """exp to the precision of a 32-bit float."""
+    return np.exp(x.astype(np.float32)).astype(np.float64)
+
+
+def _solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solutions of many small positive definite systems, eliminated side by side."""
+    rows = np.ascontiguousarray(np.concatenate([a, b[:, :, None]], 2).transpose(1, 2, 0))
+    n = len(rows)
+    for k in range(n):
+        rows[k, k:] /= rows[k, k].copy()
+        for j in range(k + 1, n):
+            rows[j, k + 1 :] -= rows[j, k] * rows[k, k + 1 :]
+    out = rows[:, n]
+    for k in range(n - 2, -1, -1):
+        for j in range(k + 1, n):
+            out[k] -= rows[k, j] * out[j]
+    return out.T
+
+
 def vectors(seen: np.ndarray, prior: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Byte vectors (words x DEPTH) from how often words stood in each state. prior: the states' shares in each word's class.
 
@@ -520,16 +668,16 @@ def vectors(seen: np.ndarray, prior: np.ndarray, places: np.ndarray) -> np.ndarr
     w, noise = np.zeros((len(seen), DEPTH + 1)), NOISE * n[:, None] * prior
     pull = np.r_[np.full(DEPTH, PULL), 1e-3]
     for _ in range(NEWTON):
-        s = 1 / (1 + np.exp(np.clip(np.log(NOISE) - w @ x.T, -30, 30)))
+        s = 1 / (1 + _exp(np.clip(np.log(NOISE) - w @ x.T, -30, 30)))
         grad = (seen * (1 - s) - noise * s) @ x - pull * w
         bend = ((seen + noise) * s * (1 - s)) @ (x[:, :, None] * x[:, None, :]).reshape(STATES, -1)
-        w += np.clip(np.linalg.solve(bend.reshape(-1, DEPTH + 1, DEPTH + 1) + np.diag(pull), grad[:, :, None])[:, :, 0], -2, 2)
+        w += np.clip(_solved(bend.reshape(-1, DEPTH + 1, DEPTH + 1) + np.diag(pull), grad), -2, 2)
     return np.clip(np.rint(w[:, :DEPTH] / STEP), -127, 127).astype(np.int8)
 
 
 def weights(counts: np.ndarray, codes: np.ndarray, prior: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Words x STATES: what words weigh in their class; the mean over the class's states is the smoothed count."""
-    z = np.exp(np.clip(codes * STEP @ places.T, -30, 30))
+    z = _exp(np.clip(codes * STEP @ places.T, -30, 30))
     return (counts + 0.5)[:, None] * z / (z * prior).sum(1, keepdims=True)
 
 
@@ -614,8 +762,8 @@ def replies(sent: DataFrame, units: Units, p: Parameters, prior: np.ndarray) ->
         facts, total = np.zeros(len(words), np.int64), np.zeros((CLASSES, STATES))
         facts[often] = _NUMBERED + number[often]
         known = np.flatnonzero((counts > 0) & ~often)
-        for at in range(0, len(known), 1 << 15):
-            some = known[at : at + (1 << 15)]
+        for at in range(0, len(known), AT_A_TIME):
+            some = known[at : at + AT_A_TIME]
             codes = np.zeros((len(some), DEPTH), np.int8)
             again = counts[some] > 1
             codes[again] = vectors(seen[some[again]], prior[classes[some[again]]], places)
@@ -651,9 +799,10 @@ def corpus_of(told: DataFrame) -> Corpus:
 
 def log_inside(counts: np.ndarray, facts: np.ndarray, classes: np.ndarray, prior: np.ndarray, places: np.ndarray, corpus: Corpus) -> np.ndarray:
     """Words x STATES: natural log probabilities of words within their classes; a word never seen has the place for those."""
-    weigh = weights(counts, _unpacked(facts), prior[classes], places)
-    weigh[counts == 0] = 0.5
-    return np.log(weigh) - corpus.log_classes[classes]
+    along = np.clip(_unpacked(facts) * STEP @ places.T, -30, 30)
+    along += np.log((counts + 0.5) / (_exp(along) * prior[classes]).sum(1))[:, None]
+    along[counts == 0] = np.log(0.5)
+    return along - corpus.log_classes[classes]
 
 
 # scores
@@ -673,7 +822,7 @@ def score(docs: DataFrame, share: int = SHARE) -> DataFrame:
     columns = ("doc_ids", "held", "lengths", "tokens", "classes", "parts")
     out = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
-    def block_scores(row):
+    def block_scores(row, factors):
         units, p, prior, corpus = shared.value
         classes = _numpy(row["classes"], np.int64)
         counts, facts = np.zeros(len(classes), np.int64), np.zeros(len(classes), np.int64)
@@ -687,15 +836,16 @@ def score(docs: DataFrame, share: int = SHARE) -> DataFrame:
         inside = log_inside(counts, np.where(often, 0, facts), classes, prior, p.coordinates, corpus)
         inside[often] = 0
         base = np.log10((counts + 0.5) / (corpus.total + 0.5 * (corpus.distinct + 1)))
-        natural = p.log_units(o.q, o.units) + inside[o.tokens, p.states(o.q)]
+        natural = p.log_units(o.q, o.units, o.before, factors) + inside[o.tokens, p.states(o.q)]
         first = np.cumsum(o.lengths) - o.lengths
         own = np.round(np.add.reduceat(natural, first) / np.log(10), 6)
         return [row["doc_ids"].values, row["held"].values, pa.array(o.lengths), pa.array(np.add.reduceat((counts > 0)[o.tokens].astype(np.int64), first)), pa.array(np.full(len(first), corpus.total, np.int64)), pa.array(np.add.reduceat(base[o.tokens], first)), pa.array(own)]
 
     def run(batches):
+        factors = shared.value[1].factors()
         for b in batches:
             for r in range(b.num_rows):
-                yield pa.RecordBatch.from_arrays(block_scores({c: b.column(i)[r] for i, c in enumerate(columns)}), names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays(block_scores({c: b.column(i)[r] for i, c in enumerate(columns)}, factors), names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     parts = told.filter("block is not null").groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct("start", "counts", "facts")).alias("parts"))
     both = blocks.select("block", *columns[:-1]).join(parts, F.col("block") == F.col("of"))

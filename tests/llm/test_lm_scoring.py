@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -168,3 +169,70 @@ def test_pushes_are_the_slope_of_the_loss(spark):
         up[i, u, k] += 1e-4
         down[i, u, k] -= 1e-4
         assert sums.pushes[i, u, k] / lm.PULLED == pytest.approx((loss(up) - loss(down)) / 2e-4, abs=0.05)
+
+
+def parameters(n, spread=1.0):
+    rng = np.random.default_rng(1)
+    log_noise = np.log(rng.dirichlet(np.ones(n)))
+    return lm.Parameters(rng.normal(0, 0.5 * spread, (n + 1, lm.WIDTH)).astype(np.float32), np.ones((lm.ORDER, lm.WIDTH), np.float32), lm._finer(rng.normal(0, 0.5, (n, lm.WIDTH))), log_noise.astype(np.float32), log_noise, (np.rint(rng.normal(0, 32, (lm.STATES, lm.WIDTH))) / 64).astype(np.float32), np.zeros((lm.STATES, lm.DEPTH)))
+
+
+def test_no_exponential_is_taken_for_a_token(monkeypatch):
+    """Logs of units against sums in 64 bits; exponentials are those of the tables, whatever the number of tokens."""
+    exp, taken = np.exp, []
+    monkeypatch.setattr(np, "exp", lambda x, *a, **k: taken.append(np.size(x)) or exp(x, *a, **k))
+    for spread in (1.0, 40.0):  # factors that underflow too
+        p, rng = parameters(40, spread), np.random.default_rng(2)
+        for T in (3, 5000):
+            units = rng.integers(0, 40, T)
+            before = lm.contexts(units, np.array([T]), 40)
+            taken.clear()
+            got = p.log_units(p.predicted(before), units, before, p.factors())
+            if spread == 1:
+                assert sum(taken) == lm.ORDER * 41 * 40
+            z = p.predicted(before).astype(float) @ p.Q.T.astype(float) + p.b
+            assert got == pytest.approx(z[np.arange(T), units] - z.max(1) - np.log(exp(z - z.max(1, keepdims=True)).sum(1)), rel=1e-5, abs=1e-4)
+
+
+def test_sums_do_not_depend_on_spans(monkeypatch):
+    """The sums over tokens are the same whole numbers in one span or many, and those of plain loops."""
+    p, rng, lengths = parameters(40), np.random.default_rng(3), np.array([1, 1, 2, 150, 3, 200])
+    T = int(lengths.sum())
+    units, group = rng.integers(0, 40, T), rng.integers(0, lm.GROUPS, T)
+    before = lm.contexts(units, lengths, 40)
+    q = p.predicted(before)
+    found = []
+    for span in (1 << 15, 64, 1):
+        monkeypatch.setattr(lm, "SPAN", span)
+        sums = lm.Sums.of(40)
+        lm._add(sums, p, before, q, units, group)
+        found.append(sums.flat())
+    assert all(np.array_equal(found[0], f) for f in found)
+    sums, state, near = lm.Sums.of(40, found[0]), p.states(q), np.zeros((lm.STATES, lm.ORDER, 41))
+    assert state.tolist() == (q @ p.centres.T - (p.centres**2).sum(1) / 2).argmax(1).tolist()
+    pulls, weighed = np.zeros((40, lm.WIDTH + 1)), np.zeros((40, lm.WIDTH + 1))
+    for t in range(T):
+        z = q[t] @ p.Q.T + (p.b - (np.log(lm.NOISE) + p.log_noise).astype(np.float32))
+        s, full = np.rint(lm.PULLED / (1 + np.exp(-z))), np.r_[q[t], 1] * lm.FINE
+        pulls[units[t]] += (lm.PULLED - s[units[t]]) * full
+        mine = np.arange(group[t], 40, lm.GROUPS)
+        weighed[mine] += s[mine, None] * full
+        for i in range(lm.ORDER):
+            near[state[t], i, before[i, t]] += 1
+    assert np.array_equal(sums.near, near)
+    assert np.allclose(sums.pulls, [pulls, weighed], rtol=1e-3, atol=2 * lm.FINE * 4)
+
+
+def test_words_of_texts():
+    rng = random.Random(1)
+    letters = [chr(c) for c in range(40)] + list("AZaz \u00e9\u00c9\u3000\u0085\u0130K")
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(2000)] + [None, "", " ", " \n", "a"]
+    words, many = lm.words_of(pa.array(texts))
+    want = [lm.byte_words(t) for t in texts]
+    assert many.tolist() == [len(w) for w in want] and words.to_pylist() == [w for ws in want for w in ws]
+    assert lm._classes(words).tolist() == [lm.class_of(w) for ws in want for w in ws]
+    for few in ([], [None], ["", " "]):
+        words, many = lm.words_of(pa.array(few, pa.string()))
+        assert len(words) == 0 and many.tolist() == [0] * len(few)
+    tokens = np.array([0, 1, 255, 256, 1 << 24, (1 << 32) - 1], np.uint32)
+    assert np.array_equal(lm.unpacked_tokens(lm.packed_tokens(tokens), len(tokens)), tokens)
