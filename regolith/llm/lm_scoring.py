@@ -47,8 +47,8 @@ from .common import arrow_kind, byte_words, in_batches, written
 SHARE, CLASSES, SUFFIX = 2048, 128, 3
 ORDER, WIDTH, STATES, DEPTH = 4, 24, 16, 6
 BLOCK_TOKENS = 1 << 19
-#: Texts that are cut into words at a time.
-TEXTS = 1024
+#: Bytes of texts that are cut into words at a time.
+TEXT_BYTES = 1 << 21
 #: Contexts in one matrix product.
 AT_A_TIME = 2048
 #: Numbers that a cache holds, of those that are worked on together.
@@ -150,8 +150,13 @@ def encode(docs: DataFrame) -> DataFrame:
     def rows(batches):
         no, parts, size = TaskContext.get().partitionId() << 32, [], 0
         for b in batches:
-            for at in range(0, b.num_rows, TEXTS):
-                ids, texts, held = (c.slice(at, TEXTS) for c in b.columns)
+            weight = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < b.num_rows:
+                # texts that are cut into words together: few bytes, or one text
+                many = max(1, int(np.searchsorted(weight, (weight[at - 1] if at else 0) + TEXT_BYTES, "right")) - at)
+                ids, texts, held = (c.slice(at, many) for c in b.columns)
+                at += many
                 ids, held = ids.to_pylist(), held.to_numpy(zero_copy_only=False)
                 deals = [xxhash.xxh3_64_intdigest(t or b"") & 0x7FFFFFFF for t in texts.cast(pa.large_binary()).to_pylist()]
                 words, many = words_of(texts)
@@ -167,12 +172,14 @@ def encode(docs: DataFrame) -> DataFrame:
                     if size >= BLOCK_TOKENS:
                         yield _block(no, parts)
                         no, parts, size = no + 1, [], 0
+                        pa.default_memory_pool().release_unused()
         if parts:
             yield _block(no, parts)
 
     def run(batches):
         schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(own)), ("held", pa.list_(pa.bool_())), ("deals", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("classes", pa.list_(pa.int8()))])
         yield from in_batches(rows(batches), schema, lambda r: 64 + len(r[5]) + 13 * len(r[6]))
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task with what it needs only
 
     out = f"block bigint, doc_ids array<{kind}>, held array<boolean>, deals array<int>, lengths array<int>, tokens binary, words array<bigint>, counts array<int>, classes array<tinyint>"
     return written(docs.select(docs["doc_id"], docs["text"], held_out(docs["doc_id"]).alias("held")).mapInArrow(run, out), "blocks")
@@ -729,6 +736,7 @@ def messages(blocks: DataFrame, units: Units, p: Parameters, owners: int) -> Dat
 
     def run(batches):
         yield from in_batches(rows(batches), schema, lambda r: 64 + 13 * len(r[3]) + 5 * len(r[6]))
+        pa.default_memory_pool().release_unused()
 
     return blocks.select(*columns).mapInArrow(run, _MESSAGE)
 
@@ -846,6 +854,7 @@ def score(docs: DataFrame, share: int = SHARE) -> DataFrame:
         for b in batches:
             for r in range(b.num_rows):
                 yield pa.RecordBatch.from_arrays(block_scores({c: b.column(i)[r] for i, c in enumerate(columns)}, factors), names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        pa.default_memory_pool().release_unused()
 
     parts = told.filter("block is not null").groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct("start", "counts", "facts")).alias("parts"))
     both = blocks.select("block", *columns[:-1]).join(parts, F.col("block") == F.col("of"))
