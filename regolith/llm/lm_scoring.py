@@ -527,7 +527,7 @@ def _add(sums: Sums, p: Parameters, before: np.ndarray, q: np.ndarray, target: n
 
 def _each(numbers: np.ndarray, most: int, step: int = AT_A_TIME):
     """(number, places where it stands), some places at a time."""
-    order = np.argsort(numbers.astype(np.uint16), kind="stable")
+    order = np.argsort(numbers.astype(np.uint16 if most <= 1 << 16 else np.int64), kind="stable")
     ends = np.searchsorted(numbers[order], np.arange(most + 1)).tolist()
     for k, (a, z) in enumerate(zip(ends, ends[1:])):
         for at in range(a, z, step):
